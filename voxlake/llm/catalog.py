@@ -36,6 +36,20 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import fit, secret_scan
+
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan(docs, fit(docs))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, quality_classifier
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_shards, shared_path, write_shards
 

@@ -21,9 +21,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
-from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import textvec as tv
 
 SHARD_IDS = 1 << 20
-CACHE = 400_000
+CACHE = 1_000_000  # pieces kept by a Python worker, about 250 MB
 SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_doc long, n_null int, width int, ids binary, bounds binary, doc_ids binary"
 
 
@@ -86,6 +87,17 @@ class EliasFano:
         return ((high << np.uint64(self.low)) | lows).astype(np.int64)
 
 
+class _Pieces(dict):
+    """Ids of a blank and a piece; an unknown piece is noted in ``new`` and stands for nothing until then."""
+
+    def __init__(self):
+        self.new: dict[str, None] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        self.new[piece] = None
+        return b""
+
+
 class PieceEncoder:
     """Ids of whole texts as bytes (little-endian uint16 or uint32), by the library, each distinct piece once."""
 
@@ -98,46 +110,62 @@ class PieceEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         name = type(self.tok.pre_tokenizer).__name__ if self.tok.pre_tokenizer else ""
         self.by_piece = name == "ByteLevel" and self.tok.normalizer is None and not getattr(self.tok.pre_tokenizer, "add_prefix_space", True)
-        self.cache: dict[str, bytes] = {}
+        self.pieces = _Pieces()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of new pieces: those of their words, as the library's own splitter cuts them."""
+        cut = self.tok.pre_tokenizer.pre_tokenize_str
+        words = {p: [f" {p}"] if p.isalpha() else [f" {p}"[a:b] for _, (a, b) in cut(f" {p}")] for p in new}
+        led = [w for p in words.values() for w in p if w not in self.words]
+        todo = list(dict.fromkeys(led))
+        self.words.update(zip(todo, self._library(todo), strict=True))
+        for p, w in words.items():
+            self.pieces[p] = b"".join(map(self.words.__getitem__, w))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """One byte string of ids a text, end id included."""
+        """The ids of each text, end id included."""
+        if len(self.pieces) > CACHE:
+            self.pieces = _Pieces()
+        self.words: dict[str, bytes] = {}
         out: list[bytes | None] = [None] * len(texts)
-        whole, split = [], []
+        known, again, heads = self.pieces, [], []
         for i, t in enumerate(texts):
-            if self.by_piece and not any(s in t for s in self.special):
-                p = t.split(" ")
-                split.append((i, p[0], p[1:]))
-            else:
-                whole.append(i)
-        wanted = set().union(*(p for _, _, p in split)) if split else set()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        # a piece that is empty or has white space at an end may join its neighbour: its text is encoded whole
-        new = [w for w in wanted.difference(self.cache) if w and not w[0].isspace() and not w[-1].isspace()]
-        self.cache.update(zip(new, self._library([f" {w}" for w in new]), strict=True))
-        heads, parts = [], []
-        for i, head, pieces in split:
-            try:
-                body = b"".join(map(self.cache.__getitem__, pieces))
-            except KeyError:
-                whole.append(i)
+            if not self.by_piece or any(s in t for s in self.special):
                 continue
-            if pieces and (not head or head[-1].isspace()):
-                whole.append(i)
+            head, *rest = t.split(" ")
+            # an empty head or one with white space at its end may join what follows
+            if rest and (not head or head[-1].isspace()):
                 continue
-            heads.append(head)
-            parts.append((i, body))
-        for (i, body), head in zip(parts, self._library(heads), strict=True):
-            out[i] = head + body + self.end
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids + self.end
+            out[i] = b"".join(map(known.__getitem__, rest))
+            heads.append((i, head))
+            if known.new:
+                again.append((i, rest))
+        if known.new:
+            joined = {p for p in known.new if not p or p[0].isspace() or p[-1].isspace()}
+            self._learn([p for p in known.new if p not in joined])
+            known.new = {}
+            for i, rest in again:
+                out[i] = None if joined and not joined.isdisjoint(rest) else b"".join(map(known.__getitem__, rest))
+            known.new = {}
+        ids = self._library([h for i, h in heads if out[i] is not None])
+        for i, head in zip([i for i, _ in heads if out[i] is not None], ids, strict=True):
+            out[i] = head + out[i] + self.end
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = x + self.end
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> PieceEncoder:
+    """One for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceEncoder(path, end_id)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, partitions: int | None = None) -> None:
     """Encodes every text of docs and writes the data set to path."""
     spark = docs.sparkSession
@@ -146,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     def run(batches):
         from pyspark import TaskContext
 
-        enc = PieceEncoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id)
         part, shard = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         keys: list[int | None] = []
@@ -181,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     ordered.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, digest: Callable[[memoryview], int] | None = None) -> DataFrame:
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the data set: doc_id, start, n_tokens and ids_crc32, decoded from the shards.
 
     Starts are sums over three levels: documents in a shard, shards of a part, parts. The
