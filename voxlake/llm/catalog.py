@@ -36,6 +36,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import near_duplicates
 
@@ -70,7 +76,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_output import read_shards, shared_path, write_shards
+    from .store import shared_path
+    from .token_output import read_shards, write_shards
 
     path = shared_path(spark, "op10")
     write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path())

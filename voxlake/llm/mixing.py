@@ -80,9 +80,10 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return inside.join(before, ["rank", "run"]).select("slot", "rank", (F.col("before") + F.col("k")).alias("turn"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("key"))
+    more = {"_t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    rows = docs.select("doc_id", "source", *(more[c].alias(c) for c in extra), word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("key"))
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("long") % BUCKETS)
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights)
@@ -94,8 +95,21 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: i
     offsets = offsets.withColumnsRenamed({"source": "s1", "bucket": "b1"}).join(targets.select(F.col("source").alias("s2"), "rank", "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1"))).drop("s1", "b1")
     begin = F.col("before") + F.coalesce(F.col("inside"), F.lit(0))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "rank", begin.alias("begin"), (begin + F.col("size")).alias("end"), "bucket", "k")
-    return _taken(placed, uses, block)
+    placed = placed.select("doc_id", "source", *extra, "size", "source_size", "target", "rank", begin.alias("begin"), (begin + F.col("size")).alias("end"), "bucket", "k")
+    return _taken(placed, uses, block, extra)
+
+
+def repeat_documents(docs: DataFrame, **params) -> DataFrame:
+    """docs with every row as often as its taken words make up its size, rounded half up; rows without words go.
+
+    Rows are matched to their part of the mix by doc_id and text, and rows equal in both share it evenly.
+    """
+    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    mixed = mix_sources(docs, extra=("_t",), **params)
+    per = mixed.groupBy("doc_id", "source", "_t").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("_share"))
+    per = per.withColumnsRenamed({"doc_id": "_d", "source": "_s", "_t": "_u"}).withColumn("_copies", F.floor(F.coalesce("_share", F.lit(0.0)) + 0.5).cast("int")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_u"))
+    return rows.join(per, same).withColumn("_i", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def block_uses(targets: DataFrame, block: int) -> DataFrame:
@@ -111,9 +125,9 @@ def block_uses(targets: DataFrame, block: int) -> DataFrame:
     return turns.groupBy("rank", "block").agg(F.sum(full.cast("long")).alias("times"), F.coalesce(F.sum(F.when(~full, F.col("got"))), F.lit(0)).alias("more"))
 
 
-def _taken(placed: DataFrame, uses: DataFrame, block: int) -> DataFrame:
+def _taken(placed: DataFrame, uses: DataFrame, block: int, extra: tuple[str, ...]) -> DataFrame:
     """Adds up, for every document, what the uses take of its pieces; a piece is its part in one block."""
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["doc_id", "source", *extra, "size", "source_size", "target"]
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     pieces = pieces.withColumn("a", F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))).withColumn("b", F.least(F.col("end") - F.col("block") * block, F.lit(block)))

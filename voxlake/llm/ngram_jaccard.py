@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textvec as tv
-from .token_output import shared_path
+from .store import Store
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 4
@@ -95,19 +95,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-class _Store:
-    """Intermediate tables in the shared folder, so that a lost executor costs no earlier step."""
-
-    def __init__(self, spark):
-        self.spark, self.top, self.n = spark, shared_path(spark, "jaccard"), 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
-
-
 def _nodes(docs: DataFrame) -> DataFrame:
     """(node, rep, copies, sig): one row for each different text; sig is null without words."""
 
@@ -202,7 +189,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, store: _Store) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
     """Verified links between nodes."""
     signed = nodes.where("sig is not null")
     band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), b)
@@ -234,7 +221,7 @@ def _links(docs: DataFrame, nodes: DataFrame, store: _Store) -> DataFrame:
     return store.keep(out.dropDuplicates(["a", "b"])) if len(found) > 1 else out
 
 
-def components(links: DataFrame, store: _Store) -> DataFrame:
+def components(links: DataFrame, store: Store) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): its component's least node."""
     edges = store.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
@@ -254,7 +241,7 @@ def components(links: DataFrame, store: _Store) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """(node, rep, copies, worded, root, class_id, n_links): every different text with its class."""
-    store = _Store(docs.sparkSession)
+    store = Store(docs.sparkSession, "jaccard")
     nodes = store.keep(_nodes(docs))
     links = _links(docs, nodes, store)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

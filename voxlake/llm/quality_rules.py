@@ -224,3 +224,20 @@ def quality_rules(docs: DataFrame, forest: Forest, *, threshold: float = 0.5) ->
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, forest: Forest, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns."""
+    at, trained = docs.columns.index("text"), len(forest.roots) > 0
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for c in tv.chunks(batch.column(at)):
+                base, x = document_stats(c)
+                n = base["n_words"]
+                good = (n >= MIN_WORDS) & (100 * base["n_repeat_words"] <= MAX_REPEAT_PERCENT * n)
+                keep[c.first : c.first + c.n_docs] = good & (forest.score(x) >= threshold) if trained else good
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,8 +22,8 @@ columns are ignored.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import textvec as tv
 
 SHARD_IDS = 1 << 20
-CACHE = 1_000_000  # pieces kept by a Python worker, about 250 MB
+CACHE = 600_000  # pieces and words kept by a Python worker, about 250 MB
 SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_doc long, n_null int, width int, ids binary, bounds binary, doc_ids binary"
 
 
@@ -111,25 +111,46 @@ class PieceEncoder:
         name = type(self.tok.pre_tokenizer).__name__ if self.tok.pre_tokenizer else ""
         self.by_piece = name == "ByteLevel" and self.tok.normalizer is None and not getattr(self.tok.pre_tokenizer, "add_prefix_space", True)
         self.pieces = _Pieces()
+        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, piece: str) -> list[str]:
+        """The words of a blank and a piece as the library's own splitter cuts them; common forms without asking it."""
+        if piece.isalpha():
+            return [f" {piece}"]
+        left, line, right = piece.partition("\n")
+        out, lead = [], " "
+        for part in (left, right) if line else (left,):
+            core = part.rstrip(".,!?")
+            if not core.isalpha():
+                text = f" {piece}"
+                return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+            out.append(lead + core)
+            if len(core) < len(part):
+                out.append(part[len(core) :])
+            if line and lead:
+                out.append(line)
+            lead = ""
+        return out
 
     def _learn(self, new: list[str]) -> None:
-        """Adds the ids of new pieces: those of their words, as the library's own splitter cuts them."""
-        cut = self.tok.pre_tokenizer.pre_tokenize_str
-        words = {p: [f" {p}"] if p.isalpha() else [f" {p}"[a:b] for _, (a, b) in cut(f" {p}")] for p in new}
-        led = [w for p in words.values() for w in p if w not in self.words]
-        todo = list(dict.fromkeys(led))
+        """Adds the ids of new pieces."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        cut = [self._words(p) for p in new]
+        todo = list({w: None for words in cut for w in words if w not in self.words})
         self.words.update(zip(todo, self._library(todo), strict=True))
-        for p, w in words.items():
-            self.pieces[p] = b"".join(map(self.words.__getitem__, w))
+        known = self.words
+        for p, words in zip(new, cut, strict=True):
+            self.pieces[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, end id included."""
         if len(self.pieces) > CACHE:
             self.pieces = _Pieces()
-        self.words: dict[str, bytes] = {}
         out: list[bytes | None] = [None] * len(texts)
         known, again, heads = self.pieces, [], []
         for i, t in enumerate(texts):
@@ -219,28 +240,19 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     heads = shards.select("part", "shard", "n_ids")
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     starts = heads.select("part", "shard", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("in_part")).join(parts, "part").select("part", "shard", (F.col("in_part") + F.col("part_start")).alias("base"))
-    rows = shards.drop("n_ids").join(starts, ["part", "shard"]).select("base", "n_docs", "first_doc", "n_null", "width", "ids", "bounds", "doc_ids")
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                base, n, first, nulls, width = (batch.column(k)[r].as_py() for k in range(5))
-                ids = np.frombuffer(batch.column(5)[r].as_buffer(), f"<u{width}").astype("<u4")
-                ends = EliasFano(batch.column(6)[r].as_py()).all()
+                part, shard, n, first, nulls, width = (batch.column(k)[r].as_py() for k in range(6))
+                ids = np.frombuffer(batch.column(6)[r].as_buffer(), f"<u{width}").astype("<u4")
+                ends = EliasFano(batch.column(7)[r].as_py()).all()
                 begins = np.concatenate([[0], ends[:-1]])
-                known = EliasFano(batch.column(7)[r].as_py()).all() + first
+                known = EliasFano(batch.column(8)[r].as_py()).all() + first
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends, strict=True)]
                 key = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(known, type=pa.int64())])
-                assert len(key) == n
-                yield pa.RecordBatch.from_arrays([key, pa.array(begins + base), pa.array(ends - begins), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                where = [pa.array(np.full(n, v, dtype=np.int32)) for v in (part, shard)]
+                yield pa.RecordBatch.from_arrays([*where, key, pa.array(begins), pa.array(ends - begins), pa.array(crc, type=pa.int64())], names=["part", "shard", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir, the folder that all executors share.
-
-    Where that is unset (a local session, as in tests) one under the warehouse is taken.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    docs = shards.select("part", "shard", "n_docs", "first_doc", "n_null", "width", "ids", "bounds", "doc_ids").mapInArrow(run, "part int, shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("begin") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

@@ -307,7 +307,7 @@ def toxicity(docs: DataFrame, field: Field, *, limit: float = LIMIT) -> DataFram
                 hit = np.flatnonzero(m >= 0.5)
                 doc = np.searchsorted(first, hit, side="right") - 1
                 lead = np.cumsum((c.buf & 0xC0) != 0x80) if len(hit) else None
-                for d, t, last in zip(doc.tolist(), hit.tolist(), np.append(-2, hit[:-1]).tolist(), strict=True):
+                for d, t, last in zip(doc.tolist(), hit.tolist(), np.append(-2, hit[:-1]).tolist(), strict=False):
                     zero = lead[c.offs[d] - 1] if c.offs[d] else 0
                     a, b = int(lead[s[t]] - 1 - zero), int(lead[e[t] - 1] - zero)
                     if spans[d] and last == t - 1:
