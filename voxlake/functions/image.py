@@ -8,6 +8,7 @@ which transform applies to which column. Everything here is evaluated inside the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -104,3 +105,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def voxels(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """(keys, p, v): one row for each voxel of an image column."""
     return df.select(*keys, F.posexplode(F.col(name)["data"]).alias("p", "v"))
+
+
+def bound(f: Callable) -> Callable:
+    """An operator whose image is evaluated once for the row, however often the operator's expression names it."""
+
+    @wraps(f)
+    def once(img: Column, *args, **params) -> Column:
+        return let(img, lambda x: f(x, *args, **params))
+
+    return once

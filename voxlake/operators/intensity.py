@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rng
-from ..functions.image import let, mean, quantile, quantiles, replace, stddev
+from ..functions.image import bound, let, mean, quantile, quantiles, replace, stddev
 
 # The quantiles of histogram landmarks.
 QUANTILES = (0.01, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.99)
@@ -19,6 +19,7 @@ def _masked(img: Column, mask: Column | None) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(img["data"])
 
 
+@bound
 def clamp(img: Column, out_min: float | None = None, out_max: float | None = None) -> Column:
     if out_min is not None and out_max is not None and out_min > out_max:
         raise ValueError("out_min is above out_max")
@@ -30,11 +31,13 @@ def clamp(img: Column, out_min: float | None = None, out_max: float | None = Non
     return replace(img, data=F.transform(img["data"], f))
 
 
+@bound
 def gamma(img: Column, log_gamma: float | Column) -> Column:
     power = F.exp(log_gamma if isinstance(log_gamma, Column) else F.lit(float(log_gamma)))
     return replace(img, data=F.transform(img["data"], lambda x: F.signum(x) * F.pow(F.abs(x), power)))
 
 
+@bound
 def normalize(img: Column, out_min=-1.0, out_max=1.0, *, in_range: tuple[float, float] | None = None, percentiles=(0.0, 100.0), mask: Column | None = None) -> Column:
     """Clamps to the input range (given, or percentiles of the masked voxels) and maps it to the output range; a range of 0 changes nothing."""
     if in_range:
@@ -51,6 +54,7 @@ def normalize(img: Column, out_min=-1.0, out_max=1.0, *, in_range: tuple[float,
     return replace(img, data=let(pair, scaled))
 
 
+@bound
 def standardize(img: Column, mask: Column | None = None) -> Column:
     """Zero mean and unit (unbiased) deviation of the masked voxels; a constant image raises."""
 
@@ -65,11 +69,13 @@ def standardize(img: Column, mask: Column | None = None) -> Column:
     return replace(img, data=let(_masked(img, mask), scaled))
 
 
+@bound
 def apply_mask(img: Column, mask: Column, *, labels: list[int] | None = None, outside: float = 0.0) -> Column:
     inside = (lambda m: m.isin(labels)) if labels else (lambda m: m != 0)
     return replace(img, data=F.zip_with(img["data"], mask["data"], lambda x, m: F.when(inside(m), x).otherwise(F.lit(float(outside)))))
 
 
+@bound
 def noise(img: Column, key: Column, *, mean: float = 0.0, std: float | Column = 0.25, rician: bool = False, seed: int = 0) -> Column:
     """Seeded Gaussian or Rician noise; key names the row, each voxel has its own counter."""
     n = lambda stream, p: rng.normal(seed, stream, F.concat_ws(":", key.cast("string"), p.cast("string"))) * std + mean
@@ -98,6 +104,7 @@ def landmarks(images: DataFrame, column: str, *, quantile_list=QUANTILES, cutoff
     return rows.groupBy(F.col("e.quantile").alias("quantile")).agg((F.avg(F.col("s") * F.col("e.x")) + F.avg(-F.col("s") * F.col("lo"))).alias("value"))
 
 
+@bound
 def histogram_standardize(img: Column, values: list[float], *, quantile_list=QUANTILES, cutoff=(0.01, 0.99)) -> Column:
     """Piecewise-linear map of the image's quantiles to the landmark values; end segments extrapolate, flat ones have slope 0."""
     if len(values) != len(quantile_list):
@@ -123,6 +130,7 @@ def histogram_standardize(img: Column, values: list[float], *, quantile_list=QUA
     return replace(img, data=let(quantiles(img["data"], list(quantile_list)), mapped))
 
 
+@bound
 def labels_to_image(seg: Column, key: Column, stats: dict[int, tuple[float, float]], *, default=(0.5, 0.05), seed: int = 0) -> Column:
     """A new scalar image: every label's tissue has Gaussian values of its mean and deviation, seeded by row and voxel."""
     z = lambda p: rng.normal(seed, "tissue", F.concat_ws(":", key.cast("string"), p.cast("string")))
@@ -136,10 +144,12 @@ def labels_to_image(seg: Column, key: Column, stats: dict[int, tuple[float, floa
     return replace(seg, data=F.transform(seg["data"], one))
 
 
+@bound
 def median(img: Column) -> Column:
     return quantile(img["data"], 0.5)
 
 
+@bound
 def otsu(img: Column) -> Column:
     """The threshold of the largest between-class variance over the sorted values; the first strict maximum wins."""
     v = F.array_sort(img["data"])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.image import let, replace
+from ..functions.image import bound, let, replace
 
 
+@bound
 def remap(img: Column, table: dict[int, int]) -> Column:
     """All at once: every voxel is looked up by its original label."""
     if not table:
@@ -15,15 +16,18 @@ def remap(img: Column, table: dict[int, int]) -> Column:
     return replace(img, data=F.transform(img["data"], lambda x: F.coalesce(F.try_element_at(lookup, x), x)))
 
 
+@bound
 def remove(img: Column, labels: list[int], background: int = 0) -> Column:
     return replace(img, data=F.transform(img["data"], lambda x: F.when(x.isin(labels), background).otherwise(x)))
 
 
+@bound
 def sequential(img: Column) -> Column:
     """The sorted distinct labels become 0, 1, 2, ..."""
     return replace(img, data=let(F.array_sort(F.array_distinct(img["data"])), lambda u: F.transform(img["data"], lambda x: (F.array_position(u, x) - 1).cast("int"))))
 
 
+@bound
 def one_hot(img: Column, classes: int) -> Column:
     """Channel 0 as one channel of 0 and 1 for every class."""
     n = F.size(img["data"]) / img["c"]
@@ -32,6 +36,7 @@ def one_hot(img: Column, classes: int) -> Column:
     return replace(img, c=F.lit(classes), data=data)
 
 
+@bound
 def arg_max(img: Column) -> Column:
     """The channel of the largest value of each voxel, the first of equals: the inverse of one_hot."""
     n = (F.size(img["data"]) / img["c"]).cast("int")
@@ -40,5 +45,6 @@ def arg_max(img: Column) -> Column:
     return replace(img, c=F.lit(1), data=data)
 
 
+@bound
 def unique(img: Column) -> Column:
     return F.array_sort(F.array_distinct(img["data"]))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from ..functions import affine as A
-from ..functions.image import AXES, gather, image, let, mean, position, quantile, replace
+from ..functions.image import bound, AXES, gather, image, let, mean, position, quantile, replace
 
 PAD_MODES = ("constant", "reflect", "replicate", "circular", "mean", "median", "minimum")
 
@@ -20,6 +20,7 @@ def six(spec: int | tuple) -> tuple[int, ...]:
     return v
 
 
+@bound
 def crop(img: Column, cropping: int | tuple) -> Column:
     i0, i1, j0, j1, k0, k1 = six(cropping)
     shape = (img["c"], img["si"] - i0 - i1, img["sj"] - j0 - j1, img["sk"] - k0 - k1)
@@ -28,6 +29,7 @@ def crop(img: Column, cropping: int | tuple) -> Column:
     return image(*shape, A.shifted(img["affine"], F.lit(i0), F.lit(j0), F.lit(k0)), data)
 
 
+@bound
 def pad(img: Column, padding: int | tuple, mode: str = "constant", fill: float = 0) -> Column:
     if mode not in PAD_MODES:
         raise ValueError(f"unknown padding mode {mode!r}")
@@ -72,6 +74,7 @@ def multiple_shape(shape: tuple[int, int, int], multiple: int | tuple, method: s
     return tuple(max(math.ceil(n / k) * k if method == "pad" else n // k * k, 1) for n, k in zip(shape, m, strict=True))
 
 
+@bound
 def flip(img: Column, axes: tuple[int, ...] = (0,), when: Column | None = None) -> Column:
     """Reverses the data along axes; the affine stays."""
     turn = lambda d, x: img[AXES[d]] - 1 - x if d in axes else x
@@ -79,6 +82,7 @@ def flip(img: Column, axes: tuple[int, ...] = (0,), when: Column | None = None)
     return replace(img, data=data if when is None else F.when(when, data).otherwise(img["data"]))
 
 
+@bound
 def permute(img: Column, order: tuple[int, int, int], flips: tuple[int, ...] = ()) -> Column:
     """New axis d is the old axis order[d]; old axes in flips are reversed. The affine follows."""
     a = img["affine"]
@@ -99,10 +103,12 @@ def permute(img: Column, order: tuple[int, int, int], flips: tuple[int, ...] = (
     return image(*shape, a, gather(img, shape, source))
 
 
+@bound
 def transpose(img: Column) -> Column:
     return permute(img, (2, 1, 0))
 
 
+@bound
 def reorient(img: Column, source: str, target: str = "RAS") -> Column:
     """From one anatomical orientation to another: flips, then a permutation."""
     order, signs = A.axis_mapping(source, target)
@@ -146,6 +152,7 @@ def _linear(img: Column, d: int, n: Column) -> Column:
     return resample_axis(img, d, n, lo, lambda x: F.least(lo(x) + 1, old - 1), lambda x: src(x) - lo(x))
 
 
+@bound
 def resize(img: Column, target: tuple[int, int, int], interpolation: str = "linear") -> Column:
     """To the target shape; the affine's columns follow, the origin stays."""
     a = img["affine"]
@@ -157,6 +164,7 @@ def resize(img: Column, target: tuple[int, int, int], interpolation: str = "line
     return replace(out, affine=F.array(*(A.at(a, r, c) * scale[c] if c < 3 and r < 3 else A.at(a, r, c) for r in range(4) for c in range(4))))
 
 
+@bound
 def anisotropy(img: Column, axis: int, factor: float, interpolation: str = "linear") -> Column:
     """Fewer slices along an axis (nearest), then as many as before (linear or nearest)."""
     n = img[AXES[axis]]
@@ -165,6 +173,7 @@ def anisotropy(img: Column, axis: int, factor: float, interpolation: str = "line
     return let(low, lambda x: (_linear if interpolation == "linear" else _nearest)(x, axis, n))
 
 
+@bound
 def border_mean(img: Column) -> Column:
     """Mean of the six faces of channel 0; voxels on edges and corners count once for each face."""
     si, sj, sk = (img[a] for a in AXES)
