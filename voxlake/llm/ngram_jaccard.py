@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
     """Verified links between nodes."""
     signed = nodes.where("sig is not null")
-    band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), b)
+    band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), F.lit(b))
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
     pairs, large = _candidates(members.select("key", "node"))
     left = store.keep(_pruned(pairs, nodes))
