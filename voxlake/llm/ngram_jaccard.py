@@ -7,8 +7,8 @@ shingles (a shorter text is one shingle). Documents are linked if the Jaccard si
 2. Candidates. 128 MinHash values a node, in 32 bands of 4: a pair at the threshold shares no band with
    probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each member with
    ``LEADERS`` leaders (the least node of each salt, found by partial aggregation, so no task holds a bucket). Members that
-   turn out to be linked to no leader of their bucket go on to another round among themselves, under the same key while it
-   shrinks and then under longer ones, until all their buckets are small. Pairs inside a bucket are never all emitted.
+   turn out to be linked to no leader of their bucket go on to another round among themselves, then to rounds under longer
+   keys (with each of ``SPLITS`` further bands), until all their buckets are small. Pairs inside a large bucket are never all emitted.
 3. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
    probability of similarity >= t is P(Binomial(n + 1, t) <= m). Below ``TOLERANCE`` the pair is dropped.
 4. Verification. The rest are verified exactly on their shingle sets.
@@ -38,7 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-5
-SMALL, LEADERS, SAME_KEY_ROUNDS = 24, 8, 3
+SMALL, LEADERS, SAME_KEY_ROUNDS, SPLITS = 24, 8, 1, 4
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 
@@ -117,17 +117,19 @@ def _pairs_small(members: DataFrame) -> DataFrame:
     return sets.select("m", i).select(F.get("m", F.col("i")).alias("a"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
 
 
-def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of buckets, and the members (key, node, leaders) of the large ones."""
+def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of buckets, the members (key, node, leaders) of the large ones, and their (node, leader)."""
     salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(LEADERS))
     least = members.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
     heads = least.groupBy("key").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("n")).where("n > 1")
     known = members.join(heads, "key")
     small = _pairs_small(known.where(F.col("n") <= SMALL).select("key", "node"))
     large = known.where(F.col("n") > SMALL).select("key", "node", "leaders")
-    led = large.select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+    # the buckets of a node share most leaders: each is compared once
+    own = large.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("l"))
+    led = own.select("node", F.explode("l").alias("leader")).where("node <> leader")
     pairs = small.unionByName(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    return pairs.distinct(), large
+    return pairs.distinct(), large, led
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,26 +196,26 @@ def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
     signed = nodes.where("sig is not null")
     band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), F.lit(b))
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
-    pairs, large = _candidates(members.select("key", "node"))
+    pairs, large, led = _candidates(members.select("key", "node"))
     left = store.keep(_pruned(pairs, nodes))
-    large = store.keep(large)
+    large, led = store.keep(large), store.keep(led)
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = store.keep(_sets(docs, nodes, wanted))
     found = [store.keep(_verified(left, sets))]
     level = 0
     while True:
-        linked = found[-1].select("a", "b").unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b")))
-        led = large.select("key", "node", F.explode("leaders").alias("b"))
-        done = led.where("node = b").select("key", "node").unionByName(led.join(linked.withColumnRenamed("a", "node"), ["node", "b"]).select("key", "node")).distinct()
-        rest = store.keep(large.select("key", "node").join(done, ["key", "node"], "left_anti"))
+        pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
+        linked = led.select("node", "leader", *pair).join(found[-1].select("a", "b"), ["a", "b"]).groupBy("node").agg(F.collect_set("leader").alias("known"))
+        done = F.array_contains("leaders", F.col("node")) | F.coalesce(F.arrays_overlap("leaders", "known"), F.lit(False))
+        rest = store.keep(large.join(linked, "node", "left").where(~done).select("key", "node"))
         if rest.isEmpty():
             break
         level += 1
-        if level > SAME_KEY_ROUNDS:  # a bucket that stays large is split by one band after another
-            b = (level - SAME_KEY_ROUNDS) % BANDS
-            rest = rest.join(signed.select("node", band(b).alias("more")), "node").select(F.xxhash64("key", "more").alias("key"), "node")
-        pairs, large = _candidates(rest)
-        large = store.keep(large)
+        if level > SAME_KEY_ROUNDS:  # a bucket that stays large is split by further bands
+            more = [band((level * SPLITS + n) % BANDS) for n in range(SPLITS)]
+            rest = rest.join(signed.select("node", F.explode(F.array(*more)).alias("more")), "node").select(F.xxhash64("key", "more").alias("key"), "node").distinct()
+        pairs, large, led = _candidates(rest)
+        large, led = store.keep(large), store.keep(led)
         found.append(store.keep(_verified(_pruned(pairs, nodes), sets)))
     out = found[0]
     for more in found[1:]:
@@ -263,9 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, the one with the least doc_id; texts without words all stay."""
     classes = _classes(docs)
-    first = Window.partitionBy("root").orderBy(F.col("rep").asc_nulls_last(), "node")
     heads = classes.where("worded and (root <> node or n_links > 0)").withColumn("_n", F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).over(Window.partitionBy("root"))).where("_n.node = node")
-    del first
     single = classes.where("worded and root = node and n_links = 0")
     keep = heads.select("node", "rep").unionByName(single.select("node", "rep"))
     blank = classes.where("not worded").select("node", F.lit(True).alias("_blank"))
