@@ -82,16 +82,23 @@ def flip(img: Column, axes: tuple[int, ...] = (0,), when: Column | None = None)
     return replace(img, data=data if when is None else F.when(when, data).otherwise(img["data"]))
 
 
+def _turned(img: Column, d: int):
+    """The affine with axis d reversed: the origin moves to the other end, the column changes its sign."""
+
+    def turn(a: Column) -> Column:
+        moved = A.apply(a, *((img[AXES[d]] - 1 if x == d else F.lit(0)) for x in range(3)))
+        return F.array(*(moved[r] if c == 3 and r < 3 else -A.at(a, r, c) if c == d and r < 3 else A.at(a, r, c) for r in range(4) for c in range(4)))
+
+    return turn
+
+
 @bound
 def permute(img: Column, order: tuple[int, int, int], flips: tuple[int, ...] = ()) -> Column:
     """New axis d is the old axis order[d]; old axes in flips are reversed. The affine follows."""
     a = img["affine"]
-    for d in flips:  # the origin moves to the other end, the column turns
-        n = img[AXES[d]]
-        end = [F.when(F.lit(x == d), n - 1).otherwise(0) for x in range(3)]
-        moved = A.shifted(a, *end)
-        a = F.array(*(-A.at(moved, r, c) if c == d and r < 3 else A.at(moved, r, c) for r in range(4) for c in range(4)))
-    a = F.array(*(A.at(a, r, order[c] if c < 3 else 3) for r in range(4) for c in range(4)))
+    for d in flips:
+        a = let(a, _turned(img, d))
+    a = let(a, lambda m: F.array(*(A.at(m, r, order[c] if c < 3 else 3) for r in range(4) for c in range(4))))
     shape = (img["c"], *(img[AXES[d]] for d in order))
 
     def source(c, i, j, k):
@@ -158,9 +165,9 @@ def resize(img: Column, target: tuple[int, int, int], interpolation: str = "line
     a = img["affine"]
     scale = [img[x] / t for x, t in zip(AXES, target, strict=True)]
     out = img
+    step = bound(lambda x, d, t: (_linear if interpolation == "linear" else _nearest)(x, d, F.lit(t)))
     for d, t in enumerate(target):
-        step = _linear if interpolation == "linear" else _nearest
-        out = let(out, lambda x, d=d, t=t, step=step: step(x, d, F.lit(t)))
+        out = step(out, d, t)
     return replace(out, affine=F.array(*(A.at(a, r, c) * scale[c] if c < 3 and r < 3 else A.at(a, r, c) for r in range(4) for c in range(4))))
 
 

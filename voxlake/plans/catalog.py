@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import affine as A, rng
-from ..functions.image import image, quantiles, replace
+from ..functions.image import image, let, quantiles, replace
 from ..operators import annotations as an, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp
 from ..sources.generators import zone_plate
 from ..sources.tables import multichannel, subjects, table
@@ -49,7 +49,7 @@ def dump(df: DataFrame, img: Column, whole: bool = False) -> DataFrame:
 
 
 def rsql(e: str) -> str:
-    return f"round({e}, 6) + 0.0"
+    return f"round(CAST({e} AS DOUBLE), 6) + CAST(0 AS DOUBLE)"
 
 
 def voxel_sql(e: str, where: str = "") -> str:
@@ -83,7 +83,7 @@ def scan_header(spark, sf_dir):
 simple("slice_region", lambda x, s: sp.crop(x, (1, 1, 0, 2, 2, 0)), gather_sql(8, "(g // 4 + 1) * 16 + (g // 2) % 2 * 4 + g % 2 + 2"))
 
 
-@query("SELECT vec_id, label + 1.0 AS x, 0.0 AS y, 2.0 * (1 + label % 3) AS z FROM embeddings")
+@query("SELECT vec_id, CAST(label + 1 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(2 * (1 + label % 3) AS DOUBLE) AS z FROM embeddings")
 def slice_affine_shift(spark, sf_dir):
     a = sp.crop(F.col("t1"), (1, 1, 0, 2, 2, 0))["affine"]
     return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(c.alias(n) for c, n in zip(A.origin(a), "xyz", strict=True)))
@@ -314,10 +314,11 @@ simple("spatial_transpose", lambda x, s: sp.transpose(x), gather_sql(64, "g % 4
 simple("spatial_reorient", lambda x, s: sp.reorient(x, "RAS", "PIR"), gather_sql(64, "g % 4 * 16 + (3 - g // 16) * 4 + 3 - (g // 4) % 4"))
 
 
-@query("SELECT vec_id, 'PIR' AS codes, CAST(label AS DOUBLE) AS x, 3.0 AS y, 3.0 * (1 + label % 3) AS z FROM embeddings")
+@query("SELECT vec_id, 'PIR' AS codes, CAST(label AS DOUBLE) AS x, CAST(3 AS DOUBLE) AS y, CAST(3 * (1 + label % 3) AS DOUBLE) AS z FROM embeddings")
 def spatial_reorient_affine(spark, sf_dir):
-    a = sp.reorient(F.col("t1"), "RAS", "PIR")["affine"]
-    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), A.orientation(a).alias("codes"), *(c.alias(n) for c, n in zip(A.origin(a), "xyz", strict=True)))
+    a = F.col("a")
+    s = subjects(spark, sf_dir).select("subject_id", sp.reorient(F.col("t1"), "RAS", "PIR")["affine"].alias("a"))
+    return s.select(F.col("subject_id").alias("vec_id"), A.orientation(a).alias("codes"), *(c.alias(n) for c, n in zip(A.origin(a), "xyz", strict=True)))
 
 
 @query("SELECT vec_id, CAST(label AS DOUBLE) AS x, CAST(1 + label % 3 AS DOUBLE) AS dz FROM embeddings")
@@ -327,7 +328,7 @@ def spatial_copy_affine(spark, sf_dir):
     return s.select(F.col("subject_id").alias("vec_id"), A.origin(a)[0].alias("x"), A.spacing(a)[2].alias("dz"))
 
 
-@query("SELECT vec_id, 2.0 AS dx, 2.0 * (1 + label % 3) AS dz, label + 0.5 AS x, 0.5 * (1 + label % 3) AS z FROM embeddings")
+@query("SELECT vec_id, CAST(2 AS DOUBLE) AS dx, CAST(2 * (1 + label % 3) AS DOUBLE) AS dz, CAST(label + 0.5 AS DOUBLE) AS x, CAST(0.5 * (1 + label % 3) AS DOUBLE) AS z FROM embeddings")
 def spatial_to_reference(spark, sf_dir):
     small = image(1, 2, 2, 2, A.from_spacing([1, 1, 1], [0, 0, 0]), F.array(*[F.lit(0.0)] * 8))
     a = sp.to_reference_space(small, F.col("t1"))["affine"]
@@ -393,24 +394,24 @@ def spatial_otsu(spark, sf_dir):
 
 
 # --- geometry and annotations ---
-@query("SELECT vec_id, 1.0 AS dx, 1.0 AS dy, CAST(1 + label % 3 AS DOUBLE) AS dz, CAST(label AS DOUBLE) AS ox, 'RAS' AS codes FROM embeddings")
+@query("SELECT vec_id, CAST(1 AS DOUBLE) AS dx, CAST(1 AS DOUBLE) AS dy, CAST(1 + label % 3 AS DOUBLE) AS dz, CAST(label AS DOUBLE) AS ox, 'RAS' AS codes FROM embeddings")
 def geom_spacing_origin(spark, sf_dir):
     a = F.col("t1.affine")
     return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(c.alias(n) for c, n in zip(A.spacing(a), ("dx", "dy", "dz"), strict=True)), A.origin(a)[0].alias("ox"), A.orientation(a).alias("codes"))
 
 
-@query(f"SELECT vec_id, {rsql('2.0 - label')} AS x, 3.0 AS y, {rsql('4.0 / (1 + label % 3)')} AS z FROM embeddings")
+@query(f"SELECT vec_id, {rsql('2.0 - label')} AS x, CAST(3 AS DOUBLE) AS y, {rsql('4.0 / (1 + label % 3)')} AS z FROM embeddings")
 def geom_inverse_apply(spark, sf_dir):
     v = A.apply(A.inverse(F.col("t1.affine")), *map(F.lit, (2.0, 3.0, 4.0)))
     return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(real(c).alias(n) for c, n in zip(v, "xyz", strict=True)))
 
 
-@query(f"SELECT vec_id, 0.0 AS x, 0.0 AS y, {rsql('CAST(label * 10 AS DOUBLE)')} AS z FROM embeddings")
+@query(f"SELECT vec_id, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, {rsql('CAST(label * 10 AS DOUBLE)')} AS z FROM embeddings")
 def geom_euler(spark, sf_dir):
     t = F.radians(F.col("cohort") * 10.0)
     z = F.lit(0.0)
     turn = F.array(F.cos(t), -F.sin(t), z, z, F.sin(t), F.cos(t), z, z, z, z, F.lit(1.0), z, z, z, z, F.lit(1.0))
-    e = A.euler(A.compose(turn, F.col("t1.affine")))
+    e = [F.get(let(A.compose(turn, F.col("t1.affine")), lambda a: F.array(*A.euler(a))), F.lit(n)) for n in range(3)]
     return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(real(c).alias(n) for c, n in zip(e, "xyz", strict=True)))
 
 

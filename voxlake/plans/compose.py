@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rng
-from ..functions.image import image_columns, let
+from ..functions.image import image_columns
 from ..operators import intensity, label, spatial
 from .parameters import draw
 
@@ -233,6 +233,6 @@ def replay_inverse(df: DataFrame, steps: int) -> DataFrame:
             for a in range(3):
                 choices = choices.when((rec["name"] == "Flip") & (F.get_json_object(rec["params"], "$.axes") == str(a)), spatial.flip(x, (a,)))
             if n in image_columns(df, "scalar"):
-                choices = choices.when(rec["name"] == "Gamma", let(F.get_json_object(rec["params"], "$.log_gamma").cast("double"), lambda g, x=x: intensity.gamma(x, -g)))
+                choices = choices.when(rec["name"] == "Gamma", intensity.gamma(x, -F.get_json_object(rec["params"], "$.log_gamma").cast("double")))
             df = df.withColumn(n, choices.otherwise(x))
     return df.withColumn("history", F.array().cast(HISTORY))
