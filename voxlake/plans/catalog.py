@@ -138,7 +138,7 @@ simple("intensity_mask", lambda x, s: it.apply_mask(x, F.col("brain"), outside=-
 simple("intensity_mask_labels", lambda x, s: it.apply_mask(x, F.col("seg"), labels=[1]), voxel_sql(f"CASE WHEN {SEG} = 1 THEN v ELSE 0.0 END"))
 _KEY = "concat_ws(':', vec_id, p)"
 simple("intensity_noise_gaussian", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, seed=3), voxel_sql(f"v + {rng.normal_sql(3, 'noise1', _KEY)} * 0.25"))
-simple("intensity_noise_rician", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, rician=True, seed=3), voxel_sql(f"sqrt(pow(v + {rng.normal_sql(3, 'noise1', _KEY)} * 0.25, 2) + pow(v + {rng.normal_sql(3, 'noise2', _KEY)} * 0.25, 2))"))
+simple("intensity_noise_rician", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, rician=True, seed=3), voxel_sql(f"sqrt(pow(v + {rng.normal_sql(3, 'noise1', _KEY)} * 0.25, 2) + pow({rng.normal_sql(3, 'noise2', _KEY)} * 0.25, 2))"))
 ORACLES["intensity_noise_gated"] = voxel_sql(f"CASE WHEN {rng.uniform_sql(5, '/0.p', 'vec_id')} < 0.5 THEN v + {rng.normal_sql(5, 'noise1', _KEY)} * (0.1 + 0.2 * {rng.uniform_sql(5, '/0.std', 'vec_id')}) ELSE v END")
 QUERIES["intensity_noise_gated"] = lambda spark, sf_dir: dump(Compose([Transform("Noise", {"std": [0.1, 0.3]}, p=0.5)])(subjects(spark, sf_dir), seed=5), F.col("t1"))
 
