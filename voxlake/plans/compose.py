@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rng
-from ..functions.image import image_columns
+from ..functions.image import bound, image_columns
 from ..operators import intensity, label, spatial
 from .parameters import draw
 
@@ -101,7 +101,7 @@ class Transform:
         f = rule.inverse if inverse else rule.forward
         out = {n: f(F.col(n), used, r) for n in self.names(df)}
         if gate is not None:
-            out = {n: F.when(gate, c).otherwise(F.col(n)) for n, c in out.items()}
+            out = {n: _gated(F.col(n), gate, lambda x: f(x, used, r)) for n in self.names(df)}
         if inverse:
             return df.withColumns(out)
         fixed = json.dumps({k: v for k, v in params.items() if k not in rule.random}, sort_keys=True)
@@ -227,12 +227,23 @@ def replay_inverse(df: DataFrame, steps: int) -> DataFrame:
     """
     for back in range(1, steps + 1):
         rec = F.get("history", F.size("history") - back)
+        scalars = image_columns(df, "scalar")
         for n in image_columns(df):
-            x = F.col(n)
-            choices = F.when(rec["name"] == "Transpose", spatial.transpose(x))
-            for a in range(3):
-                choices = choices.when((rec["name"] == "Flip") & (F.get_json_object(rec["params"], "$.axes") == str(a)), spatial.flip(x, (a,)))
-            if n in image_columns(df, "scalar"):
-                choices = choices.when(rec["name"] == "Gamma", intensity.gamma(x, -F.get_json_object(rec["params"], "$.log_gamma").cast("double")))
-            df = df.withColumn(n, choices.otherwise(x))
+            df = df.withColumn(n, _undone(F.col(n), rec, n in scalars))
     return df.withColumn("history", F.array().cast(HISTORY))
+
+
+@bound
+def _undone(x: Column, rec: Column, scalar: bool) -> Column:
+    """The image before the record."""
+    out = F.when(rec["name"] == "Transpose", spatial.transpose(x))
+    for a in range(3):
+        out = out.when((rec["name"] == "Flip") & (F.get_json_object(rec["params"], "$.axes") == str(a)), spatial.flip(x, (a,)))
+    if scalar:
+        out = out.when(rec["name"] == "Gamma", intensity.gamma(x, -F.get_json_object(rec["params"], "$.log_gamma").cast("double")))
+    return out.otherwise(x)
+
+
+@bound
+def _gated(x: Column, gate: Column, f: Callable) -> Column:
+    return F.when(gate, f(x)).otherwise(x)
