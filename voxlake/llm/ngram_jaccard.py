@@ -6,7 +6,7 @@ shingles (a shorter text is one shingle). Documents are linked if the Jaccard si
 1. Copies. Documents with equal texts form one node, keyed by the text's 64-bit hash, before anything is compared.
 2. Candidates. 128 MinHash values a node, in 32 bands of 4: a pair at the threshold shares no band with
    probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each member with
-   ``LEADERS`` leaders (the least node of each salt, found by partial aggregation, so no task holds a bucket). Members that
+   ``LEADERS`` leaders (of each salt the node in most large buckets, by partial aggregation, so no task holds a bucket). Members that
    turn out to be linked to no leader of their bucket go on to another round among themselves, then to rounds under longer
    keys (with each of ``SPLITS`` further bands), until all their buckets are small. Pairs inside a large bucket are never all emitted.
 3. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
@@ -38,7 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-5
-SMALL, LEADERS, SAME_KEY_ROUNDS, SPLITS = 24, 8, 1, 4
+SMALL, LEADERS, SAME_KEY_ROUNDS, SPLITS = 32, 8, 1, 2
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 
@@ -117,14 +117,17 @@ def _pairs_small(members: DataFrame) -> DataFrame:
     return sets.select("m", i).select(F.get("m", F.col("i")).alias("a"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
 
 
-def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates(members: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidate pairs (a < b) of buckets, the members (key, node, leaders) of the large ones, and their (node, leader)."""
-    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(LEADERS))
-    least = members.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-    heads = least.groupBy("key").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("n")).where("n > 1")
-    known = members.join(heads, "key")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    known = members.join(sizes, "key")
     small = _pairs_small(known.where(F.col("n") <= SMALL).select("key", "node"))
-    large = known.where(F.col("n") > SMALL).select("key", "node", "leaders")
+    big = store.keep(known.where(F.col("n") > SMALL).select("key", "node"))
+    # a text near the middle of a dense group shares most of its buckets
+    shared = big.groupBy("node").agg(F.count("*").alias("d"))
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(LEADERS))
+    central = big.join(shared, "node").groupBy("key", salt.alias("salt")).agg(F.max(F.struct("d", "node")).alias("h"))
+    large = big.join(central.groupBy("key").agg(F.collect_list("h.node").alias("leaders")), "key")
     # the buckets of a node share most leaders: each is compared once
     own = large.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("l"))
     led = own.select("node", F.explode("l").alias("leader")).where("node <> leader")
@@ -196,7 +199,7 @@ def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
     signed = nodes.where("sig is not null")
     band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), F.lit(b))
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
-    pairs, large, led = _candidates(members.select("key", "node"))
+    pairs, large, led = _candidates(members.select("key", "node"), store)
     left = store.keep(_pruned(pairs, nodes))
     large, led = store.keep(large), store.keep(led)
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
@@ -214,7 +217,7 @@ def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
         if level > SAME_KEY_ROUNDS:  # a bucket that stays large is split by further bands
             more = [band((level * SPLITS + n) % BANDS) for n in range(SPLITS)]
             rest = rest.join(signed.select("node", F.explode(F.array(*more)).alias("more")), "node").select(F.xxhash64("key", "more").alias("key"), "node").distinct()
-        pairs, large, led = _candidates(rest)
+        pairs, large, led = _candidates(rest, store)
         large, led = store.keep(large), store.keep(led)
         found.append(store.keep(_verified(_pruned(pairs, nodes), sets)))
     out = found[0]
