@@ -162,6 +162,8 @@ def mark_tokens(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, *, rati
     and more than chance would bring among so many features, hold it.
     """
     nd = len(toxic)
+    if not len(feats):
+        return np.zeros(0, dtype=bool)
     doc = np.repeat(np.arange(nd), np.diff(first))
     base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
     bad_token = toxic[doc]
