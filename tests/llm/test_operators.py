@@ -301,6 +301,23 @@ def test_op2_classes_against_brute_force(spark, empty):
     assert nj.near_duplicates(empty).count() == 0 and nj.drop_near_duplicates(empty).count() == 0
 
 
+def test_op2_two_dense_groups_with_one_bridge(spark):
+    r = random.Random(8)
+    want, texts = {}, {}
+    for g in range(5):
+        head, one, two = ([f"{p}{g}x{i}" for i in range(n)] for p, n in (("h", 330), ("a", 52), ("b", 52)))
+        group = [[*head, *one, *two[:20]], [*head, *two, *one[:20]]]  # linked to each other; all other links stay in a half
+        for k in range(120):
+            group.append([*head, *(one, two)[k % 2]])
+            group[-1][r.randrange(len(head))] = f"c{g}x{k}"
+        part = {1000 * g + r.randrange(7) + 7 * i: " ".join(w) for i, w in enumerate(group)}
+        want |= brute_classes(part)
+        texts |= part
+    assert len(set(want.values())) == 5
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in nj.near_duplicates(df).collect()} == want
+
+
 def test_op2_repeated_and_null_rows(docs):
     got = nj.near_duplicates(docs).toPandas()
     assert len(got) == len(rows())

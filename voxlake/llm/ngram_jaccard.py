@@ -5,18 +5,17 @@ shingles (a shorter text is one shingle). Documents are linked if the Jaccard si
 
 1. Copies. Documents with equal texts form one node, keyed by the text's 64-bit hash, before anything is compared.
 2. Candidates. 128 MinHash values a node, in 32 bands of 4: a pair at the threshold shares no band with
-   probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each member with
-   ``LEADERS`` leaders (of each salt the node in most large buckets, by partial aggregation, so no task holds a bucket). Members that
-   turn out to be linked to no leader of their bucket go on to another round among themselves, then to rounds under longer
-   keys (with each of ``SPLITS`` further bands), until all their buckets are small. Pairs inside a large bucket are never all emitted.
+   probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs as rows. A larger one is dealt by hash into parts of
+   about ``BLOCK`` nodes, and every two parts of it (and each with itself) are one task, which compares all their pairs on its
+   own, so no pair is left out and no task holds a bucket. A pair belongs to the first band on which it agrees, so it is compared once.
 3. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
    probability of similarity >= t is P(Binomial(n + 1, t) <= m). Below ``TOLERANCE`` the pair is dropped.
 4. Verification. The rest are verified exactly on their shingle sets.
 5. Classes. Connected components of the links by alternating large-star and small-star steps, each written
    to the shared folder; a class is named by its least doc_id.
 
-So every document gets its class; links inside dense groups are held as stars (two linked texts are in one class), and
-``n_links`` counts the links that a text has in that form.
+So every document gets its class. A task on a large bucket gives its links as a spanning forest, which joins the same texts, so
+that the pairs of a dense group never become rows; its comparisons still grow with the square of the group.
 
 Defined results. Texts without words are linked to nothing: each is a class of its own. Null texts count as empty.
 Repeated rows share a class. A null doc_id is carried through; a class of null ids only has a null name. An empty table gives an
@@ -38,7 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-5
-SMALL, LEADERS, SAME_KEY_ROUNDS, SPLITS = 32, 8, 1, 2
+SMALL, BLOCK = 32, 400
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 
@@ -111,45 +110,34 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _pairs_small(members: DataFrame) -> DataFrame:
-    """All pairs of the buckets with up to SMALL nodes (members: key, node)."""
-    sets = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    """All pairs of the buckets with up to SMALL nodes (members: key, band, node), with the first band that gives them."""
+    sets = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"), F.min("band").alias("band"))
     i = F.explode(F.sequence(F.lit(0), F.size("m") - 2)).alias("i")
-    return sets.select("m", i).select(F.get("m", F.col("i")).alias("a"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    pairs = sets.select("m", "band", i).select(F.get("m", F.col("i")).alias("a"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"), "band")
+    return pairs.groupBy("a", "b").agg(F.min("band").alias("band"))
 
 
-def _candidates(members: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of buckets, the members (key, node, leaders) of the large ones, and their (node, leader)."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    known = members.join(sizes, "key")
-    small = _pairs_small(known.where(F.col("n") <= SMALL).select("key", "node"))
-    big = store.keep(known.where(F.col("n") > SMALL).select("key", "node"))
-    # a text near the middle of a dense group shares most of its buckets
-    shared = big.groupBy("node").agg(F.count("*").alias("d"))
-    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(LEADERS))
-    central = big.join(shared, "node").groupBy("key", salt.alias("salt")).agg(F.max(F.struct("d", "node")).alias("h"))
-    large = big.join(central.groupBy("key").agg(F.collect_list("h.node").alias("leaders")), "key")
-    # the buckets of a node share most leaders: each is compared once
-    own = large.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("l"))
-    led = own.select("node", F.explode("l").alias("leader")).where("node <> leader")
-    pairs = small.unionByName(led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    return pairs.distinct(), large, led
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures (rows of x and y) the posterior leaves, by incremental comparison."""
+    left, equal = np.arange(len(x)), np.zeros(len(x), dtype=np.int32)
+    for n, m in least_matches():
+        equal[left] += (x[left, n - STEP : n] == y[left, n - STEP : n]).sum(axis=1)
+        left = left[equal[left] >= m]
+    return left
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that the posterior leaves, by incremental comparison of MinHash values."""
-    limits = least_matches()
+    """The pairs (a, b) that the posterior leaves, without those that agree on a band before theirs: a large bucket has them."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
-            left, equal = np.arange(len(x)), np.zeros(len(x), dtype=np.int32)
-            for n, m in limits:
-                equal[left] += (x[left, n - STEP : n] == y[left, n - STEP : n]).sum(axis=1)
-                left = left[equal[left] >= m]
-            yield batch.select(["a", "b"]).take(pa.array(left))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (3, 4))
+            left = _agreeing(x, y)
+            first = (x[left].reshape(-1, BANDS, BAND) == y[left].reshape(-1, BANDS, BAND)).all(axis=2).argmax(axis=1)
+            yield batch.select(["a", "b"]).take(pa.array(left[first == batch.column(2).to_numpy()[left]]))
 
     sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "y"}), "b").select("a", "b", "x", "y")
+    both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "y"}), "b").select("a", "b", "band", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -169,61 +157,124 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs at or above the threshold."""
+    """The pairs (a, b) at or above the threshold."""
 
     def run(batches):
         for batch in batches:
-            keep, sims = [], []
+            keep = []
             xs, ys = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
                 least, most = sorted((len(x), len(y)))
                 if least < THRESHOLD * most:
                     continue
-                both = np.concatenate([x, y])
-                both.sort()
-                n = int((both[1:] == both[:-1]).sum())
-                if n >= THRESHOLD * (len(both) - n):
+                n = shared(x, y)
+                if n >= THRESHOLD * (len(x) + len(y) - n):
                     keep.append(i)
-                    sims.append(n / (len(both) - n))
-            got = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets i with sets j, exactly; many pairs of few sets as products of 0/1 matrices."""
+    if len(i) <= 8 * len(sets):
+        return np.array([shared(sets[a], sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+    values, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    column = np.cumsum(times > 1) - 1  # values of one set only meet nothing
+    often = times[code] > 1
+    owner, code = owner[often], column[code[often]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)  # counts below 2**24 are exact
+    for start in range(0, int((times > 1).sum()), width):
+        lo, hi = np.searchsorted(code, [start, start + width])
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[lo:hi], code[lo:hi] - start] = 1
+        out += has @ has.T
+    return out[i, j].astype(np.int64)
+
+
+def block_links(sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (i < j) between the parts of one task, or inside its only part, that agree on no band before this one."""
+    bands = np.ascontiguousarray(sig).view(np.uint64)
+    i, j = np.triu_indices(len(sig), 1)
+    if part.min() != part.max():
+        across = part[i] != part[j]
+        i, j = i[across], j[across]
+    for b in range(band):
+        new = bands[i, b] != bands[j, b]
+        i, j = i[new], j[new]
+    left = [i[:0]]
+    for start in range(0, len(i), 1 << 16):
+        left.append(start + _agreeing(sig[i[start : start + (1 << 16)]], sig[j[start : start + (1 << 16)]]))
+    left = np.concatenate(left)
+    i, j = i[left], j[left]
+    size = np.array(list(map(len, sets)))
+    fits = np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j])
+    i, j = i[fits], j[fits]
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    n = intersections([sets[k] for k in used], at[: len(i)], at[len(i) :])
+    ok = n >= THRESHOLD * (size[i] + size[j] - n)
+    return i[ok], j[ok]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links."""
+    near = np.zeros((n, n), dtype=bool)
+    near[i, j] = near[j, i] = True
+    new, out = near.any(axis=1), []
+    for root in np.flatnonzero(new).tolist():
+        stack = [root] if new[root] else []
+        new[root] = False
+        while stack:
+            u = stack.pop()
+            found = np.flatnonzero(near[u] & new).tolist()
+            new[found] = False
+            out += [(u, v) for v in found]
+            stack += found
+    return out
+
+
+def _large(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): spanning forests of all links in the large buckets (members: key, band, node, n), task by task."""
+    parts = F.ceil(F.col("n") / BLOCK)
+    own = members.select("key", "band", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(3)), parts).alias("part"))
+    full = own.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tasks = tasks.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).select("key", "lo", "hi", "band", "node", "part", "sig", "s")
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        i, j = block_links(sig, [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()], t.column("part").to_numpy(), t.column("band")[0].as_py())
+        edges = np.array(forest(len(node), i, j), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
+
+    return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
-    """Verified links between nodes."""
+    """Verified links (a, b) between nodes, those of large buckets as forests."""
     signed = nodes.where("sig is not null")
-    band = lambda b: F.xxhash64(F.substring("sig", b * (2 * BAND) + 1, 2 * BAND), F.lit(b))
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
-    pairs, large, led = _candidates(members.select("key", "node"), store)
-    left = store.keep(_pruned(pairs, nodes))
-    large, led = store.keep(large), store.keep(led)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    known = store.keep(members.join(sizes, "key"))
+    large = known.where(F.col("n") > SMALL)
+    left = store.keep(_pruned(_pairs_small(known.where(F.col("n") <= SMALL)), nodes))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = store.keep(_sets(docs, nodes, wanted))
-    found = [store.keep(_verified(left, sets))]
-    level = 0
-    while True:
-        pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
-        linked = led.select("node", "leader", *pair).join(found[-1].select("a", "b"), ["a", "b"]).groupBy("node").agg(F.collect_set("leader").alias("known"))
-        done = F.array_contains("leaders", F.col("node")) | F.coalesce(F.arrays_overlap("leaders", "known"), F.lit(False))
-        rest = store.keep(large.join(linked, "node", "left").where(~done).select("key", "node"))
-        if rest.isEmpty():
-            break
-        level += 1
-        if level > SAME_KEY_ROUNDS:  # a bucket that stays large is split by further bands
-            more = [band((level * SPLITS + n) % BANDS) for n in range(SPLITS)]
-            rest = rest.join(signed.select("node", F.explode(F.array(*more)).alias("more")), "node").select(F.xxhash64("key", "more").alias("key"), "node").distinct()
-        pairs, large, led = _candidates(rest, store)
-        large, led = store.keep(large), store.keep(led)
-        found.append(store.keep(_verified(_pruned(pairs, nodes), sets)))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return store.keep(out.dropDuplicates(["a", "b"])) if len(found) > 1 else out
+    return store.keep(_verified(left, sets).unionByName(_large(large, nodes, sets)))
 
 
 def components(links: DataFrame, store: Store) -> DataFrame:
