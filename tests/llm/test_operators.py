@@ -318,6 +318,20 @@ def test_op2_two_dense_groups_with_one_bridge(spark):
     assert {x["doc_id"]: x["class_id"] for x in nj.near_duplicates(df).collect()} == want
 
 
+def brute_links(texts: dict) -> dict:
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [folded(t)]}
+    return {a: sum(a != b and len(x & y) >= 0.8 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+
+
+def test_op2_counts_all_links(spark):
+    r = random.Random(6)
+    texts = {i: near(1, 200, r.randint(1, 5), r) for i in range(90)}  # nearly all linked to each other
+    texts |= {200 + i: near(2, 150, 1, r) for i in range(10)}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_links"] for x in nj.near_duplicates(df).collect()}
+    assert len(set(texts.values())) == len(texts) and got == brute_links(texts)
+
+
 def test_op2_repeated_and_null_rows(docs):
     got = nj.near_duplicates(docs).toPandas()
     assert len(got) == len(rows())

@@ -15,7 +15,8 @@ shingles (a shorter text is one shingle). Documents are linked if the Jaccard si
    to the shared folder; a class is named by its least doc_id.
 
 So every document gets its class. A task on a large bucket gives its links as a spanning forest, which joins the same texts, so
-that the pairs of a dense group never become rows; its comparisons still grow with the square of the group.
+that the pairs of a dense group never become rows, and counts the links of each text: ``n_links`` is the number of different
+texts that a text is linked to. The comparisons still grow with the square of the group.
 
 Defined results. Texts without words are linked to nothing: each is a class of its own. Null texts count as empty.
 Repeated rows share a class. A null doc_id is carried through; a class of null ids only has a null name. An empty table gives an
@@ -247,7 +248,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _large(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): spanning forests of all links in the large buckets (members: key, band, node, n), task by task."""
+    """Task by task of the large buckets (members: key, band, node, n): a spanning forest (a, b) of all links, and their number n of every node a (b null)."""
     parts = F.ceil(F.col("n") / BLOCK)
     own = members.select("key", "band", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(3)), parts).alias("part"))
     full = own.join(nodes.select("node", "sig"), "node").join(sets, "node")
@@ -259,13 +260,17 @@ def _large(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
         i, j = block_links(sig, [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()], t.column("part").to_numpy(), t.column("band")[0].as_py())
         edges = np.array(forest(len(node), i, j), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
+        n = np.bincount(np.concatenate([i, j]), minlength=len(node))
+        has = np.flatnonzero(n)
+        a, b = np.concatenate([node[edges[:, 0]], node[has]]), np.concatenate([node[edges[:, 1]], node[has]])
+        counts = np.arange(len(a)) >= len(edges)
+        return pa.table({"a": pa.array(a), "b": pa.array(b, mask=counts), "n": pa.array(np.concatenate([np.zeros(len(edges), np.int64), n[has]]))})
 
-    return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long, n long")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
-    """Verified links (a, b) between nodes, those of large buckets as forests."""
+def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes, those of large buckets as forests, and (node, n_links) with every link counted."""
     signed = nodes.where("sig is not null")
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -274,7 +279,10 @@ def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> DataFrame:
     left = store.keep(_pruned(_pairs_small(known.where(F.col("n") <= SMALL)), nodes))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = store.keep(_sets(docs, nodes, wanted))
-    return store.keep(_verified(left, sets).unionByName(_large(large, nodes, sets)))
+    few, many = store.keep(_verified(left, sets)), store.keep(_large(large, nodes, sets))
+    ends = few.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    degree = ends.unionByName(many.where("b is null").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
+    return few.unionByName(many.where("b is not null").select("a", "b")), degree
 
 
 def components(links: DataFrame, store: Store) -> DataFrame:
@@ -299,8 +307,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """(node, rep, copies, worded, root, class_id, n_links): every different text with its class."""
     store = Store(docs.sparkSession, "jaccard")
     nodes = store.keep(_nodes(docs))
-    links = _links(docs, nodes, store)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links, degree = _links(docs, nodes, store)
     roots = components(links, store)
     full = nodes.select("node", "rep", "copies", F.col("sig").isNotNull().alias("worded")).join(roots, "node", "left").join(degree, "node", "left")
     full = full.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
