@@ -332,6 +332,14 @@ def test_op2_counts_all_links(spark):
     assert len(set(texts.values())) == len(texts) and got == brute_links(texts)
 
 
+def test_op2_links_at_the_threshold_in_large_buckets(spark):
+    head, words = [f"h{i}" for i in range(330)], [f"w{i}" for i in range(1000)]
+    texts = {i: " ".join([*head, *words[3 * i : 3 * i + 110]]) for i in range(300)}  # a chain, each text linked to some 30 others down to 0.8
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_links"] for x in nj.near_duplicates(df).collect()}
+    assert got == brute_links(texts)
+
+
 def test_op2_repeated_and_null_rows(docs):
     got = nj.near_duplicates(docs).toPandas()
     assert len(got) == len(rows())
