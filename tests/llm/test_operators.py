@@ -143,6 +143,16 @@ def test_op4_against_sequential_mix(docs, empty):
     assert key(got) == key(again)
 
 
+def test_op4_small_sources_beside_a_large_one(spark):
+    sizes = {"a": 10, "b": 60, "c": 130, "d": 400, "e": 3_000_000}
+    targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    uses = mixing.block_uses(targets, mixing.BLOCK).join(targets, "rank")
+    length = F.least(F.lit(mixing.BLOCK), F.col("source_size") - F.col("block") * mixing.BLOCK)
+    got = {r["source"]: r["n"] for r in uses.groupBy("source").agg(F.sum(F.col("times") * length + F.col("more")).alias("n")).collect()}
+    want = {r["source"]: r["whole"] for r in targets.collect()}
+    assert [want[s] for s in "abcd"] == [30, 180, 390, 1200] and got == want
+
+
 def test_op4_repeats(docs, empty):
     out = mixing.repeat_documents(docs.drop("node", "score"))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]

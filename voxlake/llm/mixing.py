@@ -10,7 +10,8 @@
 3. Slot i of the schedule has the point frac(i * golden ratio), here i * M mod 2**31 in integers;
    cumulative targets map the point to a source. Slots are ranked per source, again
    in two levels (runs of slots, then slots in a run). The r-th slot of a source takes its
-   r-th block, epoch after epoch, until its target is taken.
+   r-th block, epoch after epoch, until its target is taken. The last block of an epoch is short, so a source may need
+   more slots than its share; it gets the missing ones after the schedule's end.
 4. The block uses are joined with the document pieces on (source, block); a block
    holds at most BLOCK documents with words, so the join has no hot key.
 
@@ -115,7 +116,12 @@ def repeat_documents(docs: DataFrame, **params) -> DataFrame:
 def block_uses(targets: DataFrame, block: int) -> DataFrame:
     """(rank, block, times, more): how often a source's block is taken whole, and how many words of it once more."""
     blocks = F.ceil(F.col("source_size") / block)
-    turns = schedule(targets, block).join(targets.select("rank", "source_size", "whole"), "rank")
+    dealt = schedule(targets, block)
+    need = F.floor(F.col("whole") / F.col("source_size")) * blocks + F.ceil(F.col("whole") % F.col("source_size") / block)
+    had = dealt.groupBy("rank").agg(F.count("*").alias("had"))
+    short = targets.where("whole > 0").join(had, "rank", "left").select("rank", F.coalesce("had", F.lit(0).cast("long")).alias("had"), need.alias("need")).where("had < need")
+    late = short.select("rank", F.explode(F.sequence("had", F.col("need") - 1)).alias("turn"))
+    turns = dealt.select("rank", "turn").unionByName(late).join(targets.select("rank", "source_size", "whole"), "rank")
     turns = turns.withColumn("epoch", F.floor(F.col("turn") / blocks)).withColumn("block", F.col("turn") % blocks)
     start = F.col("epoch") * F.col("source_size") + F.col("block") * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
