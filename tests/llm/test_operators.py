@@ -228,6 +228,17 @@ def test_op7_base_rules_and_suppression(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_op7_gate_loses_no_rule(monkeypatch):
+    forms = [f"released under {name}{v}" for _, names, versions in licenses.FAMILIES for name in names for v in [*versions, *(f"v{v}" for v in versions), " licence", " licensed"]]
+    forms += ["for noncommercial use", "only non commercial purposes", "redistribution and use in source and binary forms with or without modification", "redistributions and use in source and binary forms with or without modification", "under a creative commons open licence", "creativecommons org licenses by sa", "cc by nc 4 0", "cc0 1 0 universal"]
+    every = [b" ".join(licenses.fold(t.encode())) for t in forms]
+    got = [licenses.detect(t) for t in every]
+    monkeypatch.setattr(licenses, "_gates", lambda: {b"": list(licenses.rules())})
+    assert got == [licenses.detect(t) for t in every] and all(got)
+    monkeypatch.undo()
+    assert [licenses.scan(f"Released under {t}".encode())[5] for t in ("GPLv3", "gpl3", "LGPLv3", "AGPLv3", "MPL2.0")] == ["gpl-3", "gpl-3", "lgpl-3", "agpl-3", "mpl-2"]
+
+
 def test_op10_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

@@ -3,8 +3,8 @@
 A text is folded to its words (A-Z lower-cased; runs of digits, a-z and non-ASCII
 characters) joined by single blanks, so a rule is a plain regex over words. Rules are
 built from families (names, versions) and sentence templates, several hundred in all, each
-with a label, a priority and the keywords without which it cannot match. Only rules whose
-keyword occurs in a text are run. Detections are then resolved: one that lies inside
+with a label, a priority and a keyword, a literal part of all that it matches. Only rules whose
+keyword occurs in a text, inside a word too (gplv3), are run. Detections are then resolved: one that lies inside
 another of higher or equal priority is suppressed (equal intervals: the earlier rule
 stays). The base phrases are found apart from that and always stay.
 
@@ -139,13 +139,12 @@ def fold(text: bytes) -> list[bytes]:
 
 
 @lru_cache(maxsize=1)
-def _gates() -> tuple[re.Pattern, dict[bytes, list[Rule]]]:
-    """A regex for any keyword, and the rules of each keyword."""
+def _gates() -> dict[bytes, list[Rule]]:
+    """The rules of each keyword."""
     by: dict[bytes, list[Rule]] = {}
     for r in rules():
         by.setdefault(r.keyword, []).append(r)
-    words = sorted(by, key=lambda k: (-len(k), k))
-    return re.compile(b"(?<![^ ])(?:" + b"|".join(map(re.escape, words)) + b")(?![^ ])"), by
+    return by
 
 
 #: One of these is in every text that any rule can match; a cheap first gate.
@@ -154,12 +153,11 @@ _SIGNS = re.compile(rb"licen[sc]|spdx|commons|creativecommons|cc |cc0|permission
 
 def detect(folded: bytes) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that no other contains, by start."""
-    gate, by = _gates()
-    present = set(gate.findall(folded))
     found = []
-    for k in present:
-        for r in by[k]:
-            found += [(m.start(), m.end(), r.label, r.priority) for m in r.pattern.finditer(folded)]
+    for k, of in _gates().items():
+        if k in folded:
+            for r in of:
+                found += [(m.start(), m.end(), r.label, r.priority) for m in r.pattern.finditer(folded)]
     found.sort(key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
     kept: list[tuple[int, int, str, int]] = []
     for d in found:
