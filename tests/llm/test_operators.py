@@ -204,6 +204,19 @@ def test_op6_automaton_learns_a_format():
     assert a.per_char("AZAA" + "Z0ZZAZ0ZZAZZZ0ZZ") > a.per_char("zzzz" + "zzz0zzz0zzzzz0zz") + 1
 
 
+def test_op6_stand_alone_keys_of_labelled_formats():
+    rng = random.Random(9)
+    some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    uuid = lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+    formats = [uuid, *(lambda k=k: some("0123456789ABCDEF", k) for k in (32, 40, 64, 128))]
+    ordinary = [f"{rng.choice(WORDS)}{rng.choice('-_/.')}{rng.choice(WORDS)}{rng.choice('-_/.')}{rng.choice(WORDS)}".encode() for _ in range(600)]
+    ordinary += [f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}".encode() for _ in range(200)]
+    model = ss.FormatModel({"assign": [f().encode() for f in formats for _ in range(100)]}, ordinary)
+    for f in formats:
+        assert sum(model.accepts(f().encode()) for _ in range(100)) >= 97
+    assert sum(map(model.accepts, ordinary)) <= 8
+
+
 def brute_license(t: str | None) -> tuple:
     w = folded(t)
     places = []

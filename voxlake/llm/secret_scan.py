@@ -5,9 +5,9 @@ kind. For every kind a prefix tree of their character classes (with counts of en
 is built, and states whose outgoing and ending frequencies are compatible (Hoeffding bound,
 checked down the subtrees) are merged in breadth-first order, as ALERGIA does. The result
 is a deterministic probabilistic automaton. Every candidate of a text (a run of 16 or more
-credential characters with a digit) is then scored: log-likelihood a character of its class
-string under the best automaton plus its characters' spread, against a background model of ordinary
-runs. Candidates above the threshold that no base span touches are added with the kind
+credential characters) is then scored: log-likelihood a character of its class string under the best
+automaton, with the characters of a class equally likely, against a background model of ordinary runs, and
+its characters' spread in the alphabet that it uses. No candidate is refused before. Candidates above the threshold that no base span touches are added with the kind
 ``format``. Base spans stay as they are.
 
 Training gets at most ``max_rows`` values (default 5,000, the smallest hashes) from all documents;
@@ -61,14 +61,14 @@ def symbols(value: bytes) -> str:
 class Automaton:
     """A deterministic probabilistic automaton over class strings, inferred by state merging."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, limit: int = 48):
+    def __init__(self, strings: list[str], alpha: float = 0.05):
         self.ends: list[int] = [0]
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
         self.total: list[int] = [0]
         for s in strings:
             at = 0
-            for ch in s[:limit]:  # longer values run on in the state of the limit's depth after merging
+            for ch in s:
                 if ch not in self.next[at]:
                     self.next[at][ch] = len(self.ends)
                     self.ends.append(0), self.next.append({}), self.count.append(Counter()), self.total.append(0)
@@ -93,7 +93,7 @@ class Automaton:
             for ch in set(self.next[a]) | set(self.next[b]):
                 if self._differ(self.count[a][ch], self.total[a], self.count[b][ch], self.total[b]):
                     return False
-                if a != b and ch in self.next[a] and ch in self.next[b] and self.total[self.next[b][ch]] > 8 and len(stack) < 200:
+                if a != b and ch in self.next[a] and ch in self.next[b] and self.total[self.next[b][ch]] > 8:
                     x, y = self.next[a][ch], self.next[b][ch]
                     if x != y and y > x:
                         stack.append((x, y))
@@ -149,11 +149,16 @@ class Automaton:
         return sum_ / max(len(s), 1)
 
 
+#: How many characters each class has.
+_SIZES = {"0": 10, "a": 6, "A": 6, "z": 20, "Z": 20} | dict.fromkeys("+/_.=-", 1)
+
+
 def _spread(value: bytes) -> float:
-    """Entropy of the characters in bits, against the most that the length allows."""
+    """Entropy of the characters in bits, against the most that the length and the classes in use allow."""
     n = len(value)
     h = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return h / min(math.log2(n), 6.0) if n > 1 else 0.0
+    most = min(n, sum(_SIZES[c] for c in set(symbols(value))))
+    return h / math.log2(most) if most > 1 else 0.0
 
 
 class FormatModel:
@@ -161,12 +166,18 @@ class FormatModel:
 
     def __init__(self, values: dict[str, list[bytes]], ordinary: list[bytes], threshold: float = 0.35):
         self.automata = {k: Automaton(sorted(map(symbols, v))) for k, v in sorted(values.items()) if len(v) >= 5}
-        pairs, firsts = Counter(), Counter()
+        pairs, firsts, chars = Counter(), Counter(), Counter()
         for v in ordinary:
             s = "^" + symbols(v)
+            chars.update(v)
             pairs.update(zip(s, s[1:], strict=False))
             firsts.update(s[:-1])
         self.ground = {(a, b): math.log((pairs[a, b] + 0.5) / (firsts[a] + 0.5 * 11)) for a in "^0aAzZ+/_.=-" for b in "0aAzZ+/_.=-"}
+        # of a character in its class: ordinary runs against equal shares
+        classes = Counter()
+        for b, n in chars.items():
+            classes[symbols(bytes([b]))] += n
+        self.excess = {b: math.log((chars[b] + 1) / (classes[c] + _SIZES[c]) * _SIZES[c]) for b in np.flatnonzero(_RUN).tolist() for c in [symbols(bytes([b]))]}
         self.threshold = threshold
 
     def score(self, value: bytes) -> float:
@@ -175,13 +186,11 @@ class FormatModel:
             return -math.inf
         s = symbols(value)
         ground = sum(self.ground[p] for p in zip("^" + s, s, strict=False)) / len(s)
-        return max(a.per_char(s) for a in self.automata.values()) - ground
+        excess = sum(self.excess[b] for b in value) / len(s)
+        return max(a.per_char(s) for a in self.automata.values()) - ground - excess + _spread(value) - 1
 
     def accepts(self, value: bytes) -> bool:
-        """Credential-like: digits and letters mixed, characters spread, likelihood above the background."""
-        digits = sum(48 <= b <= 57 for b in value)
-        if not digits or digits == len(value) or _spread(value) < 0.75:
-            return False
+        """Credential-like: likelihood above the background's."""
         return self.score(value) > self.threshold
 
 
@@ -216,7 +225,7 @@ def fit(docs: DataFrame, *, max_rows: int = 5_000) -> FormatModel:
                         if not any(m[0] < e - a and s - a < m[2] for m in base):
                             kinds.append("")
                             values.append(text[s - a : e - a])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([v[:200].decode() for v in values], pa.string())], names=["kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([v.decode() for v in values], pa.string())], names=["kind", "value"])
 
     found = docs.select("text").mapInArrow(gather, "kind string, value string").distinct()
     picked = [found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(max_rows) for k in (*KINDS, "")]
