@@ -113,6 +113,16 @@ def test_op8_monotonic_constraints():
     assert ((forest.score(x) > 0.5) == (y == 1)).mean() > 0.85
 
 
+def test_op8_repeated_labelled_ids_leave_both_classes(spark):
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {i: text(i, 60) if i % 2 else "### $$$ && || " * 20 for i in ids}
+    bad = next(i for i in ids if i % 2 == 0)
+    every = [*texts.items(), *[(bad, texts[bad])] * 300]  # more than twice max_rows
+    docs, labels = spark.createDataFrame(every, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    assert qr.labelled_sample(docs, labels, "quality", 100).count() == len(ids)
+    assert len(qr.fit(docs, labels, max_rows=100).roots) > 0
+
+
 def test_op4_against_sequential_mix(docs, empty):
     got = mixing.mix_sources(docs.drop("node"), block=16).toPandas()
     assert len(got) == len(rows())

@@ -177,7 +177,7 @@ def train_forest(x: np.ndarray, y: np.ndarray, signs: list[int], *, trees: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
     """At most max_rows labelled documents outside the held-out fold: (doc_id, text, y), chosen by hash of doc_id.
 
-    One label per doc_id is used (the smallest). The id list is bounded by max_rows, so it is broadcast.
+    One label per doc_id is used (the smallest) and one of its rows (by least text hash). The id list is bounded by max_rows, so it is broadcast.
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("y"))
@@ -185,7 +185,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: i
         .groupBy("_id").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64(F.col("_id"), F.lit(17)), "_id").limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_one"))
+    return one.select("doc_id", F.col("_one.text").alias("text"), "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **params) -> Forest:
@@ -199,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **params)
                 yield pa.RecordBatch.from_arrays([y.cast(pa.int32()), *map(pa.array, x.T)], names=["y", *FEATURES])
 
     rows = labelled_sample(docs, labels, "quality", max_rows).select("text", "y").mapInArrow(features, ", ".join(["y int", *(f"{k} double" for k in FEATURES)])).toPandas()
-    rows = rows.sort_values(list(rows.columns)).to_numpy(dtype=float)[: 2 * max_rows]
+    rows = rows.sort_values(list(rows.columns)).to_numpy(dtype=float)
     y = rows[:, 0] if len(rows) else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return train_forest(np.zeros((0, len(FEATURES))), np.ones(0), list(FEATURES.values()))
