@@ -288,9 +288,32 @@ def test_op10_pieces_equal_library():
 
     tok, enc = Tokenizer.from_file(tokenizer_path()), to.PieceEncoder(tokenizer_path())
     r = random.Random(8)
-    parts = [" ", "  ", "\n", " \n", "\t", "a", "Bc", "é", "\xa0", "<|endoftext|>", "12", "'s", "##", "\x1c", ".", "²"]
-    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(3000)]
-    assert enc.encode(texts) == [np.array(e.ids + [0], "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    parts = [" ", "  ", "\n", " \n", "\t", "a", "Bc", "é", "\xa0", "<|endoftext|>", "12", "'s", "##", "\x1c", ".", "²", "\u3000", "\u2003", "\x85", " x", "'ll", "'T", "'", "×", "Я", "ö", "–", "''", "5x"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(6000)] + ["", "word " * 30_000, "x" * 20_000]
+    for size in (50, 3000, 1 << 20):
+        got = []
+        for c in tv.chunks(pa.array(texts), size):
+            ids, n = enc.encode(c)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [[*e.ids, 0] for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op10_documents_by_select(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = str(tmp_path / "ids")
+    to.write_shards(docs, path, tokenizer_path(), partitions=5)
+    tok = Tokenizer.from_file(tokenizer_path())
+    got = sorted((r["doc_id"], r["ids"]) for r in to.read_documents(spark, path, [3, 25, 22, 777]).collect())
+    assert got == sorted((k, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for k, t, *_ in rows() if k in (3, 25, 22))
+
+
+def test_op10_copies_of_a_row_are_spread(spark, tmp_path):
+    one = spark.range(400, numPartitions=8).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    to.write_shards(one, str(tmp_path / "ids"), tokenizer_path(), partitions=4)
+    assert spark.read.parquet(str(tmp_path / "ids")).select("part").distinct().count() > 1
+    got = sorted(r["start"] for r in to.read_shards(spark, str(tmp_path / "ids")).collect())
+    assert got == [4 * k for k in range(400)] or len(set(np.diff(got).tolist())) == 1
 
 
 @pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0], [1, 5, 5, 9, 10**6], list(range(0, 5000, 3))])
@@ -298,6 +321,8 @@ def test_op10_elias_fano(values):
     code = to.EliasFano(to.EliasFano.encode(np.array(values, dtype=np.uint64)))
     assert code.all().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    for v in {-1, 2, 5, *values[:3], *values[-1:]}:
+        assert [values[i] for i in code.find(v)] == [x for x in values if x == v]
 
 
 def brute_classes(texts: dict) -> dict:

@@ -3,16 +3,19 @@
 Format. Documents in ascending doc_id order (nulls first; equal ids keep a fixed order by
 text hash) are range-partitioned, encoded by the tokenizers library and cut into shards of about
 ``SHARD_IDS`` ids. A shard is one row of a Parquet data set (Spark's committer makes a
-rerun after a lost executor harmless): ``part``, ``shard``, ``n_docs``, ``n_ids``,
+rerun after a lost executor harmless): ``part``, ``shard``, ``n_docs``, ``n_ids``, ``first_doc``, ``last_doc``,
 ``ids`` (little-endian uint16, or uint32 where the vocabulary needs it), ``bounds`` (the Elias-Fano
 code of the end of each document) and ``doc_ids`` (the Elias-Fano code of the ids less the
 shard's first). Elias-Fano keeps about 2 + log2(n_ids / n_docs) bits a document; a select over
 the unary high bits and the packed low bits returns any offset, so no 64-bit table is stored.
 
-Encoding. Byte-level BPE splits a text before it merges, and a single blank between two
-non-blanks always starts a new piece. So each distinct blank-led piece is encoded once by the
-library and kept in a bounded cache; a text with other white space patterns or with a special
-token's string is given to the library whole. Results equal the library's on the whole text.
+Encoding. Byte-level BPE splits a text before it merges, at white space and between letters, digits and other
+characters. Pieces between places where it always splits are found with array operations, looked up by their 64-bit hashes in
+a bounded table, and encoded by the library only if they are new; a text with a special token's string is one
+piece. Results equal the library's on the whole text (two pieces with one hash in a table of ``CACHE``: 3e-14 a new piece).
+
+Access. ``Shard`` gives any document's ids by two selects over the boundaries, and the places of a doc_id by binary search over
+selects; ``read_documents`` does so for a list of ids. A select reads the unary bits from one mark to the next.
 
 Defined results. Null text counts as empty: its only id is the end id. Repeated rows are
 repeated documents. Null doc_ids come first. An empty table gives an empty data set. Extra
@@ -23,31 +26,37 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
-from functools import lru_cache
+from bisect import bisect_left
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import textvec as tv
 
 SHARD_IDS = 1 << 20
-CACHE = 600_000  # pieces and words kept by a Python worker, about 250 MB
-SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_doc long, n_null int, width int, ids binary, bounds binary, doc_ids binary"
+CACHE = 1_500_000  # pieces kept by a Python worker; with their ids about 100 MB
+LONGEST = 64  # bytes of a piece that is kept
+SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_doc long, last_doc long, n_null int, width int, ids binary, bounds binary, doc_ids binary"
 
 
 class EliasFano:
     """Monotone non-negative numbers below or equal to ``last`` in near-minimal space.
 
-    Layout: uint64 count, uint64 last, then packed low bits, then unary high bits.
+    Layout: uint64 count, uint64 last, uint32 position of every ``EVERY``-th set high bit, packed low bits, unary high bits.
     """
 
+    EVERY = 256
+
     def __init__(self, data: bytes):
         self.n, self.last = (int(v) for v in np.frombuffer(data[:16], "<u8"))
         self.low = self.low_bits(self.n, self.last)
-        cut = 16 + (self.n * self.low + 7) // 8
-        self._lows = np.frombuffer(data[16:cut], np.uint8)
+        at = 16 + 4 * -(-self.n // self.EVERY)
+        self._marks = np.frombuffer(data[16:at], "<u4")
+        cut = at + (self.n * self.low + 7) // 8
+        self._lows = np.frombuffer(data[at:cut], np.uint8)
         self._high = np.frombuffer(data[cut:], np.uint8)
 
     @staticmethod
@@ -60,22 +69,31 @@ class EliasFano:
         n, last = len(v), int(v[-1]) if len(v) else 0
         low = cls.low_bits(n, last)
         bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel() if low else np.zeros(0, np.uint8)
-        high = (v >> np.uint64(low)).astype(np.int64)
-        unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, dtype=np.uint8)
-        unary[high + np.arange(n)] = 1
-        return np.array([n, last], "<u8").tobytes() + np.packbits(bits, bitorder="little").tobytes() + np.packbits(unary, bitorder="little").tobytes()
+        ones = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
+        unary = np.zeros((int(ones[-1]) if n else 0) + 1, dtype=np.uint8)
+        unary[ones] = 1
+        packed = np.packbits(bits, bitorder="little").tobytes() + np.packbits(unary, bitorder="little").tobytes()
+        return np.array([n, last], "<u8").tobytes() + ones[:: cls.EVERY].astype("<u4").tobytes() + packed
 
     def select(self, i: int) -> int:
-        """The i-th number: the position of the i-th set high bit, less i, joined with its low bits."""
-        counts = np.cumsum(np.bitwise_count(self._high), dtype=np.int64)
-        byte = int(np.searchsorted(counts, i + 1))
-        before = int(counts[byte - 1]) if byte else 0
-        bit = int(np.flatnonzero(np.unpackbits(self._high[byte : byte + 1], bitorder="little"))[i - before])
-        high = byte * 8 + bit - i
+        """The i-th number: from the marked bit before it, at most EVERY set bits on, joined with its low bits."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        mark = i // self.EVERY
+        start = int(self._marks[mark])
+        stop = int(self._marks[mark + 1]) if mark + 1 < len(self._marks) else 8 * len(self._high)
+        ones = np.flatnonzero(np.unpackbits(self._high[start >> 3 : (stop >> 3) + 1], bitorder="little"))
+        ones = ones[np.searchsorted(ones, start & 7) :]
+        high = (start & ~7) + int(ones[i - mark * self.EVERY]) - i
         at = np.arange(i * self.low, (i + 1) * self.low)
         lows = (self._lows[at >> 3] >> (at & 7)) & 1 if self.low else at
         return (high << self.low) | int((lows.astype(np.int64) << np.arange(self.low)).sum())
 
+    def find(self, value: int) -> range:
+        """The places of a value, by binary search over select."""
+        place = lambda v: bisect_left(range(self.n), v, key=self.select)
+        return range(place(value), place(value + 1))
+
     def all(self) -> np.ndarray:
         """All numbers at once."""
         ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
@@ -87,97 +105,201 @@ class EliasFano:
         return ((high << np.uint64(self.low)) | lows).astype(np.int64)
 
 
-class _Pieces(dict):
-    """Ids of a blank and a piece; an unknown piece is noted in ``new`` and stands for nothing until then."""
+class HashTable:
+    """64-bit keys to numbers, by open addressing; look-ups and inserts of whole arrays."""
 
-    def __init__(self):
-        self.new: dict[str, None] = {}
+    def __init__(self, bits: int = 22):
+        self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it is unknown."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left, at = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        self.new[piece] = None
-        return b""
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not in the table."""
+        left, at = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            own = free & (self.keys[at] == keys[left])
+            self.values[at[own]] = values[left[own]]
+            left, at = left[~own], (at[~own] + np.uint64(1)) & self.mask
+
+
+#: White space as the splitter's pattern sees it: the ASCII bytes, and the UTF-8 codes of the other characters.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE = {2: np.array(sorted(int.from_bytes(c, "little") for c in _WIDE_SPACES if len(c) == 2)), 3: np.array(sorted(int.from_bytes(c, "little") for c in _WIDE_SPACES if len(c) == 3))}
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[sorted({c[0] for c in _WIDE_SPACES})] = True
+
+
+def white_space(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    out = _SPACE[buf]
+    at = np.flatnonzero(_LEADS[buf])
+    if len(at):
+        code = np.zeros(len(buf) + 2, dtype=np.int64)
+        code[: len(buf)] = buf
+        two = code[at] | code[at + 1] << 8
+        for width, value in ((2, two), (3, two | code[at + 2] << 16)):
+            hit = at[np.isin(value, _WIDE[width])]
+            for k in range(width):
+                out[hit + k] = True
+    return out
+
+
+#: Classes of the splitter's pattern: 1 letters, 2 digits, 3 other characters; 0 white space and what is not classified here.
+_CLASS = np.zeros(256, dtype=np.uint8)
+for _b in range(33, 127):
+    _CLASS[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 3
+_CLASS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = 4  # all two-byte characters of these are letters, but for two
+
+
+def character_classes(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte's character."""
+    out = _CLASS[buf]
+    at = np.flatnonzero(out == 4)
+    if len(at):
+        next_ = buf[at + 1]
+        letter = (buf[at] != 0xC3) | ((next_ != 0x97) & (next_ != 0xB7))
+        out[at] = out[at + 1] = letter
+    return out
 
 
 class PieceEncoder:
-    """Ids of whole texts as bytes (little-endian uint16 or uint32), by the library, each distinct piece once."""
+    """Ids of whole texts by the library, each distinct piece once."""
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         name = type(self.tok.pre_tokenizer).__name__ if self.tok.pre_tokenizer else ""
         self.by_piece = name == "ByteLevel" and self.tok.normalizer is None and not getattr(self.tok.pre_tokenizer, "add_prefix_space", True)
-        self.pieces = _Pieces()
-        self.words: dict[str, bytes] = {}
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _words(self, piece: str) -> list[str]:
-        """The words of a blank and a piece as the library's own splitter cuts them; common forms without asking it."""
-        if piece.isalpha():
-            return [f" {piece}"]
-        left, line, right = piece.partition("\n")
-        out, lead = [], " "
-        for part in (left, right) if line else (left,):
-            core = part.rstrip(".,!?")
-            if not core.isalpha():
-                text = f" {piece}"
-                return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-            out.append(lead + core)
-            if len(core) < len(part):
-                out.append(part[len(core) :])
-            if line and lead:
-                out.append(line)
-            lead = ""
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Adds the ids of new pieces."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cut = [self._words(p) for p in new]
-        todo = list({w: None for words in cut for w in words if w not in self.words})
-        self.words.update(zip(todo, self._library(todo), strict=True))
-        known = self.words
-        for p, words in zip(new, cut, strict=True):
-            self.pieces[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, end id included."""
-        if len(self.pieces) > CACHE:
-            self.pieces = _Pieces()
-        out: list[bytes | None] = [None] * len(texts)
-        known, again, heads = self.pieces, [], []
-        for i, t in enumerate(texts):
-            if not self.by_piece or any(s in t for s in self.special):
-                continue
-            head, *rest = t.split(" ")
-            # an empty head or one with white space at its end may join what follows
-            if rest and (not head or head[-1].isspace()):
-                continue
-            out[i] = b"".join(map(known.__getitem__, rest))
-            heads.append((i, head))
-            if known.new:
-                again.append((i, rest))
-        if known.new:
-            joined = {p for p in known.new if not p or p[0].isspace() or p[-1].isspace()}
-            self._learn([p for p in known.new if p not in joined])
-            known.new = {}
-            for i, rest in again:
-                out[i] = None if joined and not joined.isdisjoint(rest) else b"".join(map(known.__getitem__, rest))
-            known.new = {}
-        ids = self._library([h for i, h in heads if out[i] is not None])
-        for i, head in zip([i for i, _ in heads if out[i] is not None], ids, strict=True):
-            out[i] = head + out[i] + self.end
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = x + self.end
-        return out
+        self.end_id = end_id
+        feed = self.tok.encode("\n", add_special_tokens=False).ids if self.by_piece else []
+        self.feed = feed[0] if len(feed) == 1 else None
+        self._reset()
+
+    def _reset(self) -> None:
+        """An empty cache; its first entry is the end id."""
+        self.table, self.n, self.used = HashTable(), 1, 1
+        self.begin, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, self.kind)
+        self.pool[0], self.size[0] = self.end_id, 1
+
+    def cuts(self, chunk: tv.Chunk) -> np.ndarray:
+        """Where pieces begin: at documents, at white space after other characters, at the last character of a longer run
+        that other characters follow, after it if it is no blank (a blank belongs to what follows), and between
+        characters of two classes, but for an apostrophe and a letter, which may be a contraction."""
+        buf, docs = chunk.buf, chunk.offs[:-1][np.diff(chunk.offs) > 0]
+        cut = np.zeros(len(buf), dtype=bool)
+        if self.by_piece and len(buf):
+            space = white_space(buf)
+            np.greater(space[1:], space[:-1], out=cut[1:])
+            after = np.flatnonzero(space[:-1] > space[1:]) + 1
+            starts = np.zeros(len(buf), dtype=bool)
+            starts[docs] = True
+            after = after[~starts[after]]
+            last = after - 1
+            while (wide := (buf[last] & 0xC0) == 0x80).any():
+                last = last - wide
+            cut[last] = True
+            cut[after[buf[after - 1] != 32]] = True
+            kind = character_classes(buf)
+            a, b = kind[:-1], kind[1:]
+            cut[1:] |= (a != b) & (a != 0) & (b != 0) & ((b != 1) | (buf[:-1] != 39))
+            raw = buf.tobytes()
+            for sign in self.special:
+                at = raw.find(sign)
+                while at >= 0:
+                    d = int(np.searchsorted(chunk.offs, at, side="right")) - 1
+                    cut[chunk.offs[d] : chunk.offs[d + 1]] = False
+                    at = raw.find(sign, int(chunk.offs[d + 1]))
+        cut[docs] = True
+        return np.flatnonzero(cut)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+
+    def _lines(self, pieces: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of n pieces given as lines: a line feed between others is always a piece of its own, with one id."""
+        ids = np.array(self.tok.encode_batch_fast([pieces.decode()], add_special_tokens=False)[0].ids, self.kind)
+        feeds = np.flatnonzero(ids == self.feed)
+        if len(feeds) != n:
+            raise RuntimeError("the tokenizer does not keep line feeds apart")
+        return np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1
+
+    def _learn(self, raw: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Encodes the pieces raw[s:e]; their numbers in the cache."""
+        spans = [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        if self.feed is None:
+            ids, sizes = self._library([x.decode() for x in spans])
+        else:
+            # pieces that end with white space or hold a special token's string go to the library one by one, after the others
+            last = np.frombuffer(raw, np.uint8)[e - 1]
+            odd = _SPACE[last]
+            for k in np.flatnonzero(last >= 0x80).tolist():
+                odd[k] = spans[k].decode()[-1].isspace()
+            if any(t in raw for t in self.special):
+                odd |= np.array([any(t in x for t in self.special) for x in spans])
+            plain = [x for x, o in zip(spans, odd.tolist(), strict=True) if not o]
+            parts = [self._lines(b"\n".join(plain[k : k + 2048]) + b"\n", len(plain[k : k + 2048])) for k in range(0, len(plain), 2048)]
+            parts.append(self._library([x.decode() for x, o in zip(spans, odd.tolist(), strict=True) if o]))
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        total = int(sizes.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), self.kind)])
+        if self.n + len(sizes) > len(self.size):
+            grown = np.zeros(max(len(self.size), len(sizes)), np.int32)
+            self.begin, self.size = np.concatenate([self.begin, grown]), np.concatenate([self.size, grown])
+        self.pool[self.used : self.used + total] = ids
+        numbers = np.arange(self.n, self.n + len(sizes))
+        self.begin[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(sizes), self.used + total
+        if self.feed is not None:
+            numbers[order] = numbers.copy()
+        return numbers
+
+    def encode(self, chunk: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents of a chunk, end ids included, and how many each has."""
+        if self.n > CACHE or self.used > 8 * CACHE:
+            self._reset()
+        s = self.cuts(chunk)
+        e = np.append(s[1:], len(chunk.buf)) if len(s) else s
+        key = chunk.span_hash(chunk.prefix(), s, e) | np.uint64(1)
+        number = self.table.get(key)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            distinct, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            raw, at = chunk.buf.tobytes(), new[first]
+            found = self._learn(raw, s[at], e[at])
+            number[new] = found[back]
+            short = e[at] - s[at] <= LONGEST
+            self.table.put(distinct[short], found[short])
+        # the end id after each document's pieces
+        ends = np.searchsorted(s, chunk.offs[1:])
+        number = np.insert(number, ends, 0)
+        bounds = np.concatenate([[0], ends + np.arange(1, chunk.n_docs + 1)])
+        size = self.size[number].astype(np.int64)
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(self.begin[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, tv.per_doc(size, bounds)
 
 
 @lru_cache(maxsize=1)
@@ -197,39 +319,76 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
 
         enc = encoder(tokenizer, end_id)
         part, shard = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
-        keys: list[int | None] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        keys: list[pa.Array] = []
         held = 0
 
         def flush():
             nonlocal shard, held
-            lengths = np.array([len(x) // enc.kind.itemsize for x in ids], dtype=np.int64)
-            known = [k for k in keys if k is not None]
-            first = known[0] if known else 0
-            row = [part, shard, len(ids), int(lengths.sum()), first, len(keys) - len(known), enc.kind.itemsize, b"".join(ids), EliasFano.encode(np.cumsum(lengths)), EliasFano.encode(np.array([k - first for k in known], dtype=np.uint64))]
+            lengths, key = np.concatenate(sizes), pa.concat_arrays(keys)
+            known = key.drop_null().to_numpy()
+            first, last = (int(known[0]), int(known[-1])) if len(known) else (None, None)
+            row = [part, shard, len(lengths), int(lengths.sum()), first, last, key.null_count, enc.kind.itemsize, np.concatenate(ids).tobytes(), EliasFano.encode(np.cumsum(lengths)), EliasFano.encode((known - (first or 0)).astype(np.uint64))]
             shard, held = shard + 1, 0
-            ids.clear(), keys.clear()
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            ids.clear(), sizes.clear(), keys.clear()
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
             for c in tv.chunks(batch.column(1)):
-                texts = tv.texts_of(batch.column(1)).slice(c.first, c.n_docs).to_pylist()
-                for k, x in zip(batch.column(0).slice(c.first, c.n_docs).to_pylist(), enc.encode(texts), strict=True):
-                    keys.append(k)
-                    ids.append(x)
-                    held += len(x) // enc.kind.itemsize
-                    if held >= SHARD_IDS:
-                        yield flush()
+                found, lengths = enc.encode(c)
+                ids.append(found), sizes.append(lengths), keys.append(batch.column(0).slice(c.first, c.n_docs))
+                held += len(found)
+                if held >= SHARD_IDS:
+                    yield flush()
         if ids:
             yield flush()
 
-    key = F.col("doc_id").cast("long")
-    ordered = docs.select(key.alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows of one doc_id are dealt by text, copies of a row by where they were read
+    order = (F.col("doc_id").asc_nulls_first(), "h", "p")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p"))
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
 
 
+class Shard:
+    """A decoded row of the data set: any document's ids by two selects."""
+
+    def __init__(self, first: int, nulls: int, width: int, ids: bytes, bounds: bytes, doc_ids: bytes):
+        self.first, self.nulls = first, nulls
+        self.ids = np.frombuffer(ids, f"<u{width}")
+        self.ends, self.keys = EliasFano(bounds), EliasFano(doc_ids)
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document."""
+        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+
+    def places(self, doc_id: int) -> range:
+        """Where the documents of a doc_id are."""
+        found = self.keys.find(doc_id - self.first) if doc_id >= self.first else range(0)
+        return range(found.start + self.nulls, found.stop + self.nulls)
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the rows with these doc_ids; only shards that may hold one of them are read."""
+    if not doc_ids:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    near = reduce(Column.__or__, (F.lit(k).between(F.col("first_doc"), F.col("last_doc")) for k in doc_ids))
+    asked = sorted(set(doc_ids))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                shard = Shard(*r.values())
+                found = [(k, shard.document(i).tolist()) for k in asked for i in shard.places(k)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    rows = spark.read.parquet(path).where(near).select("first_doc", "n_null", "width", "ids", "bounds", "doc_ids")
+    return rows.mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the data set: doc_id, start, n_tokens and ids_crc32, decoded from the shards.
 
@@ -248,7 +407,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.frombuffer(batch.column(6)[r].as_buffer(), f"<u{width}").astype("<u4")
                 ends = EliasFano(batch.column(7)[r].as_py()).all()
                 begins = np.concatenate([[0], ends[:-1]])
-                known = EliasFano(batch.column(8)[r].as_py()).all() + first
+                known = EliasFano(batch.column(8)[r].as_py()).all() + (first or 0)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends, strict=True)]
                 key = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(known, type=pa.int64())])
                 where = [pa.array(np.full(n, v, dtype=np.int32)) for v in (part, shard)]
