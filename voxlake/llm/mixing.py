@@ -6,7 +6,8 @@
    the sources ordered by cap / weight, so no loop is needed.
 2. Each source's documents are shuffled by hash and laid end to end; ``BLOCK`` words make a
    block. Positions come from two-level running sums (hash buckets, then rows in a bucket),
-   so a source with any share of the rows is spread over all tasks.
+   so a source with any share of the rows is spread over all tasks. The texts are read once: a table of
+   doc_id, source, size and hashes is kept in the shared folder. Tables that grow with the documents are joined by sort and merge.
 3. Slot i of the schedule has the point frac(i * golden ratio), here i * M mod 2**31 in integers;
    cumulative targets map the point to a source. Slots are ranked per source, again
    in two levels (runs of slots, then slots in a run). The r-th slot of a source takes its
@@ -17,17 +18,19 @@
 
 Defined results. Null text has size 0; a source without words has target 0; documents without
 words take 0. Rows with equal or null doc_id are rows of their own (ties are broken by text hash).
-An empty table gives an empty result. Extra columns are ignored.
+An empty table gives an empty result. Extra columns are ignored by the mix and kept, whatever their names, by ``repeat_documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import Store
+
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 BLOCK = 128
-BUCKETS = 512
+BUCKETS, BUCKET_ROWS = 512, 100_000
 RUN = 1 << 12
 CELLS = 1 << 10
 POINT_M, POINT_MOD = 1327217885, 1 << 31  # round(2**31 / golden ratio), odd
@@ -73,44 +76,57 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     runs = total.select(slots.alias("slots"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((slots - 1) / RUN))).alias("run")).repartition("run")
     points = runs.select("run", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("slots")) - 1)).alias("slot"))
     points = points.withColumn("point", F.col("slot") % POINT_MOD * POINT_M % POINT_MOD).withColumn("cell", F.floor(F.col("point") / width))
-    reach = targets.where("whole > 0").select("rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("cell"))
-    dealt = points.join(reach, "cell").where((F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi"))).select("run", "slot", "rank")
+    reach = targets.where("whole > 0").select("rank", "source_size", "whole", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("cell"))
+    dealt = points.join(reach, "cell").where((F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi"))).select("run", "slot", "rank", "source_size", "whole")
     counts = dealt.groupBy("rank", "run").agg(F.count("*").alias("n"))
     before = counts.select("rank", "run", (F.sum("n").over(Window.partitionBy("rank").orderBy("run")) - F.col("n")).alias("before"))
     inside = dealt.withColumn("k", F.row_number().over(Window.partitionBy("rank", "run").orderBy("slot")) - 1)
-    return inside.join(before, ["rank", "run"]).select("slot", "rank", (F.col("before") + F.col("k")).alias("turn"))
+    return inside.join(before.hint("merge"), ["rank", "run"]).select("slot", "rank", "source_size", "whole", (F.col("before") + F.col("k")).alias("turn"))
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits of the text in two columns, h1 and h2."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2")]
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
-    more = {"_t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
-    rows = docs.select("doc_id", "source", *(more[c].alias(c) for c in extra), word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("key"))
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("long") % BUCKETS)
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights)
-    uses = block_uses(targets, block)
-    offsets = buckets.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", "size")
+    store = Store(docs.sparkSession, "mixing")
+    rows = docs.select("doc_id", "source", *(h for h in text_hashes(F.col("text")) if extra), word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("key"))
+    digits = F.conv(F.substring("key", 1, 4), 16, 10).cast("long")
+    rows = store.keep(rows.withColumn("bucket", digits % BUCKETS).withColumn("part", F.floor(digits / BUCKETS)))
+    # buckets of many rows are cut into runs of their first digits, which changes no order
+    step, n = 128, rows.count()
+    while step > 1 and n > BUCKET_ROWS * BUCKETS * (128 // step):
+        step //= 8 if step > 8 else step
+    rows = rows.withColumn("part", F.floor(F.col("part") / step))
+    by = ("source", "bucket", "part")
+    buckets = rows.groupBy(*by).agg(F.sum("size").alias("n"))
+    targets = store.keep(source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights))
+    uses = store.keep(block_uses(targets, block))
+    offsets = buckets.select(*by, (F.sum("n").over(Window.partitionBy("source").orderBy("bucket", "part")) - F.col("n")).alias("before"))
+    order = Window.partitionBy(*by).orderBy("key", "size")
     placed = rows.withColumn("inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("k", F.row_number().over(order))
     # a few rows for each source; joined with it first, the rows of a hot source meet them by bucket
-    offsets = offsets.withColumnsRenamed({"source": "s1", "bucket": "b1"}).join(targets.select(F.col("source").alias("s2"), "rank", "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1"))).drop("s1", "b1")
+    offsets = offsets.withColumnsRenamed({"source": "s1", "bucket": "b1", "part": "p1"}).join(targets.select(F.col("source").alias("s2"), "rank", "source_size", "target"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
+    placed = placed.join(offsets.hint("merge"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1")) & (F.col("part") == F.col("p1"))).drop("s1", "b1", "p1")
     begin = F.col("before") + F.coalesce(F.col("inside"), F.lit(0))
-    placed = placed.select("doc_id", "source", *extra, "size", "source_size", "target", "rank", begin.alias("begin"), (begin + F.col("size")).alias("end"), "bucket", "k")
+    placed = placed.select("doc_id", "source", *extra, "size", "source_size", "target", "rank", begin.alias("begin"), (begin + F.col("size")).alias("end"), "bucket", "part", "k")
     return _taken(placed, uses, block, extra)
 
 
 def repeat_documents(docs: DataFrame, **params) -> DataFrame:
     """docs with every row as often as its taken words make up its size, rounded half up; rows without words go.
 
-    Rows are matched to their part of the mix by doc_id and text, and rows equal in both share it evenly.
+    Rows are matched to their part of the mix by doc_id, source and text (128 bits), and rows equal in all share it evenly.
     """
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    mixed = mix_sources(docs, extra=("_t",), **params)
-    per = mixed.groupBy("doc_id", "source", "_t").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("_share"))
-    per = per.withColumnsRenamed({"doc_id": "_d", "source": "_s", "_t": "_u"}).withColumn("_copies", F.floor(F.coalesce("_share", F.lit(0.0)) + 0.5).cast("int")).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_u"))
-    return rows.join(per, same).withColumn("_i", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    mixed = mix_sources(docs, extra=("h1", "h2"), **params)
+    copies = F.floor(F.coalesce(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)), F.lit(0.0)) + 0.5).cast("int")
+    per = mixed.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(copies.alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text_hashes(F.col("text")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    return rows.join(per.hint("merge"), same).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("i")).select("row.*")
 
 
 def block_uses(targets: DataFrame, block: int) -> DataFrame:
@@ -121,7 +137,8 @@ def block_uses(targets: DataFrame, block: int) -> DataFrame:
     had = dealt.groupBy("rank").agg(F.count("*").alias("had"))
     short = targets.where("whole > 0").join(had, "rank", "left").select("rank", F.coalesce("had", F.lit(0).cast("long")).alias("had"), need.alias("need")).where("had < need")
     late = short.select("rank", F.explode(F.sequence("had", F.col("need") - 1)).alias("turn"))
-    turns = dealt.select("rank", "turn").unionByName(late).join(targets.select("rank", "source_size", "whole"), "rank")
+    late = late.join(targets.select("rank", "source_size", "whole"), "rank")
+    turns = dealt.select("rank", "turn", "source_size", "whole").unionByName(late)
     turns = turns.withColumn("epoch", F.floor(F.col("turn") / blocks)).withColumn("block", F.col("turn") % blocks)
     start = F.col("epoch") * F.col("source_size") + F.col("block") * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
@@ -137,10 +154,10 @@ def _taken(placed: DataFrame, uses: DataFrame, block: int, extra: tuple[str, ...
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     pieces = pieces.withColumn("a", F.greatest(F.col("begin") - F.col("block") * block, F.lit(0))).withColumn("b", F.least(F.col("end") - F.col("block") * block, F.lit(block)))
-    joined = pieces.join(uses, ["rank", "block"], "left")
+    joined = pieces.join(uses.hint("merge"), ["rank", "block"], "left")
     once = F.greatest(F.lit(0), F.least(F.col("b"), F.col("more")) - F.col("a"))
     part = F.when(F.col("times").isNull(), F.lit(0)).otherwise(F.col("times") * (F.col("b") - F.col("a")) + once)
-    return joined.groupBy("rank", "bucket", "k", *keep).agg(F.sum(part).cast("long").alias("taken")).select(*keep, "taken")
+    return joined.groupBy("rank", "bucket", "part", "k", *keep).agg(F.sum(part).cast("long").alias("taken")).select(*keep, "taken")
 
 
 def oracle_sql(block: int = BLOCK, seed: int = 7) -> str:
