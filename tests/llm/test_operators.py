@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -409,6 +410,63 @@ def test_op2_links_at_the_threshold_in_large_buckets(spark):
     assert got == brute_links(texts)
 
 
+def test_op2_far_partners_in_a_dense_group(spark):
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(1500)]
+    texts = {}
+    for k in range(60):  # texts that differ in a word, each with a partner that is linked to few others
+        one = base.copy()
+        one[r.randrange(1500)] = f"c{k}"
+        two = one.copy()
+        for p in r.sample(range(1500), 33):
+            two[p] = f"d{k}x{p}"
+        texts |= {k: " ".join(one), 100 + k: " ".join(two)}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in nj.near_duplicates(df).collect()}
+    assert {k: x["class_id"] for k, x in got.items()} == brute_classes(texts)
+    assert {k: x["n_links"] for k, x in got.items()} == brute_links(texts)
+
+
+def test_op2_margins_are_links():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        c = np.unique(r.integers(0, 400, 200).astype(np.uint64))
+        x, y = (np.unique(np.concatenate([r.choice(c, r.integers(len(c) // 2, len(c) + 1), replace=False), r.integers(400, 900, r.integers(0, 60)).astype(np.uint64)])) for _ in range(2))
+        margins = [18 * nj.shared(s, c) - 8 * len(s) - 9 * len(c) for s in (x, y)]
+        if sum(margins) >= 0:
+            assert nj._linked(nj.shared(x, y), len(x), len(y))
+
+
+def test_op2_tight_group_makes_no_tasks(spark):
+    r = random.Random(5)
+    texts = {i: near(1, 400, 1, r) for i in range(300)}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    store = Store(spark, "test")
+    nodes = store.keep(nj._nodes(df).withColumn("node", F.monotonically_increasing_id()))
+    large = nodes.select("node", F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(300).cast("long").alias("n"))
+    sets = store.keep(nj._sets(df, nodes, nodes.select("node")))
+    groups = nj._groups(large, sets, store)
+    assert groups.select("gid").distinct().count() == 1 and nj._tasks(large, groups).count() == 0
+    assert {x["sure"] for x in groups.collect()} == {len(set(texts.values())) - 1}
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
+def test_op2_recall_on_the_tables(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {x["doc_id"]: x["text"] for x in df.collect()}
+    got = {x["doc_id"]: x for x in nj.near_duplicates(df).collect()}
+    assert {k: x["class_id"] for k, x in got.items()} == brute_classes(texts)
+    # links of the ids divisible by 100 to all different texts, by brute force
+    sets = {t: set(zip(*(w[k:] for k in range(5)), strict=False)) for t in set(texts.values()) for w in [folded(t)]}
+    for k in [k for k in texts if k % 100 == 0]:
+        mine = sets[texts[k]]
+        if len(folded(texts[k])) >= 5:
+            assert got[k]["n_links"] == sum(t != texts[k] and len(mine & x) >= 0.8 * len(mine | x) for t, x in sets.items())
+
+
 def test_op2_repeated_and_null_rows(docs):
     got = nj.near_duplicates(docs).toPandas()
     assert len(got) == len(rows())

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import Store
+from .store import Store, text_hashes
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -84,12 +84,6 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return inside.join(before.hint("merge"), ["rank", "run"]).select("slot", "rank", "source_size", "whole", (F.col("before") + F.col("k")).alias("turn"))
 
 
-def text_hashes(text: Column) -> list[Column]:
-    """128 bits of the text in two columns, h1 and h2."""
-    t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2")]
-
-
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: int = 7, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
     store = Store(docs.sparkSession, "mixing")

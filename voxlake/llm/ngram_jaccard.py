@@ -3,20 +3,25 @@
 Words are runs of letters and digits with A-Z folded; a document's set holds the hashes of its five-word
 shingles (a shorter text is one shingle). Documents are linked if the Jaccard similarity of their sets is 0.8 or more.
 
-1. Copies. Documents with equal texts form one node, keyed by the text's 64-bit hash, before anything is compared.
+1. Copies. Documents with equal texts form one node, keyed by 128 bits of the text's hash, before anything is compared.
 2. Candidates. 128 MinHash values a node, in 32 bands of 4: a pair at the threshold shares no band with
-   probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs as rows. A larger one is dealt by hash into parts of
-   about ``BLOCK`` nodes, and every two parts of it (and each with itself) are one task, which compares all their pairs on its
-   own, so no pair is left out and no task holds a bucket. A pair belongs to the first band on which it agrees, so it is compared once.
-3. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
+   probability 5e-8. A bucket of up to ``SMALL`` nodes gives all its pairs as rows. A pair belongs to the first band on which it agrees.
+3. Dense groups. A node of larger buckets belongs to the group of its largest one, and groups with the same centre are one.
+   The centre C is the set of the shingles that most of some members hold; any C gives right results. As two sets share at least
+   ``|x & C| + |y & C| - |C|`` shingles, a pair whose margins (``18 |x & C| - 8 |x| - 9 |C|``) do not add up to less than 0 is
+   linked without being compared. These links are counted for every node from the numbers of nodes of each margin,
+   and joined by a star to the node of the largest margin. Only pairs with a lower sum, of which one margin is negative, are compared.
+   In the same way the pairs of a larger bucket are compared only if they are of two groups, so one node is not of the bucket's
+   commonest group. Such nodes, and those of negative margin, are dealt by hash into parts of about ``BLOCK``, their partners as well,
+   and every two parts are one task, so no pair is left out, no task holds a group and no pairs become rows.
+4. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
    probability of similarity >= t is P(Binomial(n + 1, t) <= m). Below ``TOLERANCE`` the pair is dropped.
-4. Verification. The rest are verified exactly on their shingle sets.
-5. Classes. Connected components of the links by alternating large-star and small-star steps, each written
+5. Verification. The rest are verified exactly on their shingle sets.
+6. Classes. Connected components of the links by alternating large-star and small-star steps, each written
    to the shared folder; a class is named by its least doc_id.
 
-So every document gets its class. A task on a large bucket gives its links as a spanning forest, which joins the same texts, so
-that the pairs of a dense group never become rows, and counts the links of each text: ``n_links`` is the number of different
-texts that a text is linked to. The comparisons still grow with the square of the group.
+So every document gets its class, and ``n_links`` is the number of different texts that its text is linked to. A group of n near
+copies of which f lie far from the centre costs n + f * n comparisons, not n * n.
 
 Defined results. Texts without words are linked to nothing: each is a class of its own. Null texts count as empty.
 Repeated rows share a class. A null doc_id is carried through; a class of null ids only has a null name. An empty table gives an
@@ -25,20 +30,23 @@ empty result. Extra columns are ignored by the join and kept by the filter. Simi
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
-from .store import Store
+from .store import Store, sized, text_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
+_OF, _SUM = 9, 4  # linked: 9 |x & y| >= 4 (|x| + |y|), which is similarity >= 4/5
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-5
 SMALL, BLOCK = 32, 400
+WITNESSES = 15  # members that a group's centre is made of
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 
@@ -91,23 +99,19 @@ def least_matches(t: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tu
     return out
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _nodes(docs: DataFrame) -> DataFrame:
-    """(node, rep, copies, sig): one row for each different text; sig is null without words."""
+    """(h1, h2, rep, copies, sig): one row for each different text; sig is null without words."""
 
     def run(batches):
         for batch in batches:
-            for c in tv.chunks(batch.column(2)):
+            for c in tv.chunks(batch.column(3)):
                 values, bounds = shingles(c)
                 sig = iter(signatures(values, bounds))
                 rows = [next(sig).tobytes() if has else None for has in (np.diff(bounds) > 0).tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n_docs), batch.column(1).slice(c.first, c.n_docs), pa.array(rows, pa.binary())], names=["node", "doc_id", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(c.first, c.n_docs) for k in range(3)), pa.array(rows, pa.binary())], names=["h1", "h2", "doc_id", "sig"])
 
-    signed = docs.select(text_key(F.col("text")).alias("node"), "doc_id", "text").mapInArrow(run, f"node long, doc_id {dict(docs.dtypes)['doc_id']}, sig binary")
-    return signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    signed = docs.select(*text_hashes(F.col("text")), "doc_id", "text").mapInArrow(run, f"h1 long, h2 long, doc_id {dict(docs.dtypes)['doc_id']}, sig binary")
+    return signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
 
 
 def _pairs_small(members: DataFrame) -> DataFrame:
@@ -144,9 +148,10 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, s): the sorted shingle set of every wanted node, from the text of one of its documents."""
-    reps = nodes.join(wanted, "node", "left_semi").select("node", "rep")
-    rows = docs.select(text_key(F.col("text")).alias("k"), "doc_id", "text")
-    picked = rows.join(reps, (F.col("k") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    reps = nodes.join(sized(wanted), "node", "left_semi").select("node", "rep", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    rows = docs.select(*text_hashes(F.col("text")), "doc_id", "text")
+    few = F.broadcast(reps) if wanted.count() <= 500_000 else reps
+    picked = rows.join(few, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def run(batches):
         for batch in batches:
@@ -165,6 +170,16 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _linked(n, x, y):
+    """Whether sets of x and y shingles with n in common are similar enough."""
+    return _OF * n >= _SUM * (x + y)
+
+
+def _may_link(x, y):
+    """Whether sets of these sizes can be."""
+    return _linked(np.minimum(x, y), x, y)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) at or above the threshold."""
 
@@ -174,11 +189,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             xs, ys = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
-                least, most = sorted((len(x), len(y)))
-                if least < THRESHOLD * most:
-                    continue
-                n = shared(x, y)
-                if n >= THRESHOLD * (len(x) + len(y) - n):
+                if _may_link(len(x), len(y)) and _linked(shared(x, y), len(x), len(y)):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -206,13 +217,19 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: i
     return out[i, j].astype(np.int64)
 
 
-def block_links(sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links (i < j) between the parts of one task, or inside its only part, that agree on no band before this one."""
+def block_links(sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, group: np.ndarray, margin: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (i < j) between the parts of one task, or inside its only part.
+
+    In a group (band -1): of pairs whose margins add up to less than 0. In a bucket: of pairs of two groups that agree on no earlier band.
+    """
     bands = np.ascontiguousarray(sig).view(np.uint64)
-    i, j = np.triu_indices(len(sig), 1)
-    if part.min() != part.max():
-        across = part[i] != part[j]
-        i, j = i[across], j[across]
+    if part.min() == part.max():
+        i, j = np.triu_indices(len(sig), 1)
+    else:
+        i, j = (x.ravel() for x in np.meshgrid(*(np.flatnonzero(part == p) for p in (part.min(), part.max())), indexing="ij"))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+    open_ = margin[i] + margin[j] < 0 if band < 0 else group[i] != group[j]
+    i, j = i[open_], j[open_]
     for b in range(band):
         new = bands[i, b] != bands[j, b]
         i, j = i[new], j[new]
@@ -222,11 +239,10 @@ def block_links(sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, band:
     left = np.concatenate(left)
     i, j = i[left], j[left]
     size = np.array(list(map(len, sets)))
-    fits = np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j])
+    fits = _may_link(size[i], size[j])
     i, j = i[fits], j[fits]
     used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    n = intersections([sets[k] for k in used], at[: len(i)], at[len(i) :])
-    ok = n >= THRESHOLD * (size[i] + size[j] - n)
+    ok = _linked(intersections([sets[k] for k in used], at[: len(i)], at[len(i) :]), size[i], size[j])
     return i[ok], j[ok]
 
 
@@ -247,18 +263,79 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _large(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Task by task of the large buckets (members: key, band, node, n): a spanning forest (a, b) of all links, and their number n of every node a (b null)."""
-    parts = F.ceil(F.col("n") / BLOCK)
-    own = members.select("key", "band", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(3)), parts).alias("part"))
-    full = own.join(nodes.select("node", "sig"), "node").join(sets, "node")
-    tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tasks = tasks.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).select("key", "lo", "hi", "band", "node", "part", "sig", "s")
+def centre(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles that more than half of the sets hold."""
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    return values[2 * times > len(sets)]
+
+
+def _groups(large: DataFrame, sets: DataFrame, store: Store) -> DataFrame:
+    """(node, gid, margin, sure, top, high, low) of every node of a large bucket (large: key, node, n).
+
+    sure: how many nodes of its group it is linked to by the margins; top: the node of the group's largest margin; high, low: its largest and least.
+    """
+    own = store.keep(large.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("g")))
+    few = own.groupBy("g", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(WITNESSES)).alias("k")).agg(F.min("node").alias("node"))
+
+    def center(t: pa.Table) -> pa.Table:
+        c = centre([np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()]).tobytes()
+        gid = int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True)
+        return pa.table({"g": t.column("g").slice(0, 1), "gid": pa.array([gid]), "c": pa.array([c], pa.binary())})
+
+    centers = store.keep(few.join(sets, "node").select("g", "s").groupBy("g").applyInArrow(center, "g long, gid long, c binary"))
+    units = centers.groupBy("gid").agg(F.first("c").alias("c"))
+    # a hot group's rows meet its centre in as many places as the group has parts
+    copies = F.ceil(F.count("*") / BLOCK).alias("copies")
+    spread = own.groupBy("g").agg(copies).join(centers.select("g", "gid"), "g")
+    own = own.join(spread, "g").withColumn("place", F.pmod(F.xxhash64("node", F.lit(9)), F.col("copies")))
+    most = spread.groupBy("gid").agg(F.max("copies").alias("m"))
+    units = units.join(most, "gid").select("gid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("place"))
+
+    def measure(batches):
+        for batch in batches:
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            found = [18 * shared(x := np.frombuffer(s, np.uint64), y := np.frombuffer(c, np.uint64)) - 8 * len(x) - 9 * len(y) for s, c in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["node", "gid", "margin"])
+
+    placed = store.keep(own.join(sets, "node").join(units, ["gid", "place"]).select("node", "gid", "s", "c").mapInArrow(measure, "node long, gid long, margin long"))
+    tops = placed.groupBy("gid").agg(F.max(F.struct("margin", "node")).alias("top"), F.min("margin").alias("low")).select("gid", F.col("top.node").alias("top"), F.col("top.margin").alias("high"), "low")
+
+    def sure(t: pa.Table) -> pa.Table:
+        margin, n = t.column("margin").to_numpy(), t.column("n").to_numpy()
+        order = np.argsort(margin)
+        above = np.concatenate([np.cumsum(n[order][::-1])[::-1], [0]])
+        found = above[np.searchsorted(margin[order], -margin)] - (margin >= 0)
+        return pa.table({"gid": t.column("gid"), "margin": t.column("margin"), "sure": pa.array(found.astype(np.int64))})
+
+    # one row for each margin that occurs in a group
+    known = placed.groupBy("gid", "margin").agg(F.count("*").alias("n")).groupBy("gid").applyInArrow(sure, "gid long, margin long, sure long").join(tops, "gid")
+    return store.keep(placed.join(sized(store.keep(known)), ["gid", "margin"]))
+
+
+def _tasks(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """(unit, band, lo, hi, part, node, gid, margin): the rows of all tasks; band -1 is a group, else a large bucket."""
+    far = F.col("margin") < 0
+    open_ = groups.where(far | (F.col("margin") + F.col("low") < 0)).select(F.col("gid").alias("unit"), F.lit(-1).alias("band"), "node", "gid", "margin", far.alias("active"))
+    members = large.select("key", "band", "node").join(groups.select("node", "gid", "margin"), "node")
+    shares = members.groupBy("key", "gid").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "gid")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = members.join(shares, "key").select(F.col("key").alias("unit"), "band", "node", "gid", "margin", (F.col("gid") != F.col("most.gid")).alias("active"))
+    rows = open_.unionByName(mixed)
+    parts = rows.groupBy("unit", "band").agg(F.ceil(F.count_if("active") / BLOCK).alias("a"), F.ceil(F.count_if(~F.col("active")) / BLOCK).alias("p"))
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(n, F.lit(1)))
+    rows = rows.join(parts, ["unit", "band"]).withColumn("part", F.when(F.col("active"), place(F.col("a"))).otherwise(F.col("a") + place(F.col("p"))))
+    others = F.when(F.col("active"), F.col("a") + F.col("p")).otherwise(F.col("a"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return rows.select("unit", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "gid", "margin")
+
+
+def _compared(tasks: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Task by task: a spanning forest (a, b) of all links found, and their number n of every node a (b null)."""
+    full = tasks.join(nodes.select("node", "sig"), "node").join(sets, "node")
 
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        i, j = block_links(sig, [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()], t.column("part").to_numpy(), t.column("band")[0].as_py())
+        i, j = block_links(sig, [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()], *(t.column(c).to_numpy() for c in ("part", "gid", "margin")), t.column("band")[0].as_py())
         edges = np.array(forest(len(node), i, j), dtype=np.int64).reshape(-1, 2)
         n = np.bincount(np.concatenate([i, j]), minlength=len(node))
         has = np.flatnonzero(n)
@@ -266,23 +343,32 @@ def _large(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         counts = np.arange(len(a)) >= len(edges)
         return pa.table({"a": pa.array(a), "b": pa.array(b, mask=counts), "n": pa.array(np.concatenate([np.zeros(len(edges), np.int64), n[has]]))})
 
-    return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long, n long")
+    return full.groupBy("unit", "band", "lo", "hi").applyInArrow(run, "a long, b long, n long")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes, those of large buckets as forests, and (node, n_links) with every link counted."""
+    """Verified links (a, b) between nodes, those of dense groups as forests and stars, and (node, n_links) with every link counted."""
     signed = nodes.where("sig is not null")
     members = signed.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(F.xxhash64(F.expr(f"substring(sig, band * {2 * BAND} + 1, {2 * BAND})"), "band").alias("key"), "node", "band")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     known = store.keep(members.join(sizes, "key"))
     large = known.where(F.col("n") > SMALL)
     left = store.keep(_pruned(_pairs_small(known.where(F.col("n") <= SMALL)), nodes))
-    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    wanted = store.keep(left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct())
     sets = store.keep(_sets(docs, nodes, wanted))
-    few, many = store.keep(_verified(left, sets)), store.keep(_large(large, nodes, sets))
-    ends = few.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
-    degree = ends.unionByName(many.where("b is null").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
-    return few.unionByName(many.where("b is not null").select("a", "b")), degree
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if large.isEmpty():
+        links = store.keep(_verified(left, sets))
+        return links, ends(links).groupBy("node").agg(F.sum("n").alias("n_links"))
+    groups = _groups(large, sets, store)
+    of = groups.select("node", "gid")
+    # pairs of one group are counted or compared there
+    left = left.join(of.withColumnsRenamed({"node": "a", "gid": "ga"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "gid": "gb"}), "b", "left")
+    few = store.keep(_verified(left.where("ga is null or gb is null or ga <> gb").select("a", "b"), sets))
+    many = store.keep(_compared(_tasks(large, groups), nodes, sets))
+    stars = groups.where((F.col("margin") + F.col("high") >= 0) & (F.col("node") != F.col("top"))).select(F.col("node").alias("a"), F.col("top").alias("b"))
+    degree = ends(few).unionByName(many.where("b is null").select(F.col("a").alias("node"), "n")).unionByName(groups.select("node", F.col("sure").alias("n")))
+    return few.unionByName(many.where("b is not null").select("a", "b")).unionByName(stars), degree.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def components(links: DataFrame, store: Store) -> DataFrame:
@@ -304,34 +390,36 @@ def components(links: DataFrame, store: Store) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(node, rep, copies, worded, root, class_id, n_links): every different text with its class."""
+    """(h1, h2, node, rep, copies, worded, root, class_id, n_links): every different text with its class."""
     store = Store(docs.sparkSession, "jaccard")
-    nodes = store.keep(_nodes(docs))
+    # numbers given when the table is written; all steps read them from there
+    nodes = store.keep(_nodes(docs).withColumn("node", F.monotonically_increasing_id()))
     links, degree = _links(docs, nodes, store)
     roots = components(links, store)
-    full = nodes.select("node", "rep", "copies", F.col("sig").isNotNull().alias("worded")).join(roots, "node", "left").join(degree, "node", "left")
-    full = full.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    full = nodes.select("h1", "h2", "node", "rep", "copies", F.col("sig").isNotNull().alias("worded")).join(roots, "node", "left").join(degree, "node", "left")
+    full = store.keep(full.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
     names = full.where("root <> node or n_links > 0").groupBy("root").agg(F.min("rep").alias("class_id"))
-    return store.keep(full.join(names, "root", "left").withColumn("class_id", F.coalesce("class_id", "rep")))
+    return store.last(full.join(names, "root", "left").withColumn("class_id", F.coalesce("class_id", "rep")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, class_id (least doc_id of its class), n_links of its text, copies (rows with its text)."""
-    classes = _classes(docs).select("node", "class_id", "n_links", "copies", "worded")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("node")).join(classes, "node")
+    classes = _classes(docs).select("h1", "h2", "class_id", "n_links", "copies", "worded")
+    rows = docs.select("doc_id", *text_hashes(F.col("text"))).join(classes, ["h1", "h2"])
     own = F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", own.alias("class_id"), "n_links", F.when(F.col("worded"), F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, the one with the least doc_id; texts without words all stay."""
-    classes = _classes(docs)
-    heads = classes.where("worded and (root <> node or n_links > 0)").withColumn("_n", F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).over(Window.partitionBy("root"))).where("_n.node = node")
-    single = classes.where("worded and root = node and n_links = 0")
-    keep = heads.select("node", "rep").unionByName(single.select("node", "rep"))
-    blank = classes.where("not worded").select("node", F.lit(True).alias("_blank"))
-    rows = docs.withColumn("_node", text_key(F.col("text")))
-    cols = docs.columns
-    picked = rows.join(keep.withColumnsRenamed({"node": "_k", "rep": "_rep"}), (F.col("_node") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_rep")))
-    picked = picked.withColumn("_i", F.row_number().over(Window.partitionBy("_node", "doc_id").orderBy(F.lit(0)))).where("_i = 1").select(*cols)
-    return picked.unionByName(rows.join(blank.withColumnRenamed("node", "_k"), F.col("_node") == F.col("_k"), "left_semi").select(*cols))
+    """docs with one row of each class, the one with the least doc_id; texts without words all stay.
+
+    Of rows with this doc_id and text the one with the least hash of all its columns stays.
+    """
+    # of the nodes of a class the first by doc_id, null last, and hash; one row a class
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("head")
+    heads = _classes(docs).where("worded").groupBy("root").agg(first).select(F.col("head.rep").alias("rep"), F.col("head.h1").alias("g1"), F.col("head.h2").alias("g2"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text_hashes(F.col("text")), F.col("doc_id").alias("id"), F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)).alias("worded"))
+    picked = rows.where("worded").join(heads, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("rep")))
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    one = picked.groupBy("h1", "h2").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return one.select("row.*").unionByName(rows.where("not worded").select("row.*"))
