@@ -83,9 +83,13 @@ def orientation(a: Column) -> Column:
     return F.concat(*codes)
 
 
+#: The world axis of each anatomical letter.
+LETTERS = {"R": 0, "L": 0, "A": 1, "P": 1, "S": 2, "I": 2}
+
+
 def axis_mapping(source: str, target: str) -> tuple[list[int], list[int]]:
     """For each target axis: the source axis and whether it keeps (1) or flips (-1) its sense."""
-    pairs = {"R": 0, "L": 0, "A": 1, "P": 1, "S": 2, "I": 2}
+    pairs = LETTERS
     for axes in (source, target):
         anatomical = set(axes) <= set(pairs) and sorted(pairs[x] for x in axes) == [0, 1, 2]
         if len(axes) != 3 or not (sorted(axes) == ["I", "J", "K"] or anatomical):

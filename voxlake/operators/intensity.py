@@ -78,15 +78,18 @@ def apply_mask(img: Column, mask: Column, *, labels: list[int] | None = None, ou
 @bound
 def noise(img: Column, key: Column, *, mean: float = 0.0, std: float | Column = 0.25, rician: bool = False, seed: int = 0) -> Column:
     """Seeded Gaussian or Rician noise; key names the row, each voxel has its own counter."""
-    n = lambda stream, p: rng.normal(seed, stream, F.concat_ws(":", key.cast("string"), p.cast("string"))) * std + mean
+    streams = ["noise1", "noise2"][: 1 + rician]
+    starts = F.array(*(rng.base(seed, f"{s}.{k}", key) for s in streams for k in "uv"))
 
-    def one(x: Column, p: Column) -> Column:
-        if rician:
-            a, b = x + n("noise1", p), n("noise2", p)
-            return F.sqrt(a * a + b * b)
-        return x + n("noise1", p)
+    def noisy(b: Column) -> Column:
+        n = lambda k, p: rng.voxel_normal(F.get(b, F.lit(2 * k)), F.get(b, F.lit(2 * k + 1)), p) * std + mean
 
-    return replace(img, data=F.transform(img["data"], one))
+        def one(x: Column, p: Column) -> Column:
+            return F.sqrt(F.pow(x + n(0, p), 2) + F.pow(n(1, p), 2)) if rician else x + n(0, p)
+
+        return F.transform(img["data"], one)
+
+    return replace(img, data=let(starts, noisy))
 
 
 def landmarks(images: DataFrame, column: str, *, quantile_list=QUANTILES, cutoff=(0.01, 0.99)) -> DataFrame:
@@ -133,15 +136,18 @@ def histogram_standardize(img: Column, values: list[float], *, quantile_list=QUA
 @bound
 def labels_to_image(seg: Column, key: Column, stats: dict[int, tuple[float, float]], *, default=(0.5, 0.05), seed: int = 0) -> Column:
     """A new scalar image: every label's tissue has Gaussian values of its mean and deviation, seeded by row and voxel."""
-    z = lambda p: rng.normal(seed, "tissue", F.concat_ws(":", key.cast("string"), p.cast("string")))
+    starts = F.array(*(rng.base(seed, f"tissue.{k}", key) for k in "uv"))
+
+    def drawn(b: Column) -> Column:
+        def one(v: Column, p: Column) -> Column:
+            m, s = F.lit(float(default[0])), F.lit(float(default[1]))
+            for label, (x, y) in sorted(stats.items()):
+                m, s = F.when(v == label, float(x)).otherwise(m), F.when(v == label, float(y)).otherwise(s)
+            return m + s * rng.voxel_normal(F.get(b, F.lit(0)), F.get(b, F.lit(1)), p)
 
-    def one(v: Column, p: Column) -> Column:
-        m, s = F.lit(float(default[0])), F.lit(float(default[1]))
-        for label, (a, b) in sorted(stats.items()):
-            m, s = F.when(v == label, float(a)).otherwise(m), F.when(v == label, float(b)).otherwise(s)
-        return m + s * z(p)
+        return F.transform(seg["data"], one)
 
-    return replace(seg, data=F.transform(seg["data"], one))
+    return replace(seg, data=let(starts, drawn))
 
 
 @bound

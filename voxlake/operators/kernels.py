@@ -1,12 +1,11 @@
 """Neighbourhood, interpolation, Fourier and component operators: NumPy kernels behind Arrow-batched pandas UDFs.
 
 A kernel is a plain function of one volume (C, I, J, K) and numbers, testable without Spark; ``kernel`` wraps it as a column
-function. Random operators draw from Philox generators keyed by (seed, row key), so results do not depend on partitions.
+function. Random operators take their numbers from ``rng.Draws`` of (seed, row key), so results do not depend on partitions.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..functions.affine import euler_matrix
 from ..functions.image import AXES, replace
+from ..functions.rng import Draws
 
 
 def kernel(f: Callable, img: Column, *params: Column, label: bool = False) -> Column:
@@ -29,10 +30,6 @@ def kernel(f: Callable, img: Column, *params: Column, label: bool = False) -> Co
     return replace(img, data=pandas_udf(run, "array<int>" if label else "array<double>")(img["data"], shape, *params))
 
 
-def generator(seed: int, key) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.md5(f"{seed}|{key}".encode()).digest()[:8], "little")))
-
-
 def blur(x: np.ndarray, sigmas) -> np.ndarray:
     """Separable Gaussian, deviations in voxels; replicated border; axes with no deviation are left."""
     for d, s in enumerate(sigmas, 1):
@@ -90,12 +87,13 @@ def keep_largest(x: np.ndarray, labels=None, background: float = 0, full: bool =
     return out[None]
 
 
-def bias_field(shape, std: float, scale: float, rng: np.random.Generator) -> np.ndarray:
-    """exp of a smooth random field: normal values on a coarse grid, raised trilinearly to the volume."""
+def bias_field(shape, std: float, scale: float, draws: Draws, stream: str = "bias") -> np.ndarray:
+    """exp of a smooth random field for every channel: normal values on a coarse grid, raised trilinearly to the volume."""
     if not 0 < scale <= 1:
         raise ValueError("scale must lie in (0, 1]")
-    coarse = rng.standard_normal(tuple(max(round(n * scale), 4) for n in shape)) * std
-    for d, n in enumerate(shape):
+    small = (shape[0], *(max(round(n * scale), 4) for n in shape[1:]))
+    coarse = draws.normal(stream, int(np.prod(small))).reshape(small) * std
+    for d, n in enumerate(shape[1:], 1):
         coarse = linear_axis(coarse, d, n)
     return np.exp(coarse)
 
@@ -111,39 +109,43 @@ def linear_axis(x: np.ndarray, d: int, n: int) -> np.ndarray:
 
 
 def add_bias(x: np.ndarray, key, std: float, scale: float, seed: int, inverse: bool = False) -> np.ndarray:
-    field = bias_field(x.shape[1:], std, scale, generator(seed, key))
+    field = bias_field(x.shape, std, scale, Draws(seed, key))
     return x / field if inverse else x * field
 
 
+def along(n: int, axis: int, ndim: int = 4) -> list[int]:
+    """The shape that lays n values along an axis."""
+    return [n if d == axis else 1 for d in range(ndim)]
+
+
 def ghosting(x: np.ndarray, num: int, axis: int, intensity: float, restore: float | None = None) -> np.ndarray:
-    f = np.fft.fftshift(np.fft.fftn(x, axes=(1, 2, 3)), axes=(1, 2, 3))
+    """Echoes along an axis: some of its frequencies lose a share, but for a band about 0. The other axes need no transform."""
+    if not num or not intensity:
+        return x
     n = x.shape[axis + 1]
-    factor = np.ones(n)
-    factor[:: max(n // num, 1)] = 1 - intensity
-    if restore is not None:
-        mid, half = n // 2, max(int(n * restore / 2), 1)
-        factor[max(mid - half, 0) : mid + half] = 1
-    f *= factor.reshape([-1 if e == axis + 1 else 1 for e in range(4)])
-    return np.fft.ifftn(np.fft.ifftshift(f, axes=(1, 2, 3)), axes=(1, 2, 3)).real
+    place = np.fft.fftshift(np.arange(n))  # the frequency at each place of the ordered spectrum
+    loss = np.zeros(n)
+    loss[place[:: max(n // num, 1)]] = intensity
+    if restore:
+        width = max(int(n * restore / 2), 1)
+        loss[place[max(n // 2 - width, 0) : n // 2 + width]] = 0
+    echo = np.fft.ifft(np.fft.fft(x, axis=axis + 1) * loss.reshape(along(n, axis + 1)), axis=axis + 1)
+    return x - echo.real
 
 
 def spike(x: np.ndarray, positions, intensity: float) -> np.ndarray:
-    """Adds the spectrum's peak times intensity at relative positions of the shifted spectrum."""
-    f = np.fft.fftshift(np.fft.fftn(x, axes=(1, 2, 3)), axes=(1, 2, 3))
-    peak = np.abs(f).max(axis=(1, 2, 3))
+    """Plane waves whose amplitude is the spectrum's peak times intensity; a position is a place in the ordered spectrum."""
+    if not intensity or not len(positions):
+        return x
+    shape = x.shape[1:]
+    wave = np.zeros(shape)
     for p in positions:
-        i = tuple(int(q * s) % s for q, s in zip(p, x.shape[1:], strict=True))
-        f[(slice(None), *i)] += peak * intensity
-    return np.fft.ifftn(np.fft.ifftshift(f, axes=(1, 2, 3)), axes=(1, 2, 3)).real
-
-
-def euler_rotation(degrees) -> np.ndarray:
-    x, y, z = np.radians(degrees)
-    c, s = np.cos, np.sin
-    rx = np.array([[1, 0, 0], [0, c(x), -s(x)], [0, s(x), c(x)]])
-    ry = np.array([[c(y), 0, s(y)], [0, 1, 0], [-s(y), 0, c(y)]])
-    rz = np.array([[c(z), -s(z), 0], [s(z), c(z), 0], [0, 0, 1]])
-    return rz @ ry @ rx
+        phase = np.zeros(shape)
+        for d, (q, n) in enumerate(zip(p, shape, strict=True)):
+            phase = phase + ((int(q * n) % n - n // 2) * np.arange(n) / n).reshape(along(n, d, 3))
+        wave += np.cos(2 * np.pi * phase)
+    peak = np.abs(np.fft.fftn(x, axes=(1, 2, 3))).max(axis=(1, 2, 3))
+    return x + peak[:, None, None, None] * (intensity / wave.size) * wave
 
 
 def sample(x: np.ndarray, at: np.ndarray, order: int = 1, fill: float = 0.0) -> np.ndarray:
@@ -166,7 +168,8 @@ def sample(x: np.ndarray, at: np.ndarray, order: int = 1, fill: float = 0.0) ->
                 j = np.clip(i, 0, shape - 1)
                 out += weight * x[:, j[..., 0], j[..., 1], j[..., 2]]
                 inside += weight
-    return out if fill == 0 else np.where(inside > 0.5, out, fill)
+    fill = np.asarray(fill, dtype=float).reshape(-1, *[1] * (at.ndim - 1))  # one for all channels, or one a channel
+    return np.where(inside > 0.5, out, fill) if fill.any() else out
 
 
 def grid(shape) -> np.ndarray:
@@ -174,53 +177,76 @@ def grid(shape) -> np.ndarray:
 
 
 def affine_matrix(shape, affine, scales, degrees, translation, center: str = "image") -> np.ndarray:
-    """World transform: rotation and scaling about the image's centre (or the world's origin), then a shift."""
+    """World transform: rotation and scaling about the image's centre (or the world's origin), then a shift.
+
+    An image of one slice stays in its plane.
+    """
+    if shape[-1] == 1:
+        scales, degrees, translation = (*scales[:2], 1.0), (0.0, 0.0, degrees[2]), (*translation[:2], 0.0)
     a = np.array(affine, dtype=float).reshape(4, 4)
     c = a[:3, :3] @ ((np.array(shape) - 1) / 2) + a[:3, 3] if center == "image" else np.zeros(3)
     m = np.eye(4)
-    m[:3, :3] = euler_rotation(degrees) @ np.diag(scales)
+    m[:3, :3] = euler_matrix(degrees) @ np.diag(scales)
     m[:3, 3] = c - m[:3, :3] @ c + translation
     return m
 
 
-def warp(x: np.ndarray, affine, matrix=None, out_shape=None, out_affine=None, control=None, order: int = 1, fill: float = 0.0) -> np.ndarray:
-    """One resampling: output voxel -> world -> inverse world transform (and displacement, mm) -> input voxel."""
+def displacement(control: np.ndarray, shape) -> np.ndarray:
+    """The displacements of control points raised to a grid of voxels."""
+    for d, n in enumerate(shape):
+        control = linear_axis(control, d, n)
+    return control
+
+
+def warp(x: np.ndarray, affine, matrix=None, out_shape=None, out_affine=None, control=None, order: int = 1, fill=0.0, affine_first: bool = True, label: bool = False) -> np.ndarray:
+    """One resampling: output voxel -> world -> inverse world transform -> input voxel, with displacements in mm before or after.
+
+    label: every label's share is interpolated and the largest wins.
+    """
     a = np.array(affine, dtype=float).reshape(4, 4)
     b = a if out_affine is None else np.array(out_affine, dtype=float).reshape(4, 4)
     shape = tuple(out_shape or x.shape[1:])
     m = np.linalg.inv(a) @ (np.eye(4) if matrix is None else np.linalg.inv(matrix)) @ b
-    at = grid(shape) @ m[:3, :3].T + m[:3, 3]
-    if control is not None:
-        field = control
-        for d, n in enumerate(shape):
-            field = linear_axis(field, d, n)
-        at = at + field / np.sqrt((a[:3, :3] ** 2).sum(axis=0))
-    return sample(x, at, order, fill)
+    at = grid(shape)
+    if control is not None and not affine_first:
+        at = at + displacement(control, shape) / np.sqrt((b[:3, :3] ** 2).sum(axis=0))
+    at = at @ m[:3, :3].T + m[:3, 3]
+    if control is not None and affine_first:
+        at = at + displacement(control, shape) / np.sqrt((a[:3, :3] ** 2).sum(axis=0))
+    return partial_volume(x, at, fill) if label else sample(x, at, order, fill)
 
 
-def control_points(n: tuple, largest: float, locked: int, rng: np.random.Generator) -> np.ndarray:
+def control_points(n: tuple, largest, locked: int, draws: Draws, stream: str = "control") -> np.ndarray:
     """Random displacements (mm) of a coarse grid; the outer layers stay."""
     if min(n) < 4:
         raise ValueError("at least 4 control points an axis are needed")
-    out = rng.uniform(-1, 1, (*n, 3)) * largest
+    out = (draws.uniform(stream, 3 * int(np.prod(n))).reshape(*n, 3) * 2 - 1) * largest
     for k in range(locked):
         for d in range(3):
             out[tuple(slice(None) if e != d else [k, n[d] - 1 - k] for e in range(3))] = 0
     return out
 
 
-def motion(x: np.ndarray, degrees, translations, affine) -> np.ndarray:
-    """Parts of the spectrum along axis 0 come from rigidly moved copies."""
-    n, size = len(degrees), x.shape[1]
-    part = size // (n + 1)
-    if part < 1:
+def rigid(x: np.ndarray, degrees, translation) -> np.ndarray:
+    """A moved copy. Coordinates run from -1 to 1 on every axis, last axis first; the shift's i, j, k are taken in that order too."""
+    size = np.array(x.shape[1:])
+    half = np.maximum(size - 1, 1) / 2
+    unit = (grid(size) - (size - 1) / 2) / half
+    moved = unit[..., ::-1] @ euler_matrix(degrees).T + np.asarray(translation, float) / (size / 2)
+    return sample(x, moved[..., ::-1] * half + (size - 1) / 2)
+
+
+def motion(x: np.ndarray, degrees, translations) -> np.ndarray:
+    """The frequencies of axis 0 in equal runs, the first from the image, each other from a moved copy."""
+    n, runs = x.shape[1], len(degrees) + 1
+    if n < runs:
         raise ValueError("too few slices for so many movements")
-    f = np.fft.fftn(x, axes=(1, 2, 3))
-    for m in range(1, n + 1):
-        moved = warp(x, affine, affine_matrix(x.shape[1:], affine, (1, 1, 1), degrees[m - 1], translations[m - 1]))
-        stop = (m + 1) * part if m < n else size
-        f[:, m * part : stop] = np.fft.fftn(moved, axes=(1, 2, 3))[:, m * part : stop]
-    return np.fft.ifftn(f, axes=(1, 2, 3)).real
+    owner = np.minimum(np.arange(n) // (n // runs), runs - 1)
+    out = np.zeros(x.shape)
+    for k, copy in enumerate([x, *(rigid(x, d, t) for d, t in zip(degrees, translations, strict=True))]):
+        share = (owner == k).astype(float).reshape(along(n, 1))
+        out += np.fft.ifft(np.fft.fft(copy, axis=1) * share, axis=1).real
+    return out
 
 
 def swap(x: np.ndarray, pairs, patch) -> np.ndarray:
@@ -235,16 +261,16 @@ def swap(x: np.ndarray, pairs, patch) -> np.ndarray:
     return x
 
 
-def swap_pairs(shape, patch, n: int, rng: np.random.Generator) -> list:
-    """Random pairs of patches that do not overlap (each tried up to 100 times)."""
-    out, top = [], [s - p + 1 for s, p in zip(shape, patch, strict=True)]
-    for _ in range(n):
-        a = rng.integers(0, top)
-        for _ in range(100):
-            b = rng.integers(0, top)
-            if (np.abs(a - b) >= patch).any():
-                out.append((tuple(a), tuple(b)))
-                break
+def swap_pairs(shape, patch, n: int, draws: Draws, stream: str = "swap") -> list:
+    """Random pairs of patches; the second is drawn up to 100 times until it does not overlap the first, and taken then as it is."""
+    top = np.array([s - p + 1 for s, p in zip(shape, patch, strict=True)])
+    if (top < 1).any():
+        raise ValueError("the patch is larger than the image")
+    out = []
+    for k in range(n):
+        places = np.floor(draws.uniform(f"{stream}{k}", 303).reshape(101, 3) * top).astype(int)
+        apart = (np.abs(places[1:] - places[0]) >= patch).any(axis=1)
+        out.append((tuple(places[0].tolist()), tuple(places[1 + (int(apart.argmax()) if apart.any() else 99)].tolist())))
     return out
 
 
@@ -261,10 +287,10 @@ def pca(x: np.ndarray, n: int, whiten: bool = True, normalize: bool = True, valu
     scores = axes.T @ centered
     if whiten:
         scores /= np.maximum(np.sqrt(np.maximum(val[order], 0) / (flat.shape[1] - 1)), 1e-8)[:, None]
-    scores /= max(scores[0].std(ddof=1), 1e-8)
     if normalize:
-        scores = (scores - values[0]) / (values[1] - values[0])
-        scores = np.clip(scores, 0, 1) if clip else scores
+        scores /= max(scores[0].std(ddof=1), 1e-8)
+    scores = (scores - values[0]) / (values[1] - values[0])
+    scores = np.clip(scores, 0, 1) if clip else scores
     return scores.reshape(n, *x.shape[1:])
 
 
@@ -276,23 +302,27 @@ def partial_volume(x: np.ndarray, at: np.ndarray, pad_label: float = 0) -> np.nd
     return np.where(shares.sum(axis=0) > 0.5, out, pad_label)[None]
 
 
+def spaced_grid(shape, affine, spacing) -> tuple[tuple, np.ndarray]:
+    """Shape and affine of a grid of another spacing about the same centre: floor(size * old / new) voxels an axis, at least 1; singleton axes stay."""
+    n, m = np.array(shape), np.array(affine, dtype=float).reshape(4, 4)
+    old = np.sqrt((m[:3, :3] ** 2).sum(axis=0))
+    new = np.where(n == 1, old, spacing)
+    size = np.maximum(np.floor(n * old / new + 1e-9), 1).astype(int)
+    b = np.eye(4)
+    b[:3, :3] = m[:3, :3] / old * new
+    b[:3, 3] = m[:3, :3] @ ((n - 1) / 2) + m[:3, 3] - b[:3, :3] @ ((size - 1) / 2)
+    return tuple(size.tolist()), b
+
+
 def resample(img: Column, spacing, order: int = 1) -> Column:
-    """To a new voxel spacing about the same centre: floor(shape * old / new) voxels an axis, at least 1; singleton axes stay."""
+    """To a new voxel spacing."""
 
     def run(data: pd.Series, shape: pd.DataFrame, affine: pd.Series) -> pd.DataFrame:
         rows = []
         for d, s, a in zip(data, shape.to_numpy(), affine, strict=True):
-            m = np.array(a, dtype=float).reshape(4, 4)
             x = np.array(d, dtype=float).reshape(s)
-            old = np.sqrt((m[:3, :3] ** 2).sum(axis=0))
-            n = np.array(x.shape[1:])
-            new = np.where(n == 1, old, spacing)
-            size = np.maximum(np.floor(n * old / new + 1e-9), 1).astype(int)
-            b = np.eye(4)
-            b[:3, :3] = m[:3, :3] / old * new
-            center = m[:3, :3] @ ((n - 1) / 2) + m[:3, 3]
-            b[:3, 3] = center - b[:3, :3] @ ((size - 1) / 2)
-            out = warp(x, m, out_shape=tuple(size), out_affine=b, order=order)
+            size, b = spaced_grid(x.shape[1:], a, spacing)
+            out = warp(x, a, out_shape=size, out_affine=b, order=order)
             rows.append([out.shape[0], *out.shape[1:], b.ravel(), out.ravel()])
         return pd.DataFrame(rows, columns=["c", *AXES, "affine", "data"])
 

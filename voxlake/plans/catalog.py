@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import affine as A, rng
-from ..functions.image import image, let, quantiles, replace
-from ..operators import annotations as an, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp
+from ..functions.image import image, let, replace
+from ..operators import annotations as an, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp, statistics as st
 from ..sources.generators import zone_plate
 from ..sources.tables import multichannel, subjects, table
 from ..streaming.queue import event_windows
-from .compose import Compose, OneOf, SomeOf, Transform, replay_inverse
+from .compose import Compose, OneOf, SomeOf, Transform, invert_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,18 +136,24 @@ simple("intensity_standardize", lambda x, s: it.standardize(x), standard_sql())
 simple("intensity_standardize_masked", lambda x, s: it.standardize(x, F.col("brain")), standard_sql("(SELECT * FROM x WHERE v > 0)"))
 simple("intensity_mask", lambda x, s: it.apply_mask(x, F.col("brain"), outside=-1.0), voxel_sql("CASE WHEN v > 0 THEN v ELSE -1.0 END"))
 simple("intensity_mask_labels", lambda x, s: it.apply_mask(x, F.col("seg"), labels=[1]), voxel_sql(f"CASE WHEN {SEG} = 1 THEN v ELSE 0.0 END"))
-_KEY = "concat_ws(':', vec_id, p)"
-simple("intensity_noise_gaussian", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, seed=3), voxel_sql(f"v + {rng.normal_sql(3, 'noise1', _KEY)} * 0.25"))
-simple("intensity_noise_rician", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, rician=True, seed=3), voxel_sql(f"sqrt(pow(v + {rng.normal_sql(3, 'noise1', _KEY)} * 0.25, 2) + pow({rng.normal_sql(3, 'noise2', _KEY)} * 0.25, 2))"))
-ORACLES["intensity_noise_gated"] = voxel_sql(f"CASE WHEN {rng.uniform_sql(5, '/0.p', 'vec_id')} < 0.5 THEN v + {rng.normal_sql(5, 'noise1', _KEY)} * (0.1 + 0.2 * {rng.uniform_sql(5, '/0.std', 'vec_id')}) ELSE v END")
-QUERIES["intensity_noise_gated"] = lambda spark, sf_dir: dump(Compose([Transform("Noise", {"std": [0.1, 0.3]}, p=0.5)])(subjects(spark, sf_dir), seed=5), F.col("t1"))
+_N1, _N2 = (rng.voxel_normal_sql(3, f"noise{k}", "vec_id", "p") for k in (1, 2))
+simple("intensity_noise_gaussian", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, seed=3), voxel_sql(f"v + {_N1} * 0.25"))
+simple("intensity_noise_rician", lambda x, s: it.noise(x, F.col("subject_id"), std=0.25, rician=True, seed=3), voxel_sql(f"sqrt(pow(v + {_N1} * 0.25, 2) + pow({_N2} * 0.25, 2))"))
 
 
-@query(None)
-def intensity_bias_field(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    x = F.col("t1")
-    return dump(s, kn.kernel(lambda v, key: kn.add_bias(v, key, 0.5, 0.5, 7), x, F.col("subject_id")))
+def piped(name: str, steps: Callable[[], Compose], sql: str, seed: int = 0, whole: bool = False, column: str = "t1", back: bool = False) -> None:
+    """A query that runs a pipeline on the subjects (and undoes it) and gives one image."""
+
+    def run(spark, sf_dir):
+        out = steps()(subjects(spark, sf_dir), seed=seed)
+        return dump(invert_history(out) if back else out, F.col(column), whole)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+piped("intensity_noise_gated", lambda: Compose([Transform("Noise", {"std": [0.1, 0.3]}, p=0.5)]), voxel_sql(f"CASE WHEN {rng.uniform_sql(5, '/0.p', 'vec_id')} < 0.5 THEN v + {rng.voxel_normal_sql('5|/0', 'noise1.t1', 'vec_id', 'p')} * (0.1 + 0.2 * {rng.uniform_sql(5, '/0.std', 'vec_id')}) ELSE v END"), seed=5)
+# the coarse grid has at least 4 voxels an axis, as many as the image
+piped("intensity_bias_field", lambda: Compose([Transform("BiasField", {"std": 0.5, "scale": 0.5})]), voxel_sql(f"v * exp(0.5 * {rng.voxel_normal_sql('7|/0', 'bias.t1', 'vec_id', 'p')})"), seed=7)
 
 
 def _blur_weights(s: float) -> str:
@@ -199,9 +205,14 @@ def _dft(axis: str, factor: list[float]) -> str:
 simple("intensity_ghosting", lambda x, s: kn.kernel(lambda v: kn.ghosting(v, 2, 0, 0.5), x), _dft("i", [0.5, 1.0, 0.5, 1.0]))
 
 
+# the spectrum by a table of cosines and sines of the four phases, list by list
+_PHASE = "((u // 16) * (p // 16) + (u // 4) % 4 * ((p // 4) % 4) + u % 4 * (p % 4)) % 4"
+
+
 @query(
-    f"{WITH}, f AS (SELECT x.vec_id, u, sum(v * cos(2 * pi() * ((u // 16) * i + (u // 4) % 4 * j + u % 4 * k) / 4.0)) AS re, sum(v * sin(2 * pi() * ((u // 16) * i + (u // 4) % 4 * j + u % 4 * k) / 4.0)) AS im FROM x, (SELECT unnest(range(64)) AS u) GROUP BY x.vec_id, u), "
-    f"m AS (SELECT vec_id, max(sqrt(re * re + im * im)) AS peak FROM f GROUP BY vec_id) SELECT vec_id, p, {rsql('v + peak * 0.1 * cos(2 * pi() * (i + 2 * j) / 4.0) / 64')} AS v FROM x JOIN m USING (vec_id)"
+    f"WITH w AS (SELECT u, list([1, 0, -1, 0][{_PHASE} + 1] ORDER BY p) AS c, list([0, 1, 0, -1][{_PHASE} + 1] ORDER BY p) AS s FROM (SELECT unnest(range(64)) AS u), (SELECT unnest(range(64)) AS p) GROUP BY u), "
+    "m AS (SELECT vec_id, max(sqrt(pow(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(c AS DOUBLE[])), 2) + pow(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(s AS DOUBLE[])), 2))) AS peak FROM embeddings, w GROUP BY vec_id), "
+    f"x AS ({VOX}) SELECT vec_id, p, {rsql('v + peak * 0.1 * cos(2 * pi() * (i + 2 * j) / 4.0) / 64')} AS v FROM x JOIN m USING (vec_id)"
 )
 def intensity_spike(spark, sf_dir):
     # place (3, 0, 2) of the shifted spectrum is the frequency (1, -2, 0)
@@ -209,19 +220,41 @@ def intensity_spike(spark, sf_dir):
     return dump(s, kn.kernel(lambda v: kn.spike(v, [(0.75, 0.0, 0.5)], 0.1), F.col("t1")))
 
 
-@query(None)
+# a turn by 5 degrees about the first of the axes k, j, i and a shift of (0.5, 0, 0) voxels, which is 0.25 along k; frequencies 2 and 3 come from the moved copy
+_TURN = f"CAST({math.cos(math.radians(5))!r} AS DOUBLE)", f"CAST({math.sin(math.radians(5))!r} AS DOUBLE)"
+_SHARE = "(cos(pi() * {0} * (a.i - b.i) / 2) + cos(pi() * {1} * (a.i - b.i) / 2)) / 4"
+
+
+@query(
+    f"{WITH}, g AS (SELECT vec_id, p, i, j, k, v, {_TURN[1]} * (j - 1.5) + {_TURN[0]} * (i - 1.5) + 1.5 AS x0, {_TURN[0]} * (j - 1.5) - {_TURN[1]} * (i - 1.5) + 1.5 AS y0, k + 0.25 * 1.5 AS z0 FROM x), "
+    "c AS (SELECT unnest(range(8)) AS c), n AS (SELECT g.vec_id, g.p, floor(x0) + c // 4 AS i, floor(y0) + (c // 2) % 2 AS j, floor(z0) + c % 2 AS k, x0, y0, z0 FROM g, c), "
+    "h AS (SELECT n.vec_id, n.p, sum((1 - abs(x0 - n.i)) * (1 - abs(y0 - n.j)) * (1 - abs(z0 - n.k)) * coalesce(x.v, 0)) AS w FROM n LEFT JOIN x ON n.vec_id = x.vec_id AND n.i = x.i AND n.j = x.j AND n.k = x.k GROUP BY ALL), "
+    f"y AS (SELECT g.vec_id, g.p, g.i, g.p % 16 AS q, g.v, h.w FROM g JOIN h USING (vec_id, p)) SELECT a.vec_id, a.p, {rsql(f'sum({_SHARE.format(0, 1)} * b.v + {_SHARE.format(2, 3)} * b.w)')} AS v FROM y a JOIN y b ON a.vec_id = b.vec_id AND a.q = b.q GROUP BY ALL"
+)
 def intensity_motion(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    return dump(s, kn.kernel(lambda v, a: kn.motion(v, [(5, 0, 0)], [(0.5, 0, 0)], a), F.col("t1"), F.col("t1.affine")))
+    steps = Compose([Transform("Motion", {"degrees": (5.0, 0.0, 0.0), "translation": (0.5, 0.0, 0.0), "num_transforms": 1})])
+    return dump(steps(subjects(spark, sf_dir)), F.col("t1"))
 
 
 simple("intensity_swap", lambda x, s: kn.kernel(lambda v: kn.swap(v, [((0, 0, 0), (2, 2, 2))], (2, 2, 2)), x), gather_sql(64, "CASE WHEN g // 16 < 2 AND (g // 4) % 4 < 2 AND g % 4 < 2 THEN g + 42 WHEN g // 16 >= 2 AND (g // 4) % 4 >= 2 AND g % 4 >= 2 THEN g - 42 ELSE g END"))
 
 
-@query(None)
-def intensity_swap_random(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    return dump(s, kn.kernel(lambda v, key: kn.swap(v, kn.swap_pairs(v.shape[1:], (2, 2, 2), 3, kn.generator(1, key)), (2, 2, 2)), F.col("t1"), F.col("subject_id")))
+def _swap_sql(pairs: int) -> str:
+    """Three pairs of 2 x 2 x 2 patches, each exchanged after the other; a voxel's source is found from the last pair to the first."""
+    parts = ["d AS (SELECT vec_id, n, t, " + ", ".join(f"CAST(floor(3 * (CASE n " + " ".join(f"WHEN {n} THEN {rng.voxel_uniform_sql('1|/0', f'swap{n}', 'vec_id', f'(t * 3 + {d})')}" for n in range(pairs)) + f" END)) AS INT) AS {a}" for d, a in enumerate("xyz")) + f" FROM embeddings, (SELECT unnest(range({pairs})) AS n), (SELECT unnest(range(101)) AS t))"]
+    parts.append("o AS (SELECT * FROM d WHERE t = 0), e AS (SELECT d.vec_id, d.n, coalesce(min(d.t) FILTER (abs(d.x - o.x) >= 2 OR abs(d.y - o.y) >= 2 OR abs(d.z - o.z) >= 2), 100) AS t FROM d JOIN o USING (vec_id, n) WHERE d.t > 0 GROUP BY ALL)")
+    parts.append("f AS (SELECT o.vec_id, o.n, o.x AS ax, o.y AS ay, o.z AS az, d.x AS bx, d.y AS by_, d.z AS bz FROM o JOIN e USING (vec_id, n) JOIN d ON d.vec_id = e.vec_id AND d.n = e.n AND d.t = e.t)")
+    source = "z" + str(pairs)
+    parts.append(f"{source} AS (SELECT vec_id, p, i, j, k FROM ({VOX}))")
+    for n in range(pairs - 1, -1, -1):
+        b = "i - bx IN (0, 1) AND j - by_ IN (0, 1) AND k - bz IN (0, 1)"
+        a = "i - ax IN (0, 1) AND j - ay IN (0, 1) AND k - az IN (0, 1)"
+        move = ", ".join(f"CASE WHEN {b} THEN {c} - b{t} + a{t[0]} WHEN {a} THEN {c} - a{t[0]} + b{t} ELSE {c} END AS {c}" for c, t in (("i", "x"), ("j", "y_"), ("k", "z")))
+        parts.append(f"z{n} AS (SELECT s.vec_id, p, {move} FROM z{n + 1} s JOIN f ON f.vec_id = s.vec_id AND f.n = {n})")
+    return f"WITH {', '.join(parts)} SELECT z0.vec_id, z0.p, {rsql('embedding[CAST(i * 16 + j * 4 + k + 1 AS INT)]')} AS v FROM z0 JOIN embeddings USING (vec_id)"
+
+
+piped("intensity_swap_random", lambda: Compose([Transform("Swap", {"patch_size": 2, "num_iterations": 3})]), _swap_sql(3), seed=1)
 
 
 _CH = "SELECT vec_id, p // 16 AS c, p % 16 AS q, v FROM x"
@@ -229,31 +262,32 @@ _CH = "SELECT vec_id, p // 16 AS c, p % 16 AS q, v FROM x"
 
 @query(f"{WITH}, y AS ({_CH}) SELECT a.vec_id, a.c AS c1, b.c AS c2, {rsql('covar_samp(a.v, b.v)')} AS v FROM y a JOIN y b ON a.vec_id = b.vec_id AND a.q = b.q GROUP BY ALL")
 def intensity_channel_covariance(spark, sf_dir):
-    """What PCA diagonalises: covariances of channels, inside the row."""
-    m = multichannel(spark, sf_dir)
-    part = lambda c: F.slice(F.col("t1.data"), F.lit(1) + c * 16, F.lit(16))
-    mean = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / 16
-    cov = lambda a, b: F.aggregate(F.zip_with(part(a), part(b), lambda x, y: (x - mean(part(a))) * (y - mean(part(b)))), F.lit(0.0), lambda s, x: s + x) / 15
-    pairs = F.array(*(F.struct(F.lit(a).cast("bigint").alias("c1"), F.lit(b).cast("bigint").alias("c2"), cov(F.lit(a), F.lit(b)).alias("v")) for a in range(4) for b in range(4)))
-    return m.select(F.col("subject_id").alias("vec_id"), F.explode(pairs).alias("e")).select("vec_id", "e.c1", "e.c2", real(F.col("e.v")).alias("v"))
+    """What PCA diagonalises."""
+    rows = multichannel(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), F.posexplode(st.channel_covariance(F.col("t1"))).alias("n", "v"))
+    return rows.select("vec_id", F.floor(F.col("n") / 4).alias("c1"), (F.col("n") % 4).cast("bigint").alias("c2"), real(F.col("v")).alias("v"))
 
 
-@query(None)
+@query(
+    f"{WITH}, y AS ({_CH}), m AS (SELECT vec_id, c, avg(v) AS m FROM y GROUP BY ALL) SELECT vec_id, q, {rsql('sum(pow(v - m, 2))')} AS energy, CAST(0 AS DOUBLE) AS mixed FROM y JOIN m USING (vec_id, c) GROUP BY vec_id, q"
+)
 def intensity_pca(spark, sf_dir):
-    m = multichannel(spark, sf_dir)
-    return dump(m, kn.kernel(lambda v: kn.pca(v, 3), F.col("t1")))
+    """Components are a rotation of the centred channels (energy of each voxel) and uncorrelated (largest covariance of two of them)."""
+    steps = Compose([Transform("PCA", {"num_components": 4, "whiten": False, "normalize": False, "values_range": (0.0, 1.0), "clip": False})])
+    out = steps(multichannel(spark, sf_dir))
+    part = lambda c: F.slice(F.col("t1.data"), c * 16 + 1, 16)
+    energy = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda q: sum((F.pow(F.element_at(part(c), q), 2) for c in range(1, 4)), F.pow(F.element_at(part(0), q), 2)))
+    cov = F.transform(st.channel_covariance(F.col("t1")), lambda v, n: F.when(F.floor(n / 4) == n % 4, 0.0).otherwise(F.abs(v)))
+    rows = out.select(F.col("subject_id").alias("vec_id"), real(F.array_max(cov)).alias("mixed"), F.posexplode(energy).alias("q", "energy"))
+    return rows.select("vec_id", F.col("q").cast("bigint").alias("q"), real(F.col("energy")).alias("energy"), "mixed")
 
 
-simple("intensity_labels_to_image", lambda x, s: it.labels_to_image(x, F.col("subject_id"), {0: (0.1, 0.01), 1: (0.5, 0.05), 2: (0.9, 0.1)}, seed=9), f"{WITH} SELECT vec_id, p, {rsql(f'[0.1, 0.5, 0.9][{SEG} + 1] + [0.01, 0.05, 0.1][{SEG} + 1] * ' + rng.normal_sql(9, 'tissue', _KEY))} AS v FROM x", column="seg")
+simple("intensity_labels_to_image", lambda x, s: it.labels_to_image(x, F.col("subject_id"), {0: (0.1, 0.01), 1: (0.5, 0.05), 2: (0.9, 0.1)}, seed=9), f"{WITH} SELECT vec_id, p, {rsql(f'[0.1, 0.5, 0.9][{SEG} + 1] + [0.01, 0.05, 0.1][{SEG} + 1] * ' + rng.voxel_normal_sql(9, 'tissue', 'vec_id', 'p'))} AS v FROM x", column="seg")
 
 
 @query(f"{WITH} SELECT vec_id, {rsql('avg(v)')} AS mean, {rsql('stddev_samp(v)')} AS std, {rsql('min(v)')} AS low, {rsql('max(v)')} AS high, {rsql('quantile_cont(v, 0.5)')} AS median, {rsql('quantile_cont(v, 0.9)')} AS q90 FROM x GROUP BY vec_id")
 def statistics_by_image(spark, sf_dir):
-    d = F.col("t1.data")
-    q = quantiles(d, [0.5, 0.9])
-    m = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)
-    std = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(d) - 1))
-    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), real(m).alias("mean"), real(std).alias("std"), real(F.array_min(d)).alias("low"), real(F.array_max(d)).alias("high"), real(F.get(q, F.lit(0))).alias("median"), real(F.get(q, F.lit(1))).alias("q90"))
+    stats = subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), st.statistics(F.col("t1"), [0.5, 0.9]).alias("s"))
+    return stats.select("vec_id", *(real(F.col(f"s.{c}")).alias(c) for c in ("mean", "std", "low", "high")), *(real(F.get(F.col("s.quantiles"), F.lit(k))).alias(n) for k, n in enumerate(("median", "q90"))))
 
 
 @query(f"{WITH} SELECT label AS cohort, count(*) AS n, {rsql('avg(v)')} AS mean, {rsql('stddev_samp(v)')} AS std FROM x GROUP BY label")
@@ -279,9 +313,12 @@ def label_arg_max_channels(spark, sf_dir):
     return dump(multichannel(spark, sf_dir), lb.arg_max(F.col("t1")), True)
 
 
+_LOWEST = ", ".join(f"l[{a * 16 + b * 4 + c} + p + 1]" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
+
+
 @query(
-    f"{WITH}, y AS (SELECT vec_id, p, i, j, k, {SEG} AS s FROM x), n AS (SELECT a.vec_id, a.p, min(b.s) AS low FROM y a JOIN y b ON a.vec_id = b.vec_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY ALL) "
-    "SELECT y.vec_id, y.p, CAST(i IN (0, 3) OR j IN (0, 3) OR k IN (0, 3) OR low < s AS BIGINT) AS v FROM y JOIN n USING (vec_id, p)"
+    f"{WITH}, y AS (SELECT vec_id, list({SEG} ORDER BY p) AS l FROM x GROUP BY vec_id), z AS (SELECT y.*, p, p // 16 AS i, (p // 4) % 4 AS j, p % 4 AS k FROM y, (SELECT unnest(range(64)) AS p)) "
+    f"SELECT vec_id, p, CAST(CASE WHEN i IN (0, 3) OR j IN (0, 3) OR k IN (0, 3) THEN true ELSE least({_LOWEST}) < l[p + 1] END AS BIGINT) AS v FROM z"
 )
 def label_contour(spark, sf_dir):
     return dump(subjects(spark, sf_dir), kn.kernel(kn.contour, F.col("seg"), label=True), True)
@@ -324,8 +361,8 @@ def spatial_reorient_affine(spark, sf_dir):
 @query("SELECT vec_id, CAST(label AS DOUBLE) AS x, CAST(1 + label % 3 AS DOUBLE) AS dz FROM embeddings")
 def spatial_copy_affine(spark, sf_dir):
     s = subjects(spark, sf_dir).withColumn("seg", replace(F.col("seg"), affine=A.from_spacing([9, 9, 9], [0, 0, 0])))
-    a = replace(F.col("seg"), affine=F.col("t1.affine"))["affine"]
-    return s.select(F.col("subject_id").alias("vec_id"), A.origin(a)[0].alias("x"), A.spacing(a)[2].alias("dz"))
+    a = Compose([Transform("CopyAffine", {"target": "t1"}, include=["seg"])])(s).select("subject_id", F.col("seg.affine").alias("a"))
+    return a.select(F.col("subject_id").alias("vec_id"), A.origin(F.col("a"))[0].alias("x"), A.spacing(F.col("a"))[2].alias("dz"))
 
 
 @query("SELECT vec_id, CAST(2 AS DOUBLE) AS dx, CAST(2 * (1 + label % 3) AS DOUBLE) AS dz, CAST(label + 0.5 AS DOUBLE) AS x, CAST(0.5 * (1 + label % 3) AS DOUBLE) AS z FROM embeddings")
@@ -363,12 +400,18 @@ simple("spatial_affine_nearest", lambda x, s: kn.kernel(_moved((1, 0, 0), 0), x,
 simple("spatial_affine_rotation", lambda x, s: kn.kernel(_moved((0, 0, 0), 1, (0, 0, 90)), x, x["affine"]), gather_sql(64, "(g // 4) % 4 * 16 + (3 - g // 16) * 4 + g % 4"))
 
 
-@query(None)
-def spatial_elastic(spark, sf_dir):
-    def bend(v, a, key):
-        return kn.warp(v, a, control=kn.control_points((7, 7, 7), 1.5, 2, kn.generator(4, key)))
+# voxel (i, j, k) of 4 lies on control point (2i, 2j, 2k) of 7; the two outer layers stay
+_PUSH = [f"CASE WHEN i IN (1, 2) AND j IN (1, 2) AND k IN (1, 2) THEN ({rng.voxel_uniform_sql('4|/0', 'control', 'vec_id', f'((i * 98 + j * 14 + k * 2) * 3 + {d})')} * 2 - 1) * 1.5 ELSE 0 END" for d in range(3)]
 
-    return dump(subjects(spark, sf_dir), kn.kernel(bend, F.col("t1"), F.col("t1.affine"), F.col("subject_id")))
+
+@query(
+    f"{WITH}, g AS (SELECT vec_id, p, i + {_PUSH[0]} AS x0, j + {_PUSH[1]} AS y0, k + ({_PUSH[2]}) / (1 + label % 3) AS z0 FROM x), c AS (SELECT unnest(range(8)) AS c), "
+    "n AS (SELECT vec_id, p, floor(x0) + c // 4 AS i, floor(y0) + (c // 2) % 2 AS j, floor(z0) + c % 2 AS k, x0, y0, z0 FROM g, c) "
+    f"SELECT n.vec_id, n.p, {rsql('sum((1 - abs(x0 - n.i)) * (1 - abs(y0 - n.j)) * (1 - abs(z0 - n.k)) * coalesce(x.v, 0))')} AS v FROM n LEFT JOIN x ON n.vec_id = x.vec_id AND n.i = x.i AND n.j = x.j AND n.k = x.k GROUP BY ALL"
+)
+def spatial_elastic(spark, sf_dir):
+    steps = Compose([Transform("ElasticDeformation", {"num_control_points": 7, "max_displacement": 1.5, "locked_borders": 2}, include=["t1"])])
+    return dump(steps(subjects(spark, sf_dir), seed=4), F.col("t1"))
 
 
 @query(
@@ -587,14 +630,67 @@ def inverse_replay(spark, sf_dir):
     """Random gamma and flips, undone from every row's own history."""
     steps = Compose([Transform("Gamma", {"log_gamma": [-0.3, 0.3]}), Transform("Flip", {"axes": 1}, p=0.5), OneOf([Transform("Flip", {"axes": 2}), Transform("Transpose")])])
     s = subjects(spark, sf_dir).select("subject_id", "t1")
-    return dump(replay_inverse(steps(s, seed=4), 3), F.col("t1"))
+    return dump(invert_history(steps(s, seed=4)), F.col("t1"))
 
 
 @query(voxel_sql("v"))
 def inverse_pipeline(spark, sf_dir):
     steps = Compose([Transform("Gamma", {"log_gamma": [-0.3, 0.3]}), Transform("Pad", {"padding": 1}), Transform("Flip", {"axes": [0, 2], "flip_probability": 0.5}), Transform("Transpose")])
     s = subjects(spark, sf_dir).select("subject_id", "t1")
-    return dump(steps.inverse(steps(s, seed=4), seed=4), F.col("t1"))
+    return dump(steps.inverse(steps(s, seed=4)), F.col("t1"))
+
+
+for _name, _steps, _column in (
+    ("inverse_standardize", lambda: Compose([Transform("Standardize", {"mask": "brain"})]), "t1"),
+    ("inverse_normalize", lambda: Compose([Transform("Normalize", {"out_min": [-2.0, -1.0], "out_max": [1.0, 2.0]})]), "t1"),
+    ("inverse_bias_field", lambda: Compose([Transform("BiasField", {"std": [0.1, 0.5]}, p=0.7)]), "t1"),
+    ("inverse_reorient", lambda: Compose([Transform("Reorient", {"orientation": "PIL"}), Transform("Flip", {"axes": "Left"})]), "t1"),
+    ("inverse_ensure_multiple", lambda: Compose([Transform("EnsureShapeMultiple", {"target_multiple": 3})]), "t1"),
+    ("replay_flip_axes", lambda: Compose([Transform("Flip", {"axes": [0, 2]})]), "t1"),
+    ("replay_flip_coin", lambda: Compose([Transform("Flip", {"axes": [0, 1, 2], "flip_probability": 0.5})]), "t1"),
+    ("replay_one_of", lambda: Compose([OneOf([Transform("Transpose"), Transform("Clamp", {"out_max": 9.0}), Transform("Flip", {"axes": 1})], [1, 2, 3])]), "t1"),
+):
+    piped(_name, _steps, voxel_sql("v"), seed=6, column=_column, back=True)
+for _name, _steps in (("inverse_one_hot", lambda: Compose([Transform("OneHot", {"num_classes": 3}, include=["seg"])])), ("inverse_sequential", lambda: Compose([Transform("RemapLabels", {"remapping": {1: 7, 2: 4}}, include=["seg"]), Transform("SequentialLabels")]))):
+    piped(_name, _steps, label_sql("s"), seed=6, whole=True, column="seg", back=True)
+
+# a shift by (0.5 mm, 0, 0) and back, both linear
+piped("inverse_affine", lambda: Compose([Transform("Affine", {"translation": (0.5, 0.0, 0.0)}, include=["t1"])]), f"SELECT vec_id, g AS p, {rsql('(CASE WHEN g >= 16 THEN e[g - 15] ELSE 0 END + e[g + 1]) / 4.0 + CASE WHEN g < 48 THEN (e[g + 1] + e[g + 17]) / 4.0 ELSE 0 END')} AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), (SELECT unnest(range(64)) AS g)", back=True)
+
+
+# --- the registry's transforms as pipelines ---
+piped("compose_blur", lambda: Compose([Transform("Blur", {"std": 0.8}, include=["t1"])]), (
+    f"{WITH}, w AS (SELECT * FROM {_blur_weights(0.8)} t(o, w)), a AS (SELECT x.vec_id, x.p, x.label, sum(w.w * y.v) AS v FROM x, w, x y WHERE y.vec_id = x.vec_id AND y.i = greatest(0, least(3, x.i + o)) AND y.j = x.j AND y.k = x.k GROUP BY ALL), "
+    f"b AS (SELECT a.vec_id, a.p, a.label, sum(w.w * y.v) AS v FROM a, w, a y WHERE y.vec_id = a.vec_id AND y.p = a.p // 16 * 16 + greatest(0, least(3, (a.p // 4) % 4 + o)) * 4 + a.p % 4 GROUP BY ALL), "
+    f"z AS (SELECT 0 AS l, * FROM {_blur_weights(0.8)} t(o, w) UNION ALL SELECT 1, * FROM {_blur_weights(0.8 / 2)} t(o, w) UNION ALL SELECT 2, * FROM {_blur_weights(0.8 / 3)} t(o, w)), "
+    f"c AS (SELECT b.vec_id, b.p, sum(z.w * y.v) AS v FROM b, z, b y WHERE z.l = b.label % 3 AND y.vec_id = b.vec_id AND y.p = b.p // 4 * 4 + greatest(0, least(3, b.p % 4 + o)) GROUP BY ALL) SELECT vec_id, p, {rsql('v')} AS v FROM c"
+))
+piped("compose_affine", lambda: Compose([Transform("Affine", {"degrees": (0, 0, 90)}, include=["t1"])]), gather_sql(64, "(g // 4) % 4 * 16 + (3 - g // 16) * 4 + g % 4"))
+_SHIFT = f"(floor(3 * {rng.uniform_sql(2, '/0.translation.0', 'vec_id')}) - 1)"
+piped("compose_affine_random", lambda: Compose([Transform("Affine", {"translation": ({"choice": [-1, 0, 1]}, 0, 0), "image_interpolation": "nearest"}, include=["t1"])]), gather_sql(64, f"greatest(0, least(63, g - 16 * {_SHIFT}))", "0.0", f"g // 16 - {_SHIFT} BETWEEN 0 AND 3"), seed=2)
+piped("compose_affine_fill_minimum", lambda: Compose([Transform("Affine", {"translation": (1, 0, 0), "image_interpolation": "nearest", "default_pad_value": "minimum"}, include=["t1"])]), gather_sql(64, "greatest(g - 16, 0)", "CAST(list_min(embedding) AS DOUBLE)", "g >= 16"))
+piped("compose_ghosting", lambda: Compose([Transform("Ghosting", {"num_ghosts": 2, "axes": 0, "intensity": 0.5})]), _dft("i", [0.5, 1.0, 0.5, 1.0]))
+piped("compose_hist_standardize", lambda: Compose([Transform("HistogramStandardization", {"landmarks": _MARKS})]), ORACLES["intensity_hist_standardize"])
+piped("compose_normalize_masked", lambda: Compose([Transform("Normalize", {"percentile_low": 5.0, "percentile_high": 95.0, "mask": "brain"})]), ORACLES["intensity_normalize_masked"])
+piped("compose_one_hot", lambda: Compose([Transform("OneHot", {"num_classes": 3}, include=["seg"])]), ORACLES["label_one_hot"], whole=True, column="seg")
+piped("compose_contour", lambda: Compose([Transform("Contour", include=["seg"])]), ORACLES["label_contour"], whole=True, column="seg")
+piped("compose_keep_largest", lambda: Compose([Transform("KeepLargestComponent", {"fully_connected": False}, include=["brain"])]), ORACLES["label_keep_largest"], whole=True, column="brain")
+piped("compose_crop_or_pad", lambda: Compose([Transform("CropOrPad", {"target_shape": (3, 6, None)})]), ORACLES["spatial_crop_or_pad"])
+piped("compose_crop_or_pad_mm", lambda: Compose([Transform("CropOrPad", {"target_shape": (0.3, None, None), "units": "cm"})]), gather_sql(48, "g + 16"))
+piped("compose_ensure_multiple", lambda: Compose([Transform("EnsureShapeMultiple", {"target_multiple": (3, 2, 1)})]), ORACLES["spatial_ensure_multiple"])
+piped("compose_reorient", lambda: Compose([Transform("Reorient", {"orientation": "PIR"})]), ORACLES["spatial_reorient"])
+piped("compose_resize", lambda: Compose([Transform("Resize", {"target_shape": (6, 4, 4)})]), ORACLES["spatial_resize_linear"])
+piped("compose_anisotropy", lambda: Compose([Transform("Anisotropy", {"axes": 0, "downsampling": 2.0})]), ORACLES["spatial_anisotropy"])
+piped("compose_resample", lambda: Compose([Transform("Resample", {"target": 2.0}, include=["t1"])]), ORACLES["spatial_resample_spacing"])
+piped("compose_labels_partial_volume", lambda: Compose([Transform("Affine", {"translation": (0.5, 0, 0), "label_interpolation": "one_hot"}, include=["seg"])]), ORACLES["spatial_label_partial_volume"], whole=True, column="seg")
+piped("compose_lambda", lambda: Compose([Transform("Lambda", {"function": lambda v: v * 2 + 1, "types_to_apply": "scalar"})]), ORACLES["udf_lambda"] if "udf_lambda" in ORACLES else voxel_sql("v * 2 + 1"))
+_TISSUE = rng.voxel_normal_sql("9|/0", "tissue.noise", "vec_id", "p")
+piped("compose_labels_to_image", lambda: Compose([Transform("LabelsToImage", {"label_key": "brain", "mean": [0.1, 0.9], "std": [0.01, 0.1]})]), f"{WITH}, l AS (SELECT vec_id, min(CAST(v > 0 AS INT)) AS low FROM x GROUP BY vec_id) SELECT vec_id, p, {rsql(f'[0.1, 0.9][CAST(v > 0 AS INT) - low + 1] + [0.01, 0.1][CAST(v > 0 AS INT) - low + 1] * {_TISSUE}')} AS v FROM x JOIN l USING (vec_id)", seed=9, column="image_from_labels")
+piped("compose_transform_operators", lambda: Transform("Clamp", {"out_min": 0.0}) + Transform("Flip", {"axes": 0}, include=["t1"]), gather_sql(64, "(3 - g // 16) * 16 + g % 16").replace("CAST(embedding[", "greatest(0, embedding[").replace("] AS DOUBLE)", "])"))
+_HALF = f"{rng.uniform_sql(3, '/0.one', 'vec_id')} < 0.5"
+piped("compose_or", lambda: Compose([Transform("Clamp", {"out_min": 0.0}) | Transform("Clamp", {"out_max": 0.0})]), voxel_sql(f"CASE WHEN {_HALF} THEN greatest(v, 0.0) ELSE least(v, 0.0) END"), seed=3)
+_AGAIN = [rng.uniform_sql(8, f"/0/{n}.one", "vec_id") + " < 0.5" for n in range(2)]
+piped("compose_some_of_replacement", lambda: Compose([SomeOf([Transform("Lambda", {"function": lambda v: v * 2}, include=["t1"]), Transform("Lambda", {"function": lambda v: v + 1}, include=["t1"])], 2, 2, True)]), voxel_sql(f"CASE WHEN {_AGAIN[0]} THEN CASE WHEN {_AGAIN[1]} THEN v * 4 ELSE v * 2 + 1 END ELSE CASE WHEN {_AGAIN[1]} THEN (v + 1) * 2 ELSE v + 2 END END"), seed=8)
 
 
 @query(f"SELECT vec_id, CASE WHEN {rng.uniform_sql(4, '/1.p', 'vec_id')} < 0.5 THEN 'Clamp>Flip' ELSE 'Clamp' END AS names, 1 + CAST({rng.uniform_sql(4, '/1.p', 'vec_id')} < 0.5 AS BIGINT) AS n FROM embeddings")
@@ -660,9 +756,14 @@ def udf_array_adapter(spark, sf_dir):
     return dump(subjects(spark, sf_dir), kn.kernel(lambda v: foreign(v), F.col("t1")))
 
 
+# rings about the centre voxel 10; the radius counts as -10 both in the phase and in the falling factor
+_RING = "sqrt(pow(i - 10, 2) + pow(j - 10, 2) + pow(k - 10, 2))"
+_TANH = "((exp(2 * t) - 1) / (exp(2 * t) + 1))"
+
+
 @query(
-    f"WITH g AS (SELECT g // 441 AS i, (g // 21) % 21 AS j, g % 21 AS k FROM (SELECT unnest(range(9261)) AS g)), r AS (SELECT *, pow(i - 10, 2) + pow(j - 10, 2) + pow(k - 10, 2) AS r FROM g) "
-    f"SELECT i, j, k, {rsql('sin(0.7 * pi() * r / 20) * (0.5 * ((exp(2 * (10 - sqrt(r))) - 1) / (exp(2 * (10 - sqrt(r))) + 1)) + 0.5)')} AS v FROM r"
+    f"WITH g AS (SELECT g // 441 AS i, (g // 21) % 21 AS j, g % 21 AS k FROM (SELECT unnest(range(9261)) AS g)), r AS (SELECT *, {_RING} AS r, (-10.0 - {_RING}) / -1.0 AS t FROM g) "
+    f"SELECT i, j, k, {rsql(f'sin(0.8 * pi() * r * r / -20.0) * (0.5 * {_TANH} + 0.5)')} AS v FROM r"
 )
 def source_zone_plate(spark, sf_dir):
     return zone_plate(spark, 21).select("i", "j", "k", real(F.col("v")).alias("v"))

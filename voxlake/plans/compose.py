@@ -1,7 +1,11 @@
 """Transforms as plan nodes: DataFrame in, DataFrame out, with provenance, composition and inversion.
 
-A node never runs anything; it adds column expressions. ``(df, pipeline, seed)`` fixes the result: random parameters are functions of
-the seed, the node's place and the row's key. The column ``history`` collects what was applied to every row, with the drawn parameters as JSON.
+A pipeline is lazily planned in two parts. Catalyst draws: for every row the steps that it gets, in its own order, and their drawn parameters
+(gates, choices, ranges) are an array column, a function of the seed, the node's place and the row's key. One Arrow kernel then runs a row's
+steps one after another on NumPy views of its images (``operators.volume``), so a pipeline of any length crosses to Python once and shuffles nothing.
+The column ``history`` collects what was applied to every row, with its parameters as JSON; inversion replays it backwards.
+
+New transforms join the registry by ``register``.
 """
 
 from __future__ import annotations
@@ -9,61 +13,153 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rng
-from ..functions.image import bound, image_columns
-from ..operators import intensity, label, spatial
-from .parameters import draw
+from ..functions.image import image_columns
+from ..operators import volume as vo
+from ..operators.intensity import QUANTILES
+from ..operators.spatial import PAD_MODES
+from .parameters import draw, draw3, non_negative
 
 HISTORY = "array<struct<name:string,params:string>>"
+PROGRAM = "array<struct<step:int,drawn:string>>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What a transform does: kind of image, parameters with defaults, forward and (if any) inverse."""
+    """What a transform does: kind of image, parameters with defaults, forward and (if any) undo on a subject.
+
+    one and three: parameters drawn as one number or one for each axis; counted: it draws numbers of its own from the row's key.
+    """
 
     kind: str | None
     defaults: dict
     forward: Callable
-    inverse: Callable | None = None
-    random: tuple[str, ...] = ()
+    undo: Callable | None = None
+    one: tuple[str, ...] = ()
+    three: tuple[str, ...] = ()
+    not_below_0: tuple[str, ...] = ()
+    counted: bool = False
     identity: Callable = lambda p: False
+    adds: Callable = lambda p: {}
+    check: Callable = lambda p: None
+
+
+def _require(ok: bool, text: str) -> None:
+    if not ok:
+        raise ValueError(text)
+
+
+def _zero(*names: str) -> Callable:
+    return lambda p: all(p[n] == 0 or p[n] == (0, 0, 0) for n in names)
+
+
+_SHAPING = {"padding_mode": "constant", "fill": 0}
+_SAMPLING = {"image_interpolation": "linear", "label_interpolation": "nearest", "default_pad_value": 0.0, "default_pad_label": 0}
+_SPATIAL = {
+    "target": None, "antialias": False, "scales": 1.0, "degrees": 0.0, "translation": 0.0, "isotropic": False, "center": "image",
+    "num_control_points": 7, "max_displacement": None, "locked_borders": 2, "affine_first": True, **_SAMPLING,
+}
+
+
+def _spatial(**own) -> Rule:
+    def check(p):
+        _require(p["center"] in ("image", "origin"), "center is image or origin")
+        n = p["num_control_points"]
+        _require(min(n if isinstance(n, tuple | list) else [n]) >= 4, "at least 4 control points an axis are needed")
 
+    three = ("scales", "degrees", "translation", "max_displacement")
+    return Rule(None, {**_SPATIAL, **own}, vo.spatial, vo.un_spatial, (), three, ("max_displacement",), True, check=check)
 
-def _axes(p: dict) -> tuple[int, ...]:
-    a = p["axes"]
-    return (a,) if isinstance(a, int) else tuple(a)
+
+def _mode(p: dict) -> None:
+    _require(p["padding_mode"] in PAD_MODES, f"unknown padding mode {p['padding_mode']!r}")
+
+
+def _clamp_check(p: dict) -> None:
+    _require(p["out_min"] is None or p["out_max"] is None or p["out_min"] <= p["out_max"], "out_min is above out_max")
 
 
 REGISTRY: dict[str, Rule] = {
-    "Clamp": Rule("scalar", {"out_min": None, "out_max": None}, lambda x, p, r: intensity.clamp(x, p["out_min"], p["out_max"])),
-    "Gamma": Rule("scalar", {"log_gamma": 0.0}, lambda x, p, r: intensity.gamma(x, p["log_gamma"]), lambda x, p, r: intensity.gamma(x, -p["log_gamma"]), ("log_gamma",), lambda p: p["log_gamma"] == 0),
-    "Normalize": Rule("scalar", {"out_min": -1.0, "out_max": 1.0, "percentile_low": 0.0, "percentile_high": 100.0, "mask": None}, lambda x, p, r: intensity.normalize(x, p["out_min"], p["out_max"], percentiles=(p["percentile_low"], p["percentile_high"]), mask=F.col(p["mask"]) if p["mask"] else None)),
-    "Standardize": Rule("scalar", {"mask": None}, lambda x, p, r: intensity.standardize(x, F.col(p["mask"]) if p["mask"] else None)),
-    "Mask": Rule("scalar", {"mask": "brain", "labels": None, "outside": 0.0}, lambda x, p, r: intensity.apply_mask(x, F.col(p["mask"]), labels=p["labels"], outside=p["outside"])),
-    "Noise": Rule("scalar", {"mean": 0.0, "std": 0.25, "rician": False}, lambda x, p, r: intensity.noise(x, r["key"], mean=p["mean"], std=p["std"], rician=p["rician"], seed=r["seed"]), None, ("std",)),
-    "RemapLabels": Rule("label", {"remapping": {}}, lambda x, p, r: label.remap(x, {int(k): v for k, v in p["remapping"].items()}), lambda x, p, r: label.remap(x, {v: int(k) for k, v in p["remapping"].items()})),
-    "RemoveLabels": Rule("label", {"labels": [], "background": 0}, lambda x, p, r: label.remove(x, p["labels"], p["background"])),
-    "SequentialLabels": Rule("label", {}, lambda x, p, r: label.sequential(x)),
-    "Crop": Rule(None, {"cropping": 0}, lambda x, p, r: spatial.crop(x, p["cropping"]), lambda x, p, r: spatial.pad(x, p["cropping"])),
-    "Pad": Rule(None, {"padding": 0, "padding_mode": "constant", "fill": 0}, lambda x, p, r: spatial.pad(x, p["padding"], p["padding_mode"], p["fill"]), lambda x, p, r: spatial.crop(x, p["padding"])),
-    "Flip": Rule(None, {"axes": 0, "flip_probability": 1.0}, lambda x, p, r: _flip(x, p, r), lambda x, p, r: _flip(x, p, r)),
-    "Transpose": Rule(None, {}, lambda x, p, r: spatial.transpose(x), lambda x, p, r: spatial.transpose(x)),
+    "Clamp": Rule("scalar", {"out_min": None, "out_max": None}, vo.clamp, check=_clamp_check),
+    "Gamma": Rule("scalar", {"log_gamma": 0.0}, vo.gamma, lambda s, p: vo.gamma(s, {"log_gamma": -p["log_gamma"]}), ("log_gamma",), identity=_zero("log_gamma")),
+    "Normalize": Rule("scalar", {"out_min": -1.0, "out_max": 1.0, "in_min": None, "in_max": None, "percentile_low": 0.0, "percentile_high": 100.0, "mask": None}, vo.normalize, vo.un_normalize, ("out_min", "out_max")),
+    "Standardize": Rule("scalar", {"mask": None}, vo.standardize, vo.un_standardize),
+    "Mask": Rule("scalar", {"mask": "brain", "labels": None, "outside": 0.0}, vo.mask),
+    "Noise": Rule("scalar", {"mean": 0.0, "std": 0.25, "rician": False}, vo.noise, None, ("mean", "std"), (), ("std",), True),
+    "BiasField": Rule("scalar", {"std": 0.5, "scale": 0.025}, vo.bias, lambda s, p: vo.bias(s, p, -1), ("std",), (), ("std",), True, check=lambda p: _require(0 < p["scale"] <= 1, "scale must lie in (0, 1]")),
+    "Blur": Rule("scalar", {"std": 0.0}, vo.blur, None, (), ("std",), ("std",), identity=_zero("std")),
+    "HistogramStandardization": Rule("scalar", {"landmarks": [], "quantiles": None}, vo.histogram, check=lambda p: _require(len(p["landmarks"]) == len(p["quantiles"] or QUANTILES), "as many landmarks as quantiles are needed")),
+    "Ghosting": Rule("scalar", {"num_ghosts": 4, "axes": (0, 1, 2), "intensity": 0.0, "restore": None}, vo.ghosting, None, ("num_ghosts", "axes", "intensity"), (), ("num_ghosts",), identity=_zero("intensity")),
+    "Spike": Rule("scalar", {"num_spikes": 1, "intensity": 0.0}, vo.spike, None, ("num_spikes", "intensity"), (), ("num_spikes",), True, identity=_zero("intensity")),
+    "Motion": Rule("scalar", {"degrees": 10.0, "translation": 10.0, "num_transforms": 2}, vo.motion, None, ("num_transforms",), (), ("num_transforms",), True),
+    "Swap": Rule("scalar", {"patch_size": 15, "num_iterations": 100}, vo.swap, None, ("num_iterations",), (), ("num_iterations",), True),
+    "PCA": Rule("scalar", {"num_components": 3, "whiten": True, "normalize": True, "values_range": (-2.3, 2.3), "clip": True}, vo.pca),
+    "LabelsToImage": Rule(None, {"label_key": None, "image_key": "image_from_labels", "mean": None, "std": None, "default_mean": (0.1, 0.9), "default_std": (0.01, 0.1), "ignore_background": False}, vo.labels_to_image, counted=True, adds=lambda p: {p["image_key"]: T.DoubleType()}),
+    "RemapLabels": Rule("label", {"remapping": {}}, vo.remap, vo.un_remap),
+    "RemoveLabels": Rule("label", {"labels": [], "background": 0}, vo.remove),
+    "SequentialLabels": Rule("label", {}, vo.sequential, vo.un_sequential),
+    "OneHot": Rule("label", {"num_classes": -1}, vo.one_hot, vo.un_one_hot),
+    "Contour": Rule("label", {}, vo.contour),
+    "KeepLargestComponent": Rule("label", {"labels": None, "background": 0, "fully_connected": True}, vo.keep_largest),
+    "Crop": Rule(None, {"cropping": 0}, vo.crop, vo.un_crop),
+    "Pad": Rule(None, {"padding": 0, **_SHAPING}, vo.pad, vo.un_pad, check=_mode),
+    "CropOrPad": Rule(None, {"target_shape": (None, None, None), "units": "voxels", "only_crop": False, "only_pad": False, "location": "center", **_SHAPING}, vo.crop_or_pad, vo.un_shape, counted=True, check=_mode),
+    "EnsureShapeMultiple": Rule(None, {"target_multiple": 1, "method": "pad", **_SHAPING}, vo.ensure_multiple, vo.un_shape, check=_mode),
+    "Flip": Rule(None, {"axes": 0, "flip_probability": 1.0}, vo.flip, vo.un_flip, counted=True),
+    "Transpose": Rule(None, {}, vo.transpose, vo.transpose),
+    "Reorient": Rule(None, {"orientation": "RAS"}, vo.reorient, vo.un_reorient),
+    "CopyAffine": Rule(None, {"target": "t1"}, vo.copy_affine),
+    "ToReferenceSpace": Rule(None, {"reference": "t1"}, vo.to_reference),
+    "Resize": Rule(None, {"target_shape": 1, "image_interpolation": "linear", "label_interpolation": "nearest"}, vo.resize),
+    "Anisotropy": Rule(None, {"axes": (0, 1, 2), "downsampling": 1.0, "image_interpolation": "linear"}, vo.anisotropy, None, ("axes", "downsampling"), identity=lambda p: p["downsampling"] == 1),
+    "Resample": _spatial(target=1.0),
+    "Affine": replace(_spatial(), identity=lambda p: p["scales"] == 1 and _zero("degrees", "translation")(p)),
+    "ElasticDeformation": _spatial(max_displacement=7.5),
+    "Spatial": _spatial(),
+    "To": Rule(None, {"dtype": "float64"}, vo.cast),
+    "Lambda": Rule(None, {"function": None, "types_to_apply": None}, vo.apply_function, check=lambda p: _require(callable(p["function"]), "a function is needed")),
 }
+# other names of the same transforms
+REGISTRY |= {"RescaleIntensity": REGISTRY["Normalize"], "ZNormalization": REGISTRY["Standardize"]}
 
 
-def _flip(x: Column, p: dict, r: dict) -> Column:
-    for a in _axes(p):
-        q = p["flip_probability"]
-        x = spatial.flip(x, (a,), None if q == 1 else rng.uniform(r["seed"], f"{r['stream']}.flip{a}", r["key"]) < q)
-    return x
+def register(name: str, rule: Rule) -> None:
+    """Adds a transform of one's own; its functions must be importable or picklable."""
+    if name in REGISTRY:
+        raise ValueError(f"{name} is registered already")
+    REGISTRY[name] = rule
+
+
+class Node:
+    """A part of a pipeline."""
+
+    def __call__(self, df: DataFrame, *, key: str = "subject_id", seed: int = 0) -> DataFrame:
+        steps: list[Transform] = []
+        program = self.program(F.col(key), seed, "" if isinstance(self, Compose) else "/0", steps)
+        return run_program(df, steps, program, key, seed)
+
+    def inverse(self, df: DataFrame, *, ignore_intensity: bool = False) -> DataFrame:
+        """Undoes every row's history, newest step first."""
+        return invert_history(df, ignore_intensity=ignore_intensity)
+
+    def __add__(self, other: Node) -> Compose:
+        return Compose([*(self.parts if isinstance(self, Compose) else [self]), *(other.parts if isinstance(other, Compose) else [other])])
+
+    def __or__(self, other: Node) -> OneOf:
+        return OneOf([*(self.parts if isinstance(self, OneOf) and not self.weights else [self]), other])
+
+    def to_json(self) -> str:
+        return json.dumps([_spec(p) for p in (self.parts if isinstance(self, Compose) else [self])])
 
 
 @dataclass
-class Transform:
+class Transform(Node):
     """One registered transform; p gates it by row, include and exclude choose images by name."""
 
     name: str
@@ -77,41 +173,37 @@ class Transform:
             raise ValueError(f"unknown transform {self.name!r}")
         if not 0 <= self.p <= 1:
             raise ValueError("p lies in [0, 1]")
-        unknown = set(self.params) - set(REGISTRY[self.name].defaults)
+        rule = REGISTRY[self.name]
+        unknown = set(self.params) - set(rule.defaults)
         if unknown:
             raise ValueError(f"{self.name} has no parameter {sorted(unknown)}")
-        if REGISTRY[self.name].identity(self.rule_params()):
+        full = self.rule_params()
+        rule.check(full)
+        for name in rule.not_below_0:
+            non_negative(full[name])
+        for name in rule.three:
+            if full[name] is not None:
+                draw3(full[name], 0, "", F.lit(0))
+        if rule.identity(full):
             warnings.warn(f"{self.name} does nothing with these parameters", stacklevel=3)
 
     def rule_params(self) -> dict:
         return {**REGISTRY[self.name].defaults, **self.params}
 
-    def names(self, df: DataFrame) -> list[str]:
-        found = image_columns(df, REGISTRY[self.name].kind)
-        return [n for n in found if (self.include is None or n in self.include) and n not in (self.exclude or ())]
+    def names(self, kinds: dict[str, str]) -> list[str]:
+        wanted = REGISTRY[self.name].kind
+        return [n for n, k in kinds.items() if wanted in (None, k) and (self.include is None or n in self.include) and n not in (self.exclude or ())]
 
-    def plan(self, df: DataFrame, key: str, seed: int, stream: str, inverse: bool = False, when: Column | None = None) -> DataFrame:
+    def program(self, key: Column, seed: int, stream: str, steps: list) -> Column:
         rule, params = REGISTRY[self.name], self.rule_params()
-        r = {"key": F.col(key), "seed": seed, "stream": stream}
-        drawn = {k: draw(params[k], seed, f"{stream}.{k}", F.col(key)) for k in rule.random}
-        used = {**params, **{k: c if not isinstance(params[k], int | float) else params[k] for k, c in drawn.items()}}
-        gate = None if self.p == 1 else rng.uniform(seed, f"{stream}.p", F.col(key)) < self.p
-        if when is not None:
-            gate = when if gate is None else when & gate
-        f = rule.inverse if inverse else rule.forward
-        out = {n: f(F.col(n), used, r) for n in self.names(df)}
-        if gate is not None:
-            out = {n: _gated(F.col(n), gate, lambda x: f(x, used, r)) for n in self.names(df)}
-        if inverse:
-            return df.withColumns(out)
-        fixed = json.dumps({k: v for k, v in params.items() if k not in rule.random}, sort_keys=True)
-        text = F.lit(fixed)
-        if rule.random:
-            text = F.concat(F.lit(fixed[:-1] + (", " if len(fixed) > 2 else "")), *_json_numbers(drawn), F.lit("}"))
-        record = F.array(F.struct(F.lit(self.name).alias("name"), text.alias("params")))
-        old = F.col("history") if "history" in df.columns else F.array().cast(HISTORY)
-        grown = F.concat(old, record.cast(HISTORY))
-        return df.withColumns({**out, "history": grown if gate is None else F.when(gate, grown).otherwise(old)})
+        drawn = {k: draw(_as_choice(k, params[k]), seed, f"{stream}.{k}", key) for k in rule.one if params[k] is not None}
+        drawn |= {k: F.array(*draw3(params[k], seed, f"{stream}.{k}", key)) for k in rule.three if params[k] is not None}
+        if isinstance(params.get("target"), tuple | list) and not _is_grid(params["target"]):
+            drawn["target"] = F.array(*draw3(params["target"], seed, f"{stream}.target", key))
+        text = F.to_json(F.struct(*(c.alias(k) for k, c in drawn.items()))) if drawn else F.lit("{}")
+        steps.append((self, stream))
+        one = F.array(F.struct(F.lit(len(steps) - 1).alias("step"), text.alias("drawn"))).cast(PROGRAM)
+        return one if self.p == 1 else F.when(rng.uniform(seed, f"{stream}.p", key) < self.p, one).otherwise(F.array().cast(PROGRAM))
 
     def spec(self) -> dict:
         out = {"name": self.name, **{k: v for k, v in self.params.items()}}
@@ -121,86 +213,74 @@ class Transform:
         return out
 
 
-def _json_numbers(drawn: dict[str, Column]) -> list[Column]:
-    out = []
-    for n, (k, c) in enumerate(sorted(drawn.items())):
-        out += [F.lit((", " if n else "") + f'"{k}": '), c.cast("string")]
-    return out
+def _as_choice(name: str, spec):
+    """Of several axes one is drawn."""
+    return {"choice": list(spec)} if name == "axes" and isinstance(spec, tuple | list) else spec
+
+
+def _is_grid(target) -> bool:
+    """A (shape, affine) pair."""
+    return len(target) == 2 and np.ndim(target[0]) == 1
 
 
 @dataclass
-class Compose:
+class Compose(Node):
     """A sequence; nodes may be transforms or other compositions."""
 
     parts: list
 
-    def __call__(self, df: DataFrame, *, key: str = "subject_id", seed: int = 0) -> DataFrame:
-        return self.plan(df, key, seed, "")
-
-    def plan(self, df, key, seed, stream, inverse=False, when=None):
-        places = list(enumerate(self.parts))
-        for n, part in reversed(places) if inverse else places:
-            if inverse and isinstance(part, Transform) and REGISTRY[part.name].inverse is None:
-                warnings.warn(f"{part.name} has no inverse and is skipped", stacklevel=2)
-                continue
-            df = part.plan(df, key, seed, f"{stream}/{n}", inverse, when)
-        return df
-
-    def inverse(self, df: DataFrame, *, key: str = "subject_id", seed: int = 0) -> DataFrame:
-        """Undoes the invertible parts in reverse order; the same draws come from the same seed. The history is cleared."""
-        return self.plan(df, key, seed, "", inverse=True).withColumn("history", F.array().cast(HISTORY))
-
-    def __add__(self, other: Compose) -> Compose:
-        return Compose([*self.parts, *other.parts])
-
-    def to_json(self) -> str:
-        return json.dumps([_spec(p) for p in self.parts])
+    def program(self, key, seed, stream, steps):
+        made = [part.program(key, seed, f"{stream}/{n}", steps) for n, part in enumerate(self.parts)]
+        return F.concat(*made) if made else F.array().cast(PROGRAM)
 
 
 @dataclass
-class OneOf:
+class OneOf(Node):
     """Every row gets one of the parts, by weight."""
 
     parts: list
     weights: list[float] | None = None
 
-    def plan(self, df, key, seed, stream, inverse=False, when=None):
-        pick = rng.choose(rng.uniform(seed, f"{stream}.one", F.col(key)), list(range(len(self.parts))), self.weights)
-        for n, part in enumerate(self.parts):
-            gate = pick == n
-            df = part.plan(df, key, seed, f"{stream}/{n}", inverse, gate if when is None else when & gate)
-        return df
+    def program(self, key, seed, stream, steps):
+        pick = rng.choose(rng.uniform(seed, f"{stream}.one", key), list(range(len(self.parts))), self.weights)
+        made = [part.program(key, seed, f"{stream}/{n}", steps) for n, part in enumerate(self.parts)]
+        out = made[-1]
+        for n in range(len(made) - 2, -1, -1):
+            out = F.when(pick == n, made[n]).otherwise(out)
+        return out
 
 
 @dataclass
-class SomeOf:
-    """Every row gets between least and most of the parts, in an order of its own (drawn from hashes)."""
+class SomeOf(Node):
+    """Every row gets between least and most of the parts, in an order of its own (drawn from hashes); with replacement a part may come again."""
 
     parts: list
     least: int = 1
     most: int | None = None
+    replacement: bool = False
 
-    def plan(self, df, key, seed, stream, inverse=False, when=None):
+    def program(self, key, seed, stream, steps):
         most = self.most or len(self.parts)
-        if not 0 <= self.least <= most <= len(self.parts):
-            raise ValueError("0 <= least <= most <= number of parts is needed")
-        count = F.floor(rng.uniform(seed, f"{stream}.n", F.col(key)) * (most - self.least + 1)) + self.least
-        order = F.array_sort(F.array(*(F.struct(rng.uniform(seed, f"{stream}.o{n}", F.col(key)).alias("u"), F.lit(n).alias("n")) for n in range(len(self.parts)))))
-        df = df.withColumn("_order", F.transform(order, lambda x: x["n"]))
-        slots = range(most)
-        for slot in reversed(slots) if inverse else slots:
-            for n, part in enumerate(self.parts):
-                gate = (F.get("_order", F.lit(slot)) == n) & (F.lit(slot) < count)
-                df = part.plan(df, key, seed, f"{stream}/{n}", inverse, gate if when is None else when & gate)
-        return df.drop("_order")
+        if not 0 <= self.least <= most or (most > len(self.parts) and not self.replacement):
+            raise ValueError("0 <= least <= most is needed, and most is the number of parts without replacement")
+        count = (F.floor(rng.uniform(seed, f"{stream}.n", key) * (most - self.least + 1)) + self.least).cast("int")
+        if self.replacement:
+            slots = []
+            for slot in range(most):
+                made = OneOf(self.parts).program(key, seed, f"{stream}/{slot}", steps)
+                slots.append(F.when(F.lit(slot) < count, made).otherwise(F.array().cast(PROGRAM)))
+            return F.concat(*slots)
+        made = F.array(*(part.program(key, seed, f"{stream}/{n}", steps) for n, part in enumerate(self.parts)))
+        order = F.array_sort(F.array(*(F.struct(rng.uniform(seed, f"{stream}.o{n}", key).alias("u"), F.lit(n).alias("n")) for n in range(len(self.parts)))))
+        return F.flatten(F.transform(F.slice(order, F.lit(1), count), lambda o: F.get(made, o["n"])))
 
 
 def _spec(part) -> dict:
     if isinstance(part, Transform):
         return part.spec()
     out = {"name": type(part).__name__, "transforms": [_spec(p) for p in part.parts]}
-    for k in ("weights", "least", "most"):
-        if getattr(part, k, None) is not None:
+    for k in ("weights", "least", "most", "replacement"):
+        if getattr(part, k, None) not in (None, False):
             out[k] = getattr(part, k)
     return out
 
@@ -220,30 +300,119 @@ def from_json(text: str) -> Compose:
     return Compose([node(d) for d in json.loads(text)])
 
 
-def replay_inverse(df: DataFrame, steps: int) -> DataFrame:
-    """Undoes what ``history`` says of every row, newest first, for up to ``steps`` records; rows may differ in their histories.
+# --- the kernel ---
+def _subjects(batch: pa.RecordBatch, names: list[str], labels: dict[str, bool]) -> list[vo.Subject]:
+    """The rows of a batch as subjects; voxels are views of the Arrow buffers."""
+    out = [vo.Subject({}) for _ in range(batch.num_rows)]
+    for n in names:
+        col = batch.column(n)
+        size = np.column_stack([col.field(k).to_numpy(zero_copy_only=False) for k in ("c", "si", "sj", "sk")])
+        data, affine = col.field("data"), col.field("affine")
+        values, at = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+        numbers, place = affine.values.to_numpy(zero_copy_only=False), affine.offsets.to_numpy()
+        for r in np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            x = values[at[r] : at[r + 1]].reshape(size[r].astype(int))
+            x = x if labels[n] else x.astype(float, copy=False)
+            out[r].images[n] = vo.Volume(x, numbers[place[r] : place[r + 1]].reshape(4, 4), labels[n])
+    return out
+
+
+def _column(subjects: list[vo.Subject], name: str, kind: T.DataType) -> pa.StructArray:
+    """An image of all subjects as an Arrow column."""
+    found = [s.images.get(name) for s in subjects]
+    element = {"integer": pa.int32(), "double": pa.float64(), "float": pa.float32(), "long": pa.int64(), "short": pa.int16(), "byte": pa.int8()}[kind.typeName()]
+    flat = [np.zeros(0) if v is None else v.data.ravel() for v in found]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+    values = np.concatenate(flat).astype(element.to_pandas_dtype(), copy=False) if flat else np.zeros(0)
+    shape = np.array([[1, 0, 0, 0] if v is None else v.data.shape for v in found], dtype=np.int32).reshape(-1, 4)
+    affine = np.concatenate([np.zeros(16) if v is None else v.affine.ravel() for v in found]) if found else np.zeros(0)
+    parts = [*(pa.array(shape[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * 16), pa.array(affine)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, element))]
+    return pa.StructArray.from_arrays(parts, names=["c", "si", "sj", "sk", "affine", "data"], mask=pa.array([v is None for v in found]))
+
+
+_RECORD = pa.list_(pa.struct([("name", pa.string()), ("params", pa.string())]))
+
+
+def _with_images(schema: T.StructType, new: dict[str, T.DataType]) -> T.StructType:
+    shape = [T.StructField(k, T.IntegerType()) for k in ("c", "si", "sj", "sk")]
+    for n, element in new.items():
+        image = T.StructType([*shape, T.StructField("affine", T.ArrayType(T.DoubleType())), T.StructField("data", T.ArrayType(element))])
+        schema = T.StructType([f for f in schema.fields if f.name != n] + [T.StructField(n, image)])
+    return schema
+
+
+def _kernel(df: DataFrame, extra: list[str], new: dict[str, T.DataType], work: Callable) -> DataFrame:
+    """work(subject, history, *extra columns) -> history, over all rows of df; extra columns are dropped."""
+    scalars = image_columns(df, "scalar")
+    elements = {n: df.schema[n].dataType["data"].dataType.elementType for n in image_columns(df)}
+    labels = {n: n not in scalars for n in elements}
+    kept = [f for f in df.schema.fields if f.name not in (*extra, "history")]
+    out = _with_images(T.StructType(kept), new)
+    elements |= new
+    order = [f.name for f in out.fields]
+    schema = T.StructType([*out.fields, T.StructField("history", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("params", T.StringType())])))])
+    had = "history" in df.columns
+
+    def run(batches):
+        for batch in batches:
+            rows = _subjects(batch, list(labels), labels)
+            old = batch.column("history").to_pylist() if had else [[] for _ in rows]
+            given = zip(*(batch.column(c).to_pylist() for c in extra), strict=True) if extra else [()] * len(rows)
+            history = [work(s, h or [], *g) for s, h, g in zip(rows, old, given, strict=True)]
+            columns = [_column(rows, n, elements[n]) if n in elements else batch.column(n) for n in order]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(history, _RECORD)], names=[*order, "history"])
+
+    return df.mapInArrow(run, schema)
+
+
+def run_program(df: DataFrame, steps: list, program: Column, key: str, seed: int) -> DataFrame:
+    """Runs every row's steps on its images; one pass, no shuffle."""
+    scalars = image_columns(df, "scalar")
+    kinds = {n: "scalar" if n in scalars else "label" for n in image_columns(df)}
+    plan, new = [], {}
+    for t, stream in steps:
+        rule = REGISTRY[t.name]
+        plan.append((t.name, rule, t.rule_params(), t.names(kinds), stream))
+        new |= rule.adds(t.rule_params())
+        kinds |= dict.fromkeys(rule.adds(t.rule_params()), "scalar")
+    new = {n: e for n, e in new.items() if n not in df.columns}
+
+    def work(s: vo.Subject, history: list, todo: list, name) -> list:
+        out = list(history)
+        for item in todo:
+            title, rule, params, chosen, stream = plan[item["step"]]
+            p = {**params, **json.loads(item["drawn"])}
+            if rule.counted:
+                p["draw"] = [f"{seed}|{stream}", str(name)]
+            s.chosen, s.notes = chosen, {}
+            rule.forward(s, p)
+            out.append({"name": title, "params": json.dumps({**p, **s.notes, "images": chosen}, sort_keys=True, default=str)})
+        return out
+
+    own = ["_program", "_key"]
+    while any(n in df.columns for n in own):
+        own = [f"_{n}" for n in own]
+    rows = df.withColumns({own[0]: program, own[1]: F.col(key).cast("string")})
+    return _kernel(rows, own, new, work)
+
+
+def invert_history(df: DataFrame, *, steps: int | None = None, ignore_intensity: bool = False) -> DataFrame:
+    """Undoes what ``history`` says of every row, newest first; rows may differ in their histories.
 
-    Only records that need no more than their own parameters are undone (Gamma, Flip, Transpose); others stay.
+    A record of an unknown transform, of one that has no inverse, or (with ignore_intensity) of one of intensities stays in the history.
     """
-    for back in range(1, steps + 1):
-        rec = F.get("history", F.size("history") - back)
-        scalars = image_columns(df, "scalar")
-        for n in image_columns(df):
-            df = df.withColumn(n, _undone(F.col(n), rec, n in scalars))
-    return df.withColumn("history", F.array().cast(HISTORY))
-
-
-@bound
-def _undone(x: Column, rec: Column, scalar: bool) -> Column:
-    """The image before the record."""
-    out = F.when(rec["name"] == "Transpose", spatial.transpose(x))
-    for a in range(3):
-        out = out.when((rec["name"] == "Flip") & (F.get_json_object(rec["params"], "$.axes") == str(a)), spatial.flip(x, (a,)))
-    if scalar:
-        out = out.when(rec["name"] == "Gamma", intensity.gamma(x, -F.get_json_object(rec["params"], "$.log_gamma").cast("double")))
-    return out.otherwise(x)
-
-
-@bound
-def _gated(x: Column, gate: Column, f: Callable) -> Column:
-    return F.when(gate, f(x)).otherwise(x)
+    rules = dict(REGISTRY)
+
+    def work(s: vo.Subject, history: list) -> list:
+        left = []
+        for back, record in enumerate(reversed(history)):
+            rule = rules.get(record["name"])
+            if rule is None or rule.undo is None or (ignore_intensity and rule.kind == "scalar") or (steps is not None and back >= steps):
+                left.append(record)
+                continue
+            p = json.loads(record["params"])
+            s.chosen, s.notes = p["images"], {}
+            rule.undo(s, p)
+        return left[::-1]
+
+    return _kernel(df, [], {}, work)

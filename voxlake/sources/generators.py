@@ -7,16 +7,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def zone_plate(spark: SparkSession, size: int) -> DataFrame:
-    """(i, j, k, v): a zone plate of size**3 voxels around the centre, faded towards the border."""
-    half = (size - 1) // 2
-    p = F.col("id")
+    """(i, j, k, v): a zone plate of size**3 voxels about the world's origin; voxel 0 lies at zone_plate_start(size) on every axis.
+
+    Rings sin(0.8 pi r**2 / 2R) times a factor that begins to fall where r comes near R. R is the first coordinate, so it is negative.
+    """
+    start = zone_plate_start(size)
+    p, big = F.col("id"), float(start)
     rows = spark.range(size**3).select(F.floor(p / (size * size)).alias("i"), (F.floor(p / size) % size).alias("j"), (p % size).alias("k"))
-    r2 = sum(((F.col(a) - half) * (F.col(a) - half) for a in "jk"), (F.col("i") - half) * (F.col("i") - half))
-    km, w = 0.7 * np.pi, half / 10
-    v = F.sin(F.lit(km) * r2 / (2 * half)) * (F.lit(0.5) * F.tanh((half - F.sqrt(r2)) / w) + 0.5)
+    r2 = sum(((F.col(a) + start) * (F.col(a) + start) for a in "jk"), (F.col("i") + start) * (F.col("i") + start))
+    v = F.sin(F.lit(0.8 * np.pi) * r2 / (2 * big)) * (F.lit(0.5) * F.tanh((big - F.sqrt(r2)) / (big / 10)) + 0.5)
     return rows.select("i", "j", "k", v.alias("v"))
 
 
+def zone_plate_start(size: int) -> int:
+    if size < 3:
+        raise ValueError("a zone plate has at least 3 voxels an axis")
+    return -((size - 1) // 2)
+
+
 def read_matrix(text: str) -> np.ndarray:
     """World matrix (RAS) of an ITK transform text (LPS parameters about a centre) or a plain 4 x 4 table (of the inverse)."""
     if "Parameters:" not in text:
