@@ -3,15 +3,15 @@
 Grammar inference. The values that the base patterns find are labelled credentials of their
 kind. For every kind a prefix tree of their character classes (with counts of ends)
 is built, and states whose outgoing and ending frequencies are compatible (Hoeffding bound,
-checked down the subtrees) are merged in breadth-first order, as ALERGIA does. The result
+checked down the subtrees, where more than ``EVIDENCE`` values went through) are merged in breadth-first order, as ALERGIA does. The result
 is a deterministic probabilistic automaton. Every candidate of a text (a run of 16 or more
 credential characters) is then scored: log-likelihood a character of its class string under the best
 automaton, with the characters of a class equally likely, against a background model of ordinary runs, and
 its characters' spread in the alphabet that it uses. No candidate is refused before. Candidates above the threshold that no base span touches are added with the kind
 ``format``. Base spans stay as they are.
 
-Training gets at most ``max_rows`` values (default 5,000, the smallest hashes) from all documents;
-candidates of every text are scored.
+Training gets at most ``max_rows`` values (default 5,000, the smallest hashes) from all documents, which are read once;
+candidates of every text are scored. The work grows with the length of a text and its matches.
 
 Defined results. Null or empty text: zero counts, the digest of the empty string, no spans.
 Without credentials the method adds nothing. Repeated rows give repeated rows; a null doc_id is
@@ -23,13 +23,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
+from .store import Store
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -37,7 +40,7 @@ _ASSIGN_SIGN = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # a greedy run of 32 or more is the whole run
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
-_LETTERS = re.compile(rb"[G-Zg-z]")
+EVIDENCE = 8
 _RUN = np.zeros(256, dtype=bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
 
@@ -93,7 +96,7 @@ class Automaton:
             for ch in set(self.next[a]) | set(self.next[b]):
                 if self._differ(self.count[a][ch], self.total[a], self.count[b][ch], self.total[b]):
                     return False
-                if a != b and ch in self.next[a] and ch in self.next[b] and self.total[self.next[b][ch]] > 8:
+                if a != b and ch in self.next[a] and ch in self.next[b] and self.total[self.next[b][ch]] > EVIDENCE:
                     x, y = self.next[a][ch], self.next[b][ch]
                     if x != y and y > x:
                         stack.append((x, y))
@@ -116,23 +119,30 @@ class Automaton:
                     self.next[a][ch] = to
 
     def _merge_all(self) -> None:
-        red = [0]
+        red, done = [0], {0}
         blue = deque((0, ch) for ch in sorted(self.next[0]))
+        waiting = set(blue)
         while blue:
             frm, ch = blue.popleft()
+            waiting.discard((frm, ch))
             q = self.next[frm].get(ch)
-            if q is None or q in red:
+            if q is None or q in done:
                 continue
             for p in red:
                 if self._compatible(p, q):
                     self.next[frm][ch] = p
                     self._fold(p, q)
                     # the merged state may have got new successors that no red state has yet
-                    blue.extend((p, c) for c in sorted(self.next[p]) if self.next[p][c] not in red and (p, c) not in blue)
+                    new = [(p, c) for c in sorted(self.next[p]) if self.next[p][c] not in done and (p, c) not in waiting]
+                    blue.extend(new)
+                    waiting.update(new)
                     break
             else:
                 red.append(q)
-                blue.extend((q, c) for c in sorted(self.next[q]))
+                done.add(q)
+                new = [(q, c) for c in sorted(self.next[q])]
+                blue.extend(new)
+                waiting.update(new)
         self.red = red
         kinds = len("0aAzZ+/_.=-")
         self.cost = [{c: math.log((self.count[s][c] + 0.02) / (self.total[s] + 0.02 * (kinds + 1))) for c in "0aAzZ+/_.=-"} for s in range(len(self.ends))]
@@ -205,6 +215,15 @@ def candidates(chunk: tv.Chunk, least: int = 16) -> list[tuple[int, int, int]]:
     return list(zip(doc.tolist(), s[at].tolist(), e[at].tolist(), strict=True))
 
 
+def apart(base: list[tuple], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that no base match touches."""
+    if not base:
+        return runs
+    starts = [m[0] for m in base]
+    ends = list(accumulate((m[2] for m in base), max))
+    return [(s, e) for s, e in runs if not (k := bisect_left(starts, e)) or ends[k - 1] <= s]
+
+
 def fit(docs: DataFrame, *, max_rows: int = 5_000) -> FormatModel:
     """Learns the formats from at most max_rows base values of each kind and as many ordinary runs, by smallest hash."""
 
@@ -221,13 +240,12 @@ def fit(docs: DataFrame, *, max_rows: int = 5_000) -> FormatModel:
                     base = base_matches(text)
                     kinds += [KINDS[m[1]] for m in base]
                     values += [m[3] for m in base]
-                    for s, e in runs.get(d, ()):
-                        if not any(m[0] < e - a and s - a < m[2] for m in base):
-                            kinds.append("")
-                            values.append(text[s - a : e - a])
+                    for s, e in apart(base, [(s - a, e - a) for s, e in runs.get(d, ())]):
+                        kinds.append("")
+                        values.append(text[s:e])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([v.decode() for v in values], pa.string())], names=["kind", "value"])
 
-    found = docs.select("text").mapInArrow(gather, "kind string, value string").distinct()
+    found = Store(docs.sparkSession, "secrets").keep(docs.select("text").mapInArrow(gather, "kind string, value string").distinct())
     picked = [found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(max_rows) for k in (*KINDS, "")]
     rows = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3]).collect()
     values: dict[str, list[bytes]] = {}
@@ -243,10 +261,6 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 def secret_scan(docs: DataFrame, model: FormatModel) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_format."""
 
-    def points(text: bytes, at: int) -> int:
-        """Code points before a byte position."""
-        return at if text.isascii() else len(text[:at].decode())
-
     def run(batches):
         names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]
         types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
@@ -260,8 +274,13 @@ def secret_scan(docs: DataFrame, model: FormatModel) -> DataFrame:
                     a, b = int(c.offs[d]), int(c.offs[d + 1])
                     text = c.buf[a:b].tobytes()
                     base = base_matches(text)
-                    spans = [(points(text, m[0]), m[1], KINDS[m[1]], points(text, m[2])) for m in base]
-                    more = [(points(text, s - a), 3, "format", points(text, e - a)) for s, e in runs.get(d, ()) if not any(m[0] < e - a and s - a < m[2] for m in base) and model.accepts(text[s - a : e - a])]
+                    more = [(s, e) for s, e in apart(base, [(s - a, e - a) for s, e in runs.get(d, ())]) if model.accepts(text[s:e])]
+                    if text.isascii() or not (base or more):
+                        place = range(len(text) + 1)
+                    else:  # code points before each byte
+                        place = np.concatenate([[0], np.cumsum((c.buf[a:b] & 0xC0) != 0x80)]).tolist()
+                    spans = [(place[m[0]], m[1], KINDS[m[1]], place[m[2]]) for m in base]
+                    more = [(place[s], 3, "format", place[e]) for s, e in more]
                     plain = _joined([(s, k, e) for s, _, k, e in spans])
                     n = Counter(m[1] for m in base)
                     rows.append((n[0], n[1], n[2], hashlib.sha256(plain.encode()).hexdigest(), _joined([(s, k, e) for s, _, k, e in sorted(spans + more)]), len(more)))

@@ -3,12 +3,13 @@
 Rules. A rule such as ``example.org/es/`` fits its host and all its subdomains if the path starts with the rule's; the
 longest rule wins. The pages that rules judge are the labelled pages of the method.
 
-Template tree. The path's segments (up to ``DEPTH``; what lies deeper is one segment that holds their number) are generalised
+Template tree. The path's segments, all of them, are generalised
 per host in three ways. (1) A segment that is variable by form (number, hexadecimal, mixed letters and
 digits) becomes a wildcard of its form. (2) Below one parent, more than ``FANOUT`` different segments with few
 pages each become a wildcard. (3) Sibling branches are merged into one wildcard unless their labels differ: a branch stays by itself if the two-proportion
 z statistic of its blocked share against that of its siblings is above ``Z``. Levels are treated one after another from the
-root, on pages already aggregated by host and form; each level's small table is kept in the shared folder.
+root, on pages already aggregated by host and form; each level's small table is kept in the shared folder. A form that is alone below its
+template has no branches left to merge and is settled with all its further segments, so the levels end with the deepest branching.
 
 Verdict. The blocked share of a template's labelled pages is smoothed to that of its host, the host's to that of its
 registered domain, and that to the share of all labelled pages, each with weight ``WEIGHT``. A share of
@@ -21,14 +22,15 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import Store
+from .store import Store, sized
 
 # The rules of the query, as (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, FANOUT, FEW = 4, 16, 4
+FANOUT, FEW = 16, 4
 Z, WEIGHT, REJECT = 1.96, 2.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +53,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def segments(path: Column) -> Column:
-    """The path as an array of DEPTH + 1 segments: forms for variable ones, '' where it has ended."""
+    """The path's segments as an array, variable ones as their forms."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     form = lambda s: (
         F.when(s.rlike(r"^[0-9]+(\.[a-z]{2,5})?$"), F.regexp_replace(s, "^[0-9]+", "<num>"))
@@ -59,9 +61,7 @@ def segments(path: Column) -> Column:
         .when(s.rlike("[0-9]"), "<mix>")
         .otherwise(s)
     )
-    deep = F.size(parts) - DEPTH
-    levels = [F.coalesce(form(F.get(parts, F.lit(k))), F.lit("")) for k in range(DEPTH)]
-    return F.array(*levels, F.when(deep > 0, F.concat(F.lit("<deep:"), deep.cast("string"), F.lit(">"))).otherwise(""))
+    return F.transform(parts, form)
 
 
 def domain_of(host: Column) -> Column:
@@ -76,11 +76,10 @@ def template_tree(pages: DataFrame) -> DataFrame:
     stats = [F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
     tree = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     store = Store(pages.sparkSession, "urls")
-    tree = store.keep(tree.withColumn("template", F.lit("")))
-    for level in range(DEPTH + 1):
-        branch = F.get("shape", F.lit(level))
-        tree = tree.withColumn("seg", branch)
-        nodes = tree.groupBy("host", "template", "seg").agg(*stats)
+    active, settled, level = store.keep(tree.withColumn("template", F.lit(""))), [], 0
+    while True:
+        named = active.withColumn("seg", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
+        nodes = named.groupBy("host", "template", "seg").agg(*stats)
         parents = nodes.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("lab").alias("pl"), F.sum("bad").alias("pb"), F.sum((F.col("seg") != "").cast("int")).alias("children"))
         nodes = nodes.join(parents, ["host", "template"])
         rest_l, rest_b = F.col("pl") - F.col("lab"), F.col("pb") - F.col("bad")
@@ -91,8 +90,17 @@ def template_tree(pages: DataFrame) -> DataFrame:
         crowd = (F.col("children") > FANOUT) & (F.col("n") <= FEW)
         merged = F.when(F.col("seg") == "", "").when(crowd, "<any>").when(differs | (F.col("children") <= 1) | F.startswith("seg", F.lit("<")), F.col("seg")).otherwise("<any>")
         step = nodes.select("host", "template", "seg", F.when(merged == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), merged)).alias("next"))
-        tree = tree.join(step, ["host", "template", "seg"]).select("host", "shape", "n", "lab", "bad", F.col("next").alias("template"))
-        tree = store.keep(tree)
+        moved = named.join(step, ["host", "template", "seg"]).select("host", "shape", "n", "lab", "bad", (F.col("seg") == "").alias("ended"), F.col("next").alias("template"))
+        forms = moved.where(~F.col("ended")).groupBy("host", "template").agg(F.count("*").alias("forms"))
+        level += 1
+        rest = F.array_join(F.slice("shape", F.lit(level + 1), F.greatest(F.size("shape") - level, F.lit(0))), "/")
+        whole = F.when(F.col("ended") | (F.size("shape") <= level), F.col("template")).otherwise(F.concat("template", F.lit("/"), rest))
+        moved = store.keep(moved.join(forms, ["host", "template"], "left").withColumn("alone", F.col("ended") | (F.col("forms") == 1)).withColumn("whole", whole))
+        settled.append(moved.where("alone").select("host", "shape", "n", "lab", "bad", F.col("whole").alias("template")))
+        active = moved.where("not alone").select("host", "shape", "n", "lab", "bad", "template")
+        if active.isEmpty():
+            break
+    tree = store.last(reduce(DataFrame.unionByName, settled))
     share = lambda up, bad, lab: (bad + WEIGHT * up) / (lab + WEIGHT)
     domain = domain_of(F.col("host"))
     templates = tree.groupBy("host", "template").agg(*stats)
@@ -114,6 +122,6 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), segments(F.col("path")).alias("shape"))
     label = F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)
     tree = template_tree(rows.select("host", "shape", label.alias("label")))
-    judged = rows.join(tree.withColumnRenamed("template", "t").withColumnRenamed("purity", "p"), ["host", "shape"])
+    judged = rows.join(sized(Store(pages.sparkSession, "templates").keep(tree.withColumnsRenamed({"template": "t", "purity": "p"}))), ["host", "shape"])
     verdict = F.coalesce("said", F.when(F.col("p") >= REJECT, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("t").alias("template"), F.col("p").alias("purity"))
