@@ -1,12 +1,13 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text is folded to its words (A-Z lower-cased; runs of digits, a-z and non-ASCII
-characters) joined by single blanks, so a rule is a plain regex over words. Rules are
-built from families (names, versions) and sentence templates, several hundred in all, each
+characters) joined by single blanks, so a rule is a plain regex over words. Rules are the hand-written
+``SENTENCES`` that license texts and notices are known by, and for the names and versions of ``FAMILIES`` the ways of naming them, several hundred in all, each
 with a label, a priority and a keyword, a literal part of all that it matches. Only rules whose
-keyword occurs in a text, inside a word too (gplv3), are run. Detections are then resolved: one that lies inside
-another of higher or equal priority is suppressed (equal intervals: the earlier rule
-stays). The base phrases are found apart from that and always stay.
+keyword occurs in a text, inside a word too (gplv3), are run. A name that is also an ordinary word or a product counts with a version only if
+``license``, ``version`` or ``v`` stands between them. Detections are then resolved: one that lies inside
+another of higher or equal priority is suppressed (equal intervals: the first label
+stays). The base phrases are found apart from that and always stay. The work grows with the length of a text and its matches.
 
 Defined results. Null or empty text: no words, no labels, score 0. Repeated rows give
 repeated rows; a null doc_id is carried through. Extra columns are ignored. An empty
@@ -16,9 +17,12 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -69,23 +73,151 @@ FAMILIES = [
     ("sspl", ["server side public", "sspl"], ["1"]),
     ("elastic", ["elastic"], ["2", "2 0"]),
 ]
+#: Families whose names are ordinary words or products too.
+ORDINARY = {"apache", "artistic", "php", "ruby", "json", "vim", "elastic", "postgresql", "openssl", "zlib", "x11", "expat", "perl artistic", "zlib libpng", "isc", "bsd", "berkeley software distribution", "open software", "open database", "asl", "psf", "upl", "afl", "osl", "bsl"}
 # Creative Commons elements in their usual order.
 CREATIVE_COMMONS = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv\\w*", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv\\w*"}
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 # Sentences by which a text grants, names or refuses a license without naming a family.
 SENTENCES = [
+    # permissive grants and their conditions
     ("mit", 60, "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 58, "merge", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", 58, "substantial", r"shall be included in all copies or substantial portions of the software"),
+    ("mit", 56, "restriction", r"to deal in the software without restriction"),
+    ("mit", 56, "dealings", r"or the use or other dealings in the software"),
+    ("mit-0", 59, "permit", r"and to permit persons to whom the software is furnished to do so the software is provided"),
     ("isc", 60, "permission", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 58, "hereby", r"with or without fee is hereby granted"),
+    ("hpnd", 57, "permission", r"permission to use copy modify and distribute this software and its documentation"),
+    ("ntp", 56, "suitability", r"makes no representations about the suitability (?:of )?this software for any purpose"),
     ("bsd", 60, "redistribution", r"redistributions? and use in source and binary forms with or without modification"),
     ("bsd", 60, "redistributions", r"redistributions of source code must retain the above copyright notice"),
-    ("public-domain", 50, "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
+    ("bsd", 60, "binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 62, "endorse", r"may (?:not )?be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", 63, "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("zlib", 60, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 58, "plainly", r"altered source versions must be plainly marked as such"),
+    ("zlib", 58, "implied", r"provided as is without any express or implied warranty in no event will the authors"),
+    ("boost", 60, "accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost", 58, "executable", r"machine executable object code generated by a source language processor"),
+    ("apache-2", 60, "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2", 58, "limitations", r"for the specific language governing permissions and limitations under the license"),
+    ("apache-2", 58, "perpetual", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2", 55, "basis", r"distributed under the license is distributed on an as is basis"),
+    ("apache", 57, "developed", r"this product includes software developed by the apache software foundation"),
+    ("openssl", 57, "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", 57, "cryptographic", r"this product includes cryptographic software written by"),
+    ("ncsa", 57, "urbana", r"neither the names? of .{0,60}university of illinois at urbana champaign"),
+    ("psf", 58, "psf", r"psf hereby grants licensee a non ?exclusive royalty free world wide license"),
+    ("php", 58, "php", r"products derived from this software may not be called php"),
+    ("python-cnri", 57, "cnri", r"cnri hereby grants licensee"),
+    ("beerware", 58, "beer", r"you can buy me a beer in return"),
+    ("wtfpl", 60, "fuck", r"you just do what the fuck you want to"),
+    ("unlicense", 60, "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 58, "anyone", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 57, "unlicense", r"for more information please refer to https? unlicense org"),
+    ("0bsd", 57, "0bsd", r"0bsd"),
     ("cc0", 55, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc", 20, "creative", r"(?:under|by) an? creative commons(?: \w+){0,6} licen[sc]e"),
+    ("cc0", 58, "irrevocably", r"overtly fully permanently irrevocably and unconditionally waives?"),
+    ("cc0", 58, "dedicated", r"has dedicated the work to the public domain"),
+    ("public-domain", 50, "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
+    ("public-domain", 50, "domain", r"public domain (?:dedication|mark|work)"),
+    ("public-domain", 48, "copyright", r"no copyright is claimed"),
+    ("public-domain", 48, "disclaims", r"the author hereby disclaims copyright to this source code"),
+    ("public-domain", 47, "government", r"(?:this|a) work of the united states government"),
+    # copyleft notices
+    ("gpl", 61, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 57, "general public", r"see the gnu general public license for more details"),
+    ("gpl", 57, "received", r"you should have received a copy of the gnu general public license"),
+    ("gpl", 56, "later", r"either version (?:2|3) of the license or at your option any later version"),
+    ("gpl-2", 62, "option", r"version 2 of the license or at your option any later version"),
+    ("gpl-3", 62, "option", r"version 3 of the license or at your option any later version"),
+    ("gpl", 58, "copyleft", r"the gnu general public license is a free copyleft license"),
+    ("gpl", 57, "freedom", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom"),
+    ("lgpl", 61, "lesser", r"under the terms of the gnu lesser general public license"),
+    ("lgpl", 57, "lesser", r"see the gnu lesser general public license for more details"),
+    ("lgpl", 61, "library", r"under the terms of the gnu library general public license"),
+    ("agpl", 61, "affero", r"under the terms of the gnu affero general public license"),
+    ("agpl", 58, "interacting", r"all users interacting with it remotely through a computer network"),
+    ("gpl-classpath", 63, "linking", r"linking this library statically or dynamically with other modules"),
+    ("gpl-exception", 55, "exception", r"as a special exception (?:to the gnu general public license )?(?:\w+ ){0,12}(?:permission|permitted|distribute|link)"),
+    ("gfdl", 61, "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", 60, "documentation", r"under the terms of the gnu free documentation license"),
+    ("mpl-2", 61, "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", 58, "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 60, "contents", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("npl", 60, "netscape", r"the contents of this file are subject to the netscape public license"),
+    ("epl", 60, "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", 57, "eclipse", r"eclipse public license (?:v|version)"),
+    ("cpl", 60, "common public", r"made available under the terms of the common public license"),
+    ("cddl", 60, "common development", r"subject to the terms of the common development and distribution license"),
+    ("eupl", 60, "eupl", r"licensed under the eupl"),
+    ("osl", 60, "open software", r"licensed under the open software license version"),
+    ("artistic", 60, "artistic", r"the copyright holder permits the user to distribute .{0,80}under the terms of the artistic license"),
+    ("artistic", 58, "perl", r"under the same terms as perl itself"),
+    ("ruby", 58, "ruby", r"you can redistribute it and or modify it under (?:either )?the (?:same )?terms (?:of|as) (?:the )?ruby"),
+    ("cecill", 60, "cecill", r"this software is governed by the cecill"),
+    ("ofl", 60, "font", r"this font software is licensed under the sil open font license"),
+    ("ofl", 58, "fonts", r"the ofl allows the licensed fonts to be used studied modified and redistributed freely"),
+    ("ms-pl", 59, "accompanying", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    # content and data
+    ("cc", 20, "creative", r"(?:under|by) an? creative commons (?:\w+ ){0,6}licen[sc]e"),
+    ("cc", 30, "commons", r"some rights reserved (?:under )?creative commons"),
+    ("cc-by", 40, "appropriate", r"you must give appropriate credit provide a link to the license"),
+    ("cc-by-sa", 41, "remix", r"if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nc", 41, "commercial", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", 41, "modified", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", 45, "attribution", r"text is available under the creative commons attribution share ?alike"),
+    ("odbl", 58, "database", r"made available under the open database license"),
+    ("odbl", 58, "individual", r"any rights in individual contents of the database are licensed under"),
+    ("odc-by", 58, "commons", r"made available under the open data commons attribution license"),
+    ("pddl", 58, "dedication", r"made available under the public domain dedication and license"),
+    ("ogl-uk", 58, "government", r"(?:contains public sector information )?licensed under the open government licen[sc]e"),
+    ("etalab", 57, "ouverte", r"licence ouverte(?: open licence)?(?: etalab)?"),
+    ("cdla", 58, "community", r"community data license agreement(?: permissive| sharing)?"),
+    ("openrail", 58, "rail", r"(?:bigscience |creativeml )?open ?rail(?: m| s| d)?(?: licen[sc]e)?"),
+    ("llama", 58, "llama", r"llama (?:2 |3 )?community licen[sc]e(?: agreement)?"),
+    # source-available and restricted
+    ("sspl", 60, "service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("bsl", 60, "change", r"change date .{0,80}change license"),
+    ("bsl", 58, "production", r"non production use of the licensed work"),
+    ("elastic", 60, "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", 60, "clause", r"commons clause license condition"),
+    ("commons-clause", 58, "sell", r"the license does not grant to you the right to sell the software"),
+    ("polyform", 59, "polyform", r"polyform (?:noncommercial|small business|shield|strict|internal use)"),
+    ("json", 58, "evil", r"the software shall be used for good not evil"),
+    ("noncommercial", 35, "commercial", r"(?:for|only) non ?commercial (?:use|purposes)"),
+    ("noncommercial", 35, "commercial", r"commercial use (?:of this \w+ )?is (?:strictly )?(?:prohibited|forbidden|not permitted|not allowed)"),
+    ("academic", 35, "academic", r"for academic(?: and \w+)? (?:use|purposes) only"),
+    ("academic", 35, "research", r"for research(?: and \w+)? (?:use|purposes) only"),
+    ("academic", 35, "educational", r"for educational(?: and \w+)? (?:use|purposes) only"),
+    ("personal", 34, "personal", r"for (?:your )?personal (?:non ?commercial )?use only"),
+    ("evaluation", 35, "evaluation", r"for evaluation (?:use|purposes) only"),
+    # reservations
     ("proprietary", 40, "reserved", r"all rights reserved"),
+    ("proprietary", 40, "droits", r"tous droits réservés"),
+    ("proprietary", 40, "vorbehalten", r"alle rechte vorbehalten"),
+    ("proprietary", 40, "derechos", r"todos los derechos reservados"),
     ("proprietary", 40, "confidential", r"(?:strictly )?confidential and proprietary"),
+    ("proprietary", 42, "proprietary", r"proprietary (?:and confidential )?(?:information|software|material) of"),
     ("proprietary", 45, "reproduced", r"(?:no part of this|may not be) (?:\w+ ){0,6}reproduced"),
+    ("proprietary", 45, "permission", r"without (?:the )?(?:prior |express )*(?:written )?permission of (?:the )?(?:author|owner|publisher|copyright)"),
+    ("proprietary", 45, "consent", r"without (?:the )?(?:prior |express )*(?:written )?consent of (?:the )?(?:author|owner|publisher|copyright)"),
+    ("proprietary", 44, "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution)(?: or \w+)? (?:of this \w+ )?(?:is )?(?:strictly )?prohibited"),
+    ("proprietary", 43, "licensed", r"(?:is )?licensed not sold"),
+    ("proprietary", 44, "reverse", r"(?:may|shall) not (?:\w+ ){0,6}reverse engineer"),
+    ("eula", 50, "agreement", r"end user licen[sc]e agreement"),
+    ("eula", 48, "agree", r"by (?:downloading|installing|copying|using)(?: or (?:downloading|installing|copying|using))? (?:the|this) (?:software|product) you agree"),
+    ("eula", 48, "accept", r"by (?:downloading|installing|copying|using)(?: or (?:downloading|installing|copying|using))? (?:the|this) (?:software|product) you accept"),
+    ("trademark", 15, "trademark", r"(?:are|is) (?:a )?(?:registered )?trademarks? of"),
     ("copyright", 10, "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
-    ("noncommercial", 35, "commercial", r"(?:for|only) non ?commercial (?:use|purposes)"),
+    ("copyright", 10, "copyright", r"copyrighted by (?:the )?\w+"),
+    ("disclaimer", 12, "warrant", r"without (?:warranty|warranties)(?: or conditions)? of any kind"),
+    ("disclaimer", 12, "merchantability", r"implied warranty of merchantability or fitness for a particular purpose"),
+    ("spdx", 30, "spdx", r"spdx licen[sc]e identifier \w+"),
+    ("unknown", 8, "license", r"see (?:the )?license(?: file| txt| md)? for (?:details|more information|license details)"),
+    ("unknown", 8, "license", r"released under (?:the terms of )?(?:an? |the )?open source license"),
 ]
 
 
@@ -110,7 +242,8 @@ def rules() -> tuple[Rule, ...]:
             key = max(name.split(), key=len)
             for v in versions:
                 tag = f"{label}-{v.replace(' clause', '-clause').replace(' ', '.').removesuffix('.0')}"
-                add(tag, 90, key, rf"{name}(?: public)?(?: licen[sc]es?)?(?: version| v)? ?v?{v}")
+                between = r"(?: public)?(?: software| project)?(?: licen[sc]es?(?: version)?| version)(?: v)? ?v?|(?: public)? v ?" if name in ORDINARY else r"(?: public)?(?: licen[sc]es?)?(?: version| v)? ?v?"
+                add(tag, 90, key, rf"{name}(?:{between}){v}")
                 add(tag, 95, key, rf"spdx licen[sc]e identifier {name} {v}(?: only| or later)?")
             add(label, 80, key, rf"under (?:the )?(?:terms of )?(?:the )?{name}(?: style)? licen[sc]e")
             add(label, 75, key, rf"spdx licen[sc]e identifier {name}")
@@ -147,23 +280,34 @@ def _gates() -> dict[bytes, list[Rule]]:
     return by
 
 
-#: One of these is in every text that any rule can match; a cheap first gate.
-_SIGNS = re.compile(rb"licen[sc]|spdx|commons|creativecommons|cc |cc0|permission|redistribution|public domain|reserved|confidential|reproduced|copyright|commercial|\d")
+@lru_cache(maxsize=1)
+def _signs() -> re.Pattern:
+    """One of the keywords is in every text that any rule can match; a cheap first gate."""
+    return re.compile(b"|".join(sorted({re.escape(k) for k in _gates()}, key=len)))
 
 
 def detect(folded: bytes) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that no other contains, by start."""
-    found = []
+    levels: dict[int, list[tuple[int, int, str]]] = {}
     for k, of in _gates().items():
         if k in folded:
             for r in of:
-                found += [(m.start(), m.end(), r.label, r.priority) for m in r.pattern.finditer(folded)]
-    found.sort(key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
+                for m in r.pattern.finditer(folded):
+                    levels.setdefault(r.priority, []).append((m.start(), -m.end(), r.label))
     kept: list[tuple[int, int, str, int]] = []
-    for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
-    return sorted(kept)
+    starts: list[int] = []
+    reach: list[int] = []  # the farthest end of the kept detections up to each start
+    for priority in sorted(levels, reverse=True):
+        far, fresh = -1, []
+        for a, b, label in sorted(levels[priority]):
+            k = bisect_right(starts, a)
+            if -b > far and not (k and reach[k - 1] >= -b):
+                fresh.append((a, -b, label, priority))
+            far = max(far, -b)
+        if fresh:
+            kept = sorted(kept + fresh)
+            starts, reach = [d[0] for d in kept], list(accumulate((d[1] for d in kept), max))
+    return kept
 
 
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, list[tuple[int, int, str]]]:
@@ -171,7 +315,7 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     words = fold(text)
     n = len(words)
     folded = b" ".join(words)
-    if not n or not _SIGNS.search(folded):
+    if not n or not (_signs().search(folded) or any(phrase in folded for phrase, _ in _BASE)):
         return n, 0, None, None, "", "", 0.0, []
     base: list[tuple[int, str]] = []
     for phrase, label in _BASE:
@@ -179,14 +323,16 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
         while at >= 0:
             end = at + len(phrase)
             if (at == 0 or folded[at - 1] == 32) and (end == len(folded) or folded[end] == 32):
-                base.append((folded.count(b" ", 0, at), label))
+                base.append((at, label))
             at = folded.find(phrase, at + 1)
     found = detect(folded)
-    places = [w for w, _ in base]
+    blanks = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32) if base or found else None
+    word = lambda places: np.searchsorted(blanks, places).tolist()
+    places = word([a for a, _ in base]) if base else []
     labels = {label for _, label in base}
     every = labels | {d[2] for d in found}
     score = max([1.0 * bool(base), *(d[3] / 100 for d in found)])
-    spans = [(folded.count(b" ", 0, a), folded.count(b" ", 0, b) + 1, label) for a, b, label, _ in found]
+    spans = [(a, b + 1, d[2]) for a, b, d in zip(word([d[0] for d in found]), word([d[1] for d in found]), found, strict=True)] if found else []
     return n, len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, spans
 
 
