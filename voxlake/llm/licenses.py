@@ -4,7 +4,7 @@ A text is folded to its words (A-Z lower-cased; runs of digits, a-z and non-ASCI
 characters) joined by single blanks, so a rule is a plain regex over words. Rules are the hand-written
 ``SENTENCES`` that license texts and notices are known by, and for the names and versions of ``FAMILIES`` the ways of naming them, several hundred in all, each
 with a label, a priority and a keyword, a literal part of all that it matches. Only rules whose
-keyword occurs in a text, inside a word too (gplv3), are run. A name that is also an ordinary word or a product counts with a version only if
+keyword (and another literal, where there is one) occurs in a text, inside a word too (gplv3), are run; one pass of an Aho-Corasick automaton finds these. A name that is also an ordinary word or a product counts with a version only if
 ``license``, ``version`` or ``v`` stands between them. Detections are then resolved: one that lies inside
 another of higher or equal priority is suppressed (equal intervals: the first label
 stays). The base phrases are found apart from that and always stay. The work grows with the length of a text and its matches.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -225,7 +226,8 @@ SENTENCES = [
 class Rule:
     label: str
     priority: int
-    keyword: bytes
+    keyword: str
+    also: str  # another literal part, or nothing
     pattern: re.Pattern
 
 
@@ -234,8 +236,8 @@ def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first; a rule's pattern is anchored on word limits."""
     out: list[Rule] = []
 
-    def add(label: str, priority: int, keyword: str, pattern: str) -> None:
-        out.append(Rule(label, priority, keyword.encode(), re.compile(rf"(?<![^ ]){pattern}(?![^ ])".encode())))
+    def add(label: str, priority: int, keyword: str, pattern: str, also: str = "") -> None:
+        out.append(Rule(label, priority, keyword, also, re.compile(rf"(?<![^ ]){pattern}(?![^ ])".encode())))
 
     for label, names, versions in FAMILIES:
         for name in names:
@@ -243,18 +245,18 @@ def rules() -> tuple[Rule, ...]:
             for v in versions:
                 tag = f"{label}-{v.replace(' clause', '-clause').replace(' ', '.').removesuffix('.0')}"
                 between = r"(?: public)?(?: software| project)?(?: licen[sc]es?(?: version)?| version)(?: v)? ?v?|(?: public)? v ?" if name in ORDINARY else r"(?: public)?(?: licen[sc]es?)?(?: version| v)? ?v?"
-                add(tag, 90, key, rf"{name}(?:{between}){v}")
-                add(tag, 95, key, rf"spdx licen[sc]e identifier {name} {v}(?: only| or later)?")
-            add(label, 80, key, rf"under (?:the )?(?:terms of )?(?:the )?{name}(?: style)? licen[sc]e")
-            add(label, 75, key, rf"spdx licen[sc]e identifier {name}")
-            add(label, 70, key, rf"(?:the )?{name} licen[sc]e[ds]?")
-            add(label, 65, key, rf"licen[sc]ed? (?:as |is )?(?:under |by )?(?:the )?{name}")
+                add(tag, 90, key, rf"{name}(?:{between}){v}", v)
+                add(tag, 95, key, rf"spdx licen[sc]e identifier {name} {v}(?: only| or later)?", "spdx")
+            add(label, 80, key, rf"under (?:the )?(?:terms of )?(?:the )?{name}(?: style)? licen[sc]e", "licen")
+            add(label, 75, key, rf"spdx licen[sc]e identifier {name}", "spdx")
+            add(label, 70, key, rf"(?:the )?{name} licen[sc]e[ds]?", "licen")
+            add(label, 65, key, rf"licen[sc]ed? (?:as |is )?(?:under |by )?(?:the )?{name}", "licen")
     for short, long in CREATIVE_COMMONS.items():
         tag = "cc-" + short.replace(" ", "-")
         for v in CC_VERSIONS:
-            add(f"{tag}-{v.replace(' ', '.')}", 92, "cc", rf"cc {short} {v}")
-            add(f"{tag}-{v.replace(' ', '.')}", 91, "creative", rf"creative commons {long} {v}")
-        add(tag, 72, "cc", rf"cc {short}")
+            add(f"{tag}-{v.replace(' ', '.')}", 92, "cc by", rf"cc {short} {v}", v)
+            add(f"{tag}-{v.replace(' ', '.')}", 91, "creative", rf"creative commons {long} {v}", v)
+        add(tag, 72, "cc by", rf"cc {short}")
         add(tag, 71, "creative", rf"creative commons {long}")
         add(tag, 73, "creativecommons", rf"creativecommons org licenses {short}")
     for label, priority, keyword, pattern in SENTENCES:
@@ -272,26 +274,31 @@ def fold(text: bytes) -> list[bytes]:
 
 
 @lru_cache(maxsize=1)
-def _gates() -> dict[bytes, list[Rule]]:
-    """The rules of each keyword."""
-    by: dict[bytes, list[Rule]] = {}
+def _gates() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
+    """An automaton that finds the literals of all rules and the base phrases, and the rules of each keyword."""
+    by: dict[str, list[Rule]] = {}
     for r in rules():
         by.setdefault(r.keyword, []).append(r)
-    return by
+    signs = ahocorasick.Automaton()
+    for k in {*by, *(r.also for r in rules() if r.also), *BASE_PHRASES}:
+        signs.add_word(k.encode().decode("latin-1"), k)
+    signs.make_automaton()
+    return signs, by
 
 
-@lru_cache(maxsize=1)
-def _signs() -> re.Pattern:
-    """One of the keywords is in every text that any rule can match; a cheap first gate."""
-    return re.compile(b"|".join(sorted({re.escape(k) for k in _gates()}, key=len)))
+def literals(folded: bytes) -> set[str]:
+    """Which literals a text holds, found in one pass."""
+    return {k for _, k in _gates()[0].iter(folded.decode("latin-1"))}
 
 
-def detect(folded: bytes) -> list[tuple[int, int, str, int]]:
+def detect(folded: bytes, held: set[str] | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that no other contains, by start."""
+    held = literals(folded) if held is None else held
     levels: dict[int, list[tuple[int, int, str]]] = {}
-    for k, of in _gates().items():
-        if k in folded:
-            for r in of:
+    by = _gates()[1]
+    for k in held & by.keys():
+        for r in by[k]:
+            if not r.also or r.also in held:
                 for m in r.pattern.finditer(folded):
                     levels.setdefault(r.priority, []).append((m.start(), -m.end(), r.label))
     kept: list[tuple[int, int, str, int]] = []
@@ -315,17 +322,18 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     words = fold(text)
     n = len(words)
     folded = b" ".join(words)
-    if not n or not (_signs().search(folded) or any(phrase in folded for phrase, _ in _BASE)):
+    held = literals(folded)
+    if not held:
         return n, 0, None, None, "", "", 0.0, []
     base: list[tuple[int, str]] = []
     for phrase, label in _BASE:
-        at = folded.find(phrase)
+        at = folded.find(phrase) if phrase.decode() in held else -1
         while at >= 0:
             end = at + len(phrase)
             if (at == 0 or folded[at - 1] == 32) and (end == len(folded) or folded[end] == 32):
                 base.append((at, label))
             at = folded.find(phrase, at + 1)
-    found = detect(folded)
+    found = detect(folded, held)
     blanks = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32) if base or found else None
     word = lambda places: np.searchsorted(blanks, places).tolist()
     places = word([a for a, _ in base]) if base else []

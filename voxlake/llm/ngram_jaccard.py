@@ -12,8 +12,8 @@ shingles (a shorter text is one shingle). Documents are linked if the Jaccard si
    linked without being compared. These links are counted for every node from the numbers of nodes of each margin,
    and joined by a star to the node of the largest margin. Only pairs with a lower sum, of which one margin is negative, are compared.
    In the same way the pairs of a larger bucket are compared only if they are of two groups, so one node is not of the bucket's
-   commonest group. Such nodes, and those of negative margin, are dealt by hash into parts of about ``BLOCK``, their partners as well,
-   and every two parts are one task, so no pair is left out, no task holds a group and no pairs become rows.
+   commonest group. Such nodes, and those of negative margin, are dealt by hash into parts of about ``BLOCK`` nodes and ``BLOCK_BYTES`` of
+   shingles, their partners as well, and every two parts are one task, so no pair is left out, no task holds a group and no pairs become rows.
 4. Pruning. The MinHash values of a pair are compared ``STEP`` at a time; with m of n equal and a uniform prior the posterior
    probability of similarity >= t is P(Binomial(n + 1, t) <= m). Below ``TOLERANCE`` the pair is dropped.
 5. Verification. The rest are verified exactly on their shingle sets.
@@ -35,6 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textvec as tv
@@ -45,7 +46,7 @@ _OF, _SUM = 9, 4  # linked: 9 |x & y| >= 4 (|x| + |y|), which is similarity >= 4
 HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP, TOLERANCE = 16, 1e-5
-SMALL, BLOCK = 32, 400
+SMALL, BLOCK, BLOCK_BYTES = 32, 1024, 32 << 20
 WITNESSES = 15  # members that a group's centre is made of
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -193,7 +194,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b").select("a", "b", "x", "y")
+    s = sets.select("node", "s")
+    both = pairs.join(s.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(s.withColumnsRenamed({"node": "b", "s": "y"}), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -223,21 +225,23 @@ def block_links(sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, group
     In a group (band -1): of pairs whose margins add up to less than 0. In a bucket: of pairs of two groups that agree on no earlier band.
     """
     bands = np.ascontiguousarray(sig).view(np.uint64)
-    if part.min() == part.max():
-        i, j = np.triu_indices(len(sig), 1)
-    else:
-        i, j = (x.ravel() for x in np.meshgrid(*(np.flatnonzero(part == p) for p in (part.min(), part.max())), indexing="ij"))
-        i, j = np.minimum(i, j), np.maximum(i, j)
-    open_ = margin[i] + margin[j] < 0 if band < 0 else group[i] != group[j]
-    i, j = i[open_], j[open_]
-    for b in range(band):
-        new = bands[i, b] != bands[j, b]
-        i, j = i[new], j[new]
-    left = [i[:0]]
-    for start in range(0, len(i), 1 << 16):
-        left.append(start + _agreeing(sig[i[start : start + (1 << 16)]], sig[j[start : start + (1 << 16)]]))
-    left = np.concatenate(left)
-    i, j = i[left], j[left]
+    first = np.flatnonzero(part == part.min())
+    second = np.flatnonzero(part == part.max())
+    ones, others = [first[:0]], [first[:0]]
+    step = max(1, (1 << 17) // max(len(second), 1))
+    for start in range(0, len(first), step):
+        i, j = (x.ravel() for x in np.meshgrid(first[start : start + step], second, indexing="ij"))
+        open_ = margin[i] + margin[j] < 0 if band < 0 else group[i] != group[j]
+        if part.min() == part.max():
+            open_ &= i < j
+        i, j = i[open_], j[open_]
+        for b in range(band):
+            new = bands[i, b] != bands[j, b]
+            i, j = i[new], j[new]
+        left = _agreeing(sig[i], sig[j])
+        ones.append(np.minimum(i, j)[left])
+        others.append(np.maximum(i, j)[left])
+    i, j = np.concatenate(ones), np.concatenate(others)
     size = np.array(list(map(len, sets)))
     fits = _may_link(size[i], size[j])
     i, j = i[fits], j[fits]
@@ -270,7 +274,7 @@ def centre(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _groups(large: DataFrame, sets: DataFrame, store: Store) -> DataFrame:
-    """(node, gid, margin, sure, top, high, low) of every node of a large bucket (large: key, node, n).
+    """(node, gid, margin, size, sure, top, high, low) of every node of a large bucket (large: key, node, n).
 
     sure: how many nodes of its group it is linked to by the margins; top: the node of the group's largest margin; high, low: its largest and least.
     """
@@ -295,9 +299,9 @@ def _groups(large: DataFrame, sets: DataFrame, store: Store) -> DataFrame:
         for batch in batches:
             rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             found = [18 * shared(x := np.frombuffer(s, np.uint64), y := np.frombuffer(c, np.uint64)) - 8 * len(x) - 9 * len(y) for s, c in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["node", "gid", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64()), pc.binary_length(batch.column(2)).cast(pa.int64())], names=["node", "gid", "margin", "size"])
 
-    placed = store.keep(own.join(sets, "node").join(units, ["gid", "place"]).select("node", "gid", "s", "c").mapInArrow(measure, "node long, gid long, margin long"))
+    placed = store.keep(own.join(sets, "node").join(units, ["gid", "place"]).select("node", "gid", "s", "c").mapInArrow(measure, "node long, gid long, margin long, size long"))
     tops = placed.groupBy("gid").agg(F.max(F.struct("margin", "node")).alias("top"), F.min("margin").alias("low")).select("gid", F.col("top.node").alias("top"), F.col("top.margin").alias("high"), "low")
 
     def sure(t: pa.Table) -> pa.Table:
@@ -312,25 +316,27 @@ def _groups(large: DataFrame, sets: DataFrame, store: Store) -> DataFrame:
     return store.keep(placed.join(sized(store.keep(known)), ["gid", "margin"]))
 
 
-def _tasks(large: DataFrame, groups: DataFrame) -> DataFrame:
-    """(unit, band, lo, hi, part, node, gid, margin): the rows of all tasks; band -1 is a group, else a large bucket."""
+def _tasks(large: DataFrame, groups: DataFrame, store: Store) -> DataFrame:
+    """(unit, band, part, others, node, gid, margin): the nodes to be compared and the parts that each meets; band -1 is a group, else a large bucket."""
     far = F.col("margin") < 0
-    open_ = groups.where(far | (F.col("margin") + F.col("low") < 0)).select(F.col("gid").alias("unit"), F.lit(-1).alias("band"), "node", "gid", "margin", far.alias("active"))
-    members = large.select("key", "band", "node").join(groups.select("node", "gid", "margin"), "node")
+    open_ = groups.where(far | (F.col("margin") + F.col("low") < 0)).select(F.col("gid").alias("unit"), F.lit(-1).alias("band"), "node", "gid", "margin", "size", far.alias("active"))
+    members = store.keep(large.select("key", "band", "node").join(groups.select("node", "gid", "margin", "size"), "node"))
     shares = members.groupBy("key", "gid").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "gid")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = members.join(shares, "key").select(F.col("key").alias("unit"), "band", "node", "gid", "margin", (F.col("gid") != F.col("most.gid")).alias("active"))
-    rows = open_.unionByName(mixed)
-    parts = rows.groupBy("unit", "band").agg(F.ceil(F.count_if("active") / BLOCK).alias("a"), F.ceil(F.count_if(~F.col("active")) / BLOCK).alias("p"))
+    mixed = members.join(sized(store.keep(shares)), "key").select(F.col("key").alias("unit"), "band", "node", "gid", "margin", "size", (F.col("gid") != F.col("most.gid")).alias("active"))
+    rows = store.keep(open_.unionByName(mixed))
+    # by number and by bytes
+    count = lambda which: F.ceil(F.greatest(F.count_if(which) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)) / BLOCK_BYTES))
+    parts = store.keep(rows.groupBy("unit", "band").agg(count(F.col("active")).alias("a"), count(~F.col("active")).alias("p")))
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(n, F.lit(1)))
-    rows = rows.join(parts, ["unit", "band"]).withColumn("part", F.when(F.col("active"), place(F.col("a"))).otherwise(F.col("a") + place(F.col("p"))))
+    rows = rows.join(sized(parts), ["unit", "band"]).withColumn("part", F.when(F.col("active"), place(F.col("a"))).otherwise(F.col("a") + place(F.col("p"))))
     others = F.when(F.col("active"), F.col("a") + F.col("p")).otherwise(F.col("a"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
-    return rows.select("unit", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "gid", "margin")
+    return rows.select("unit", "band", "part", F.sequence(F.lit(0).cast("long"), others - 1).alias("others"), "node", "gid", "margin")
 
 
-def _compared(tasks: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(tasks: DataFrame, sets: DataFrame) -> DataFrame:
     """Task by task: a spanning forest (a, b) of all links found, and their number n of every node a (b null)."""
-    full = tasks.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    full = tasks.join(sets, "node").withColumn("other", F.explode("others"))
+    full = full.select("unit", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "gid", "margin", "sig", "s")
 
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
@@ -355,17 +361,17 @@ def _links(docs: DataFrame, nodes: DataFrame, store: Store) -> tuple[DataFrame,
     large = known.where(F.col("n") > SMALL)
     left = store.keep(_pruned(_pairs_small(known.where(F.col("n") <= SMALL)), nodes))
     wanted = store.keep(left.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct())
-    sets = store.keep(_sets(docs, nodes, wanted))
+    sets = store.keep(_sets(docs, nodes, wanted).join(nodes.select("node", "sig"), "node"))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
     if large.isEmpty():
         links = store.keep(_verified(left, sets))
         return links, ends(links).groupBy("node").agg(F.sum("n").alias("n_links"))
-    groups = _groups(large, sets, store)
+    groups = _groups(large, sets.select("node", "s"), store)
     of = groups.select("node", "gid")
     # pairs of one group are counted or compared there
     left = left.join(of.withColumnsRenamed({"node": "a", "gid": "ga"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "gid": "gb"}), "b", "left")
     few = store.keep(_verified(left.where("ga is null or gb is null or ga <> gb").select("a", "b"), sets))
-    many = store.keep(_compared(_tasks(large, groups), nodes, sets))
+    many = store.keep(_compared(_tasks(large, groups, store), sets))
     stars = groups.where((F.col("margin") + F.col("high") >= 0) & (F.col("node") != F.col("top"))).select(F.col("node").alias("a"), F.col("top").alias("b"))
     degree = ends(few).unionByName(many.where("b is null").select(F.col("a").alias("node"), "n")).unionByName(groups.select("node", F.col("sure").alias("n")))
     return few.unionByName(many.where("b is not null").select("a", "b")).unionByName(stars), degree.groupBy("node").agg(F.sum("n").alias("n_links"))

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C1B)  # odd, so it has an inverse modulo 2**64
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import textvec as tv
 
 SHARD_IDS = 1 << 20
-CACHE = 1_500_000  # pieces kept by a Python worker; with their ids about 100 MB
+CACHE = 750_000  # pieces kept by a Python worker; with their ids about 50 MB
 LONGEST = 64  # bytes of a piece that is kept
 SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_doc long, last_doc long, n_null int, width int, ids binary, bounds binary, doc_ids binary"
 
@@ -108,7 +108,7 @@ class EliasFano:
 class HashTable:
     """64-bit keys to numbers, by open addressing; look-ups and inserts of whole arrays."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
