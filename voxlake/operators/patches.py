@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rng
@@ -18,7 +21,7 @@ def starts(n: Column, patch: int, overlap: int = 0) -> Column:
 
 
 def grid_locations(df: DataFrame, name: str, patch: tuple, overlap: tuple = (0, 0, 0), keys: tuple = ("subject_id",)) -> DataFrame:
-    """keys, patch_ord, i0, j0, k0 in the order i, j, k."""
+    """keys, patch_ord, i0, j0, k0 in the order i, j, k. Borders are padded before by the transform Pad, half an overlap on each side."""
     out = df.select(*keys, *(starts(F.col(name)[a], p, o).alias(a) for a, p, o in zip(AXES, patch, overlap, strict=True)))
     places = F.flatten(F.flatten(F.transform("si", lambda i: F.transform("sj", lambda j: F.transform("sk", lambda k: F.struct(i.alias("i0"), j.alias("j0"), k.alias("k0")))))))
     return out.select(*keys, F.posexplode(places).alias("patch_ord", "at")).select(*keys, "patch_ord", "at.*")
@@ -49,63 +52,109 @@ def uniform_patches(df: DataFrame, name: str, patch: tuple, count: int, *, seed:
 
 
 def weighted_patches(df: DataFrame, name: str, weight_map: str, patch: tuple, count: int, *, seed: int = 0, key: str = "subject_id") -> DataFrame:
-    """Centres drawn in proportion to a map whose borders of half a patch count 0; rows without weight raise."""
-    img, m = F.col(name), F.col(weight_map)
+    """Centres drawn in proportion to a map whose borders of half a patch count 0; rows without weight raise.
 
-    def weight(x: Column, p: Column) -> Column:
-        i, j, k = F.floor(p / (img["sj"] * img["sk"])) % img["si"], F.floor(p / img["sk"]) % img["sj"], p % img["sk"]
-        inside = [(v >= q // 2) & (v < n - q // 2) for v, q, n in zip((i, j, k), patch, (img[a] for a in AXES), strict=True)]
-        return F.when(inside[0] & inside[1] & inside[2], x.cast("double")).otherwise(0.0)
+    Running sums and searches by array operations; the draws are columns.
+    """
+    m = F.col(weight_map)
+    each = lambda n: F.concat_ws(":", F.col(key).cast("string"), F.lit(str(n)))
+    draws = F.array(*(rng.uniform(seed, "patch.w", each(n)) for n in range(count)))
+
+    def places(data: pd.Series, shape: pd.DataFrame, u: pd.Series) -> pd.Series:
+        out = []
+        for d, n, x in zip(data, shape.to_numpy(), u, strict=True):
+            size = n[1:]
+            weight = np.asarray(d, dtype=float)[: int(np.prod(size))].reshape(size)
+            inside = np.zeros(size)
+            box = tuple(slice(q // 2, k - q // 2) for q, k in zip(patch, size, strict=True))
+            inside[box] = weight[box]
+            sums = np.cumsum(inside.ravel())
+            if not sums[-1] > 0:
+                raise ValueError("the map has no weight")
+            at = np.searchsorted(sums, np.asarray(x) * sums[-1], side="right")
+            centre = np.column_stack(np.unravel_index(np.minimum(at, len(sums) - 1), size))
+            out.append(np.clip(centre - np.array(patch) // 2, 0, np.maximum(size - np.array(patch), 0)).astype(np.int32).tolist())
+        return pd.Series(out)
+
+    shape = F.struct(*(m[a].alias(a) for a in ("c", *AXES)))
+    found = F.posexplode(F.pandas_udf(places, "array<array<int>>")(m["data"], shape, draws)).alias("patch_ord", "at")
+    return df.select(key, found).select(key, "patch_ord", *(F.get("at", F.lit(d)).alias(o) for d, o in enumerate(("i0", "j0", "k0"))))
+
+
+def scaled(index: list[Column], size: list[Column], factor: tuple[float, float, float]) -> tuple[list[Column], list[Column]]:
+    """A patch's place and size on a grid that is finer or coarser by a factor; halves are rounded to even."""
+    return tuple([F.bround(c * f).cast("int") for c, f in zip(part, factor, strict=True)] for part in (index, size))
+
+
+def hann_window(patch: tuple) -> np.ndarray:
+    one = [0.5 * (1 - np.cos(2 * math.pi * (np.arange(n) + 1) / (n + 1))) for n in patch]
+    return one[0][:, None, None] * one[1][None, :, None] * one[2][None, None, :]
+
+
+def put_together(patches: list[np.ndarray], places: np.ndarray, shape: tuple, patch: tuple, mode: str, overlap: tuple = (0, 0, 0)) -> np.ndarray:
+    """A volume (C, I, J, K) from patches in their order; NaN where there is none."""
+    channels = patches[0].shape[0]
+    out, weight = np.zeros((channels, *shape)), np.zeros(shape)
+    window = hann_window(patch) if mode == "hann" else np.ones(patch)
+    for x, at in zip(patches, places, strict=True):
+        lo = [o // 2 if mode == "crop" and a > 0 else 0 for o, a in zip(overlap, at, strict=True)]
+        hi = [p - o // 2 if mode == "crop" and a + p < n else p for p, o, a, n in zip(patch, overlap, at, shape, strict=True)]
+        inner = tuple(slice(a, b) for a, b in zip(lo, hi, strict=True))
+        box = tuple(slice(a + p, a + q) for a, p, q in zip(at, lo, hi, strict=True))
+        if mode == "crop":
+            out[(slice(None), *box)], weight[box] = x[(slice(None), *inner)], 1
+        else:
+            out[(slice(None), *box)] += x * window
+            weight[box] += window
+    if mode == "hann":
+        return np.where(weight > 0, out / np.maximum(weight, 1.0), np.nan)
+    return np.where(weight > 0, out / np.where(weight > 0, weight, 1), np.nan)
 
-    one = F.slice(m["data"], F.lit(1), (img["si"] * img["sj"] * img["sk"]).cast("int"))
-    sums = F.aggregate(F.transform(one, weight), F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    rows = df.select(key, img.alias("_i"), sums.alias("_s"))
-    checked = F.when(F.element_at("_s", -1) > 0, F.element_at("_s", -1)).otherwise(F.raise_error(F.lit("the map has no weight")).cast("double"))
-    rows = rows.select(key, "_i", "_s", checked.alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("patch_ord"))
-    u = rng.uniform(seed, "patch.w", F.concat_ws(":", F.col(key).cast("string"), F.col("patch_ord").cast("string"))) * F.col("_t")
-    p = F.aggregate(F.slice("_s", F.lit(2), F.size("_s") - 1), F.lit(0), lambda n, s: n + (s <= u).cast("int"))
-    rows = rows.select(key, "patch_ord", "_i", p.alias("p"))
-    sj, sk = F.col("_i.sj"), F.col("_i.sk")
-    center = (F.floor(F.col("p") / (sj * sk)), F.floor(F.col("p") / sk) % sj, F.col("p") % sk)
-    first = lambda v, q, a: F.greatest(F.lit(0), F.least(v - q // 2, F.col("_i")[a] - q)).cast("int")
-    return rows.select(key, "patch_ord", *(first(v, q, a).alias(o) for v, q, a, o in zip(center, patch, AXES, ("i0", "j0", "k0"), strict=True)))
 
+MODES = ("average", "hann", "crop")
 
-def patch_voxels(patches: DataFrame, shape: tuple, patch: tuple, keys: tuple = ("subject_id",)) -> DataFrame:
-    """keys, patch_ord, p (position in the image), i0.., a, b, c (position in the patch), v; one channel."""
-    rows = patches.select(*keys, "patch_ord", "i0", "j0", "k0", F.posexplode("data").alias("q", "v"))
-    pj, pk = patch[1], patch[2]
-    rows = rows.withColumns({"a": F.floor(F.col("q") / (pj * pk)), "b": F.floor(F.col("q") / pk) % pj, "c": F.col("q") % pk})
-    return rows.withColumn("p", ((F.col("i0") + F.col("a")) * shape[1] + F.col("j0") + F.col("b")) * shape[2] + F.col("k0") + F.col("c"))
 
+def assemble(patches: DataFrame, shape: tuple, patch: tuple, mode: str = "average", overlap: tuple = (0, 0, 0), keys: tuple = ("subject_id",), data: tuple = ("data",)) -> DataFrame:
+    """keys and, for every column of data (an output of a model, say), the volume that its patches make up, as an array.
 
-def hann(t: Column, n: int) -> Column:
-    return F.lit(0.5) * (1 - F.cos(F.lit(2 * math.pi) * (t + 1) / (n + 1)))
+    Patches are dealt by volume, whole arrays at a time; a task holds the patches of one volume. Null where no patch lies.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    rows = patches.select(*keys, "patch_ord", "i0", "j0", "k0", *data)
+    kept = pa.schema([(f"v{n}", pa.list_(pa.float64())) for n in range(len(data))])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("patch_ord")
+        at = np.column_stack([t.column(c).to_numpy() for c in ("i0", "j0", "k0")])
+        volumes = []
+        for name in data:
+            parts = [np.asarray(x.values).astype(float).reshape(-1, *patch) for x in t.column(name)]
+            flat = put_together(parts, at, shape, patch, mode, overlap).ravel()
+            values = pa.array(flat, mask=np.isnan(flat))
+            volumes.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), values))
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), *volumes], names=[*keys, *kept.names])
+
+    kinds = dict(patches.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"v{n} array<double>" for n in range(len(data)))])
+    return rows.groupBy(*keys).applyInArrow(run, schema).withColumnsRenamed({f"v{n}": name for n, name in enumerate(data)})
 
 
 def aggregate_patches(patches: DataFrame, shape: tuple, patch: tuple, mode: str = "average", overlap: tuple = (0, 0, 0), keys: tuple = ("subject_id",)) -> DataFrame:
-    """keys, p, v: overlapping patches put together; one partial aggregation on (keys, p)."""
-    rows = patch_voxels(patches, shape, patch, keys)
-    if mode == "average":
-        return rows.groupBy(*keys, "p").agg(F.avg("v").alias("v"))
-    if mode == "hann":
-        w = hann(F.col("a"), patch[0]) * hann(F.col("b"), patch[1]) * hann(F.col("c"), patch[2])
-        return rows.withColumn("w", w).groupBy(*keys, "p").agg((F.sum(F.col("w") * F.col("v")) / F.greatest(F.sum("w"), F.lit(1.0))).alias("v"))
-    if mode == "crop":
-        ok = F.lit(True)
-        for start, at, n, p, o in zip(("i0", "j0", "k0"), ("a", "b", "c"), shape, patch, overlap, strict=True):
-            h = o // 2
-            ok = ok & ((F.col(start) == 0) | (F.col(at) >= h)) & ((F.col(start) + p >= n) | (F.col(at) < p - h))
-        return rows.where(ok).groupBy(*keys, "p").agg(F.max_by("v", "patch_ord").alias("v"))
-    raise ValueError(f"unknown mode {mode!r}")
-
-
-def queue(patches: DataFrame, *, per_subject: int, buffer_subjects: int, seed: int = 0, key: str = "subject_id") -> DataFrame:
+    """keys, p, v: overlapping patches of one channel put together, voxel by voxel."""
+    whole = assemble(patches, shape, patch, mode, overlap, keys)
+    return whole.select(*keys, F.posexplode("data").alias("p", "v")).where("v is not null")
+
+
+def queue(patches: DataFrame, *, per_subject: int, buffer_subjects: int | None = None, max_length: int = 300, seed: int = 0, key: str = "subject_id") -> DataFrame:
     """Order of a bounded shuffle buffer: subjects fill it in order, a full buffer is shuffled and drained.
 
+    A buffer is full with max_length patches or more, so it holds ceil(max_length / per_subject) subjects (or buffer_subjects).
+
     key, patch_ord, buffer, place: the first per_subject patches of each row, buffers of so many subjects, hash order inside.
     Buffers are numbered from the subject's rank, found in two levels (blocks of ids, then inside), not by one global sort.
     """
+    buffer_subjects = buffer_subjects or max(math.ceil(max_length / per_subject), 1)
     few = patches.where(F.col("patch_ord") < per_subject)
     ids = few.select(key).distinct().withColumn("_b", F.floor(F.col(key) / 1024))
     before = ids.groupBy("_b").agg(F.count("*").alias("_n"))

@@ -15,6 +15,7 @@ import numpy as np
 
 from ..functions.affine import LETTERS, axis_mapping
 from ..functions.rng import Draws
+from ..functions.slicing import index_affine, normalize_index, parse_index
 from . import kernels as kn
 from .intensity import QUANTILES
 from .spatial import multiple_shape, six, split_difference
@@ -539,6 +540,21 @@ def cast(s: Subject, p: dict) -> None:
         v.data = v.data.astype(p["dtype"])
 
 
+def take(s: Subject, p: dict) -> None:
+    """Slices images; with ``spatial`` the index has no channels and all images must have one shape."""
+    index = parse_index(p["index"]) if isinstance(p["index"], str) else p["index"]
+    if p["spatial"]:
+        if len({v.shape for _, v in s.each()}) > 1:
+            raise RuntimeError("images of several shapes cannot be sliced as one subject")
+        index = (slice(None), *normalize_index(index, 3))
+    index = normalize_index(index)
+    for _, v in s.each():
+        v.affine = index_affine(v.affine, index[1:], v.shape)
+        v.data = v.data[index]
+        if not v.data.size:
+            raise ValueError("nothing is left of the image")
+
+
 def apply_function(s: Subject, p: dict) -> None:
     f: Callable = p["function"]
     for n, v in s.each():

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import affine as A, rng
 from ..functions.image import image, let, replace
 from ..operators import annotations as an, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp, statistics as st
+from ..sources import backends as be
 from ..sources.generators import zone_plate
 from ..sources.tables import multichannel, subjects, table
 from ..streaming.queue import event_windows
@@ -756,6 +757,97 @@ def udf_array_adapter(spark, sf_dir):
     return dump(subjects(spark, sf_dir), kn.kernel(lambda v: foreign(v), F.col("t1")))
 
 
+# --- files ---
+def _saved(spark, sf_dir, suffix: str = ".nii") -> str:
+    """The subjects' first images as files of a new shared folder."""
+    folder = be.scratch(spark, "volumes")
+    be.save_files(subjects(spark, sf_dir), "t1", "subject_id", folder, suffix).count()
+    return folder
+
+
+def _by_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("subject_id", F.regexp_extract("path", r"(\d+)\.[^/]*$", 1).cast("bigint"))
+
+
+def _file_query(name: str, suffix: str, region: str | None, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: dump(_by_file(be.scan(spark, _saved(spark, sf_dir, suffix), region=region)), F.col("image"))
+    ORACLES[name] = sql
+
+
+_REGION = gather_sql(8, "(g // 4 + 1) * 16 + (g // 2) % 2 * 4 + g % 2 + 2")
+_file_query("source_nifti_scan", ".nii", None, voxel_sql("v"))
+_file_query("source_nifti_gz_region", ".nii.gz", ":, 1:3, 0:2, 2:", _REGION)
+_file_query("source_nifti_region", ".nii", ":, 1:3, :2, 2:4", _REGION)
+_file_query("source_nifti_steps", ".nii", "0, ::2, -1", gather_sql(8, "g // 4 * 32 + 12 + g % 4"))
+_file_query("source_nrrd_scan", ".nrrd", None, voxel_sql("v"))
+
+
+@query(ORACLES["scan_header"])
+def source_nifti_headers(spark, sf_dir):
+    h = _by_file(be.scan(spark, _saved(spark, sf_dir), header=True))
+    return h.select(F.col("subject_id").alias("vec_id"), *(F.col(n).cast("bigint").alias(n) for n in ("c", "si", "sj", "sk")), A.origin(F.col("affine"))[0].alias("ox"), A.spacing(F.col("affine"))[2].alias("dz"))
+
+
+@query(f"{WITH} SELECT vec_id, p, {rsql('v')} AS v, {rsql('v * 2')} AS w FROM x WHERE vec_id % 2 = 0")
+def source_modalities(spark, sf_dir):
+    """Folders t1 and t2 of files; subjects that both hold."""
+    folder, s = be.scratch(spark, "modalities"), subjects(spark, sf_dir)
+    for name, rows in (("t1", s), ("t2", s.where("subject_id % 2 = 0").withColumn("t1", replace(F.col("t1"), data=F.transform("t1.data", lambda x: x * 2))))):
+        be.save_files(rows.withColumn("file", F.concat("subject_id", F.lit(f"-{name}"))), "t1", "file", f"{folder}/{name}").count()
+    both = be.scan_modalities(spark, folder, ["t1", "t2"])
+    rows = both.select(F.col("subject_id").cast("bigint").alias("vec_id"), F.posexplode(F.arrays_zip(F.col("t1.data").alias("v"), F.col("t2.data").alias("w"))).alias("p", "e"))
+    return rows.select("vec_id", F.col("p").cast("bigint").alias("p"), real(F.col("e.v")).alias("v"), real(F.col("e.w")).alias("w"))
+
+
+@query(gather_sql(18, "(g // 6 + 1) * 16 + (g // 2 % 3) * 4 + g % 2 + 1"))
+def source_bricks_region(spark, sf_dir):
+    """Volumes cut into bricks of 2 x 3 x 4 in Parquet; a region is read from the bricks that it meets."""
+    path = be.scratch(spark, "bricks")
+    be.bricks(subjects(spark, sf_dir), "t1", "subject_id", (2, 3, 4)).write.parquet(path)
+    rows = be.read_region(spark.read.parquet(path), (2, 3, 4), "1:4, 0:3, 1:3")
+    return dump(rows.withColumnRenamed("key", "subject_id"), F.col("image"))
+
+
+piped("slice_index", lambda: Compose([Transform("Slice", {"index": "0, 1:3, ..., -1"}, include=["t1"])]), gather_sql(8, "(g // 4 + 1) * 16 + g % 4 * 4 + 3"))
+piped("slice_subject", lambda: Compose([Transform("Slice", {"index": "1:3, ::2", "spatial": True})]), f"{WITH} SELECT vec_id, (i - 1) * 8 + j // 2 * 4 + k AS p, CAST({SEG} AS BIGINT) AS v FROM x WHERE i IN (1, 2) AND j % 2 = 0", whole=True, column="seg")
+
+
+@query("SELECT vec_id, CAST(label AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(1 + label % 3 AS DOUBLE) AS z, CAST(2 AS DOUBLE) AS dy FROM embeddings")
+def slice_steps_affine(spark, sf_dir):
+    out = Compose([Transform("Slice", {"index": ":, :, ::2, 1:"}, include=["t1"])])(subjects(spark, sf_dir)).select("subject_id", F.col("t1.affine").alias("a"))
+    return out.select(F.col("subject_id").alias("vec_id"), *(c.alias(n) for c, n in zip(A.origin(F.col("a")), "xyz", strict=True)), A.spacing(F.col("a"))[1].alias("dy"))
+
+
+# --- annotations between voxel and anatomical axes: the affine is diag(1, 1, dz) with its origin at (label, 0, 0) ---
+@query(f"SELECT vec_id, {rsql('-(3.0 + label)')} AS x, {rsql('2.0 * (1 + label % 3)')} AS y, {rsql('1.0')} AS z FROM embeddings")
+def points_voxel_to_anatomical(spark, sf_dir):
+    # k, i, j of 2, 3, 1
+    p = an.to_axes([F.lit(2.0), F.lit(3.0), F.lit(1.0)], "KIJ", "LSA", affine=F.col("t1.affine"))
+    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(real(c).alias(n) for c, n in zip(p, "xyz", strict=True)))
+
+
+@query(f"SELECT vec_id, {rsql('5.0')} AS x, {rsql('-4.0 - label')} AS y, {rsql('6.0 / (1 + label % 3)')} AS z FROM embeddings")
+def points_anatomical_to_voxel(spark, sf_dir):
+    p = an.to_axes([F.lit(4.0), F.lit(-5.0), F.lit(6.0)], "LPS", "JIK", affine=F.col("t1.affine"))
+    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(real(c).alias(n) for c, n in zip(p, "xyz", strict=True)))
+
+
+@query(f"SELECT vec_id, {rsql('-1.5 - label')} AS x, {rsql('1.0')} AS y, {rsql('1.5 * (1 + label % 3)')} AS z, {rsql('3.0')} AS a, {rsql('2.0')} AS b, {rsql('1.0 + label % 3')} AS c FROM embeddings")
+def boxes_cross_type(spark, sf_dir):
+    box = [F.lit(float(v)) for v in (0, 0, 1, 3, 2, 2)]
+    there = an.to_format(box, ("IJK", "corners"), ("LAS", "center_size"), F.col("t1.affine"))
+    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), *(real(c).alias(n) for c, n in zip(there, "xyzabc", strict=True)))
+
+
+@query(f"SELECT vec_id, i * 16 + j * 4 + k AS p, {rsql('avg(v + o)')} AS v, {rsql('avg(2 * v)')} AS w FROM ({_PV}) GROUP BY ALL")
+def patch_agg_two_outputs(spark, sf_dir):
+    """Two outputs of each patch put together at once."""
+    two = _scaled(spark, sf_dir).withColumn("other", F.transform("data", lambda x: (x - F.col("patch_ord")) * 2))
+    whole = pt.assemble(two, (4, 4, 4), (2, 2, 2), data=("data", "other"))
+    rows = whole.select(F.col("subject_id").alias("vec_id"), F.posexplode(F.arrays_zip(F.col("data").alias("v"), F.col("other").alias("w"))).alias("p", "e"))
+    return rows.select("vec_id", F.col("p").cast("bigint").alias("p"), real(F.col("e.v")).alias("v"), real(F.col("e.w")).alias("w"))
+
+
 # rings about the centre voxel 10; the radius counts as -10 both in the phase and in the falling factor
 _RING = "sqrt(pow(i - 10, 2) + pow(j - 10, 2) + pow(k - 10, 2))"
 _TANH = "((exp(2 * t) - 1) / (exp(2 * t) + 1))"

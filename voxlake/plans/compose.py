@@ -122,6 +122,7 @@ REGISTRY: dict[str, Rule] = {
     "Affine": replace(_spatial(), identity=lambda p: p["scales"] == 1 and _zero("degrees", "translation")(p)),
     "ElasticDeformation": _spatial(max_displacement=7.5),
     "Spatial": _spatial(),
+    "Slice": Rule(None, {"index": ":", "spatial": False}, vo.take),
     "To": Rule(None, {"dtype": "float64"}, vo.cast),
     "Lambda": Rule(None, {"function": None, "types_to_apply": None}, vo.apply_function, check=lambda p: _require(callable(p["function"]), "a function is needed")),
 }

@@ -103,7 +103,8 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFr
         return pd.DataFrame([[*h["shape"], h["dtype"].newbyteorder("=").name, h["affine"].ravel()] for h in rows], columns=["c", "si", "sj", "sk", "dtype", "affine"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", parse("content").alias("h")).select("path", "h.*")
+    # only the first bytes go to Python; ``backends.scan`` with header reads no more than these at all
+    return files.select("path", parse(F.expr("substring(content, 1, 4096)")).alias("h")).select("path", "h.*")
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.nii*") -> DataFrame:
