@@ -584,6 +584,68 @@ def test_op3_against_brute_force(spark, docs, empty):
     assert dc.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def plain_segments(same: list[bool]) -> list[tuple[int, int]]:
+    """Runs from a match on, with match +1 and substitution -2, up to their best sum; a run ends below 0 or 12 under its best."""
+    out, k = [], 0
+    while k < len(same):
+        if not same[k]:
+            k += 1
+            continue
+        score = best = 0
+        end = t = k
+        while t < len(same) and score >= 0 and score >= best - 12:
+            score += 1 if same[t] else -2
+            if same[t] and score >= best:
+                best, end = score, t + 1
+            t += 1
+        out.append((k, end))
+        k = t
+    return out
+
+
+def brute_contamination(docs: dict, items: dict) -> set:
+    """All diagonals of all documents with all items."""
+    found = set()
+    for d, text_ in docs.items():
+        a = folded(text_)
+        for i, item in items.items():
+            b = folded(item)
+            covered = set()
+            for off in range(-len(b) + 5, len(a) - 4):
+                q0, q1 = max(0, -off), min(len(b), len(a) - off)
+                same = [a[q + off] == b[q] for q in range(q0, q1)]
+                for s, e in plain_segments(same):
+                    n = sum(same[s:e])
+                    if n >= 5 and n >= 0.75 * (e - s):
+                        covered |= {q0 + k for k in range(s, e) if same[k]}
+            need = 12 if len(b) >= 12 else max(5, math.ceil(0.75 * len(b)))
+            if len(b) >= 5 and len(covered) >= need:
+                found.add((d, i))
+    return found
+
+
+def test_op3_against_all_diagonals(spark):
+    r = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = {k: " ".join(r.choices(vocabulary, k=r.choice([5, 6, 8, 11, 12, 13, 25, 40]))) for k in range(16)}
+    docs = {}
+    for d in range(160):
+        body = r.choices(vocabulary, k=r.randint(0, 60))
+        if d % 2:
+            piece = folded(items[r.randrange(16)])
+            piece = piece[r.randint(0, 3) :]
+            for _ in range(r.randint(0, 3)):
+                piece[r.randrange(len(piece))] = "changed"
+            at = r.randint(0, len(body))
+            body[at:at] = piece
+        docs[d] = " ".join(body)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in dc.decontaminate(df, bench).collect()}
+    want = brute_contamination(docs, items)
+    assert got == want and len(want) >= 20
+
+
 def test_op3_benchmark_in_blocks(spark, monkeypatch):
     items = [text(5000 + i, 30) for i in range(12)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -658,6 +720,120 @@ def test_op9_held_out_accuracy(spark, empty):
     assert {r["score"] for r in qc.quality_classifier(docs, none).collect()} == {0.5} and qc.quality_classifier(empty, none).count() == 0
 
 
+def test_op9_training_against_a_plain_loop():
+    r = np.random.default_rng(4)
+    rows_ = [(np.sort(r.choice(1 << 6, 5, replace=False)).astype("<i4"), r.random(5)) for _ in range(40)]
+    y = (r.random(40) < 0.5).astype(float)
+    y[:2] = 0, 1
+    alpha, beta, l1, l2 = 0.8, 1.0, 0.02, 0.2
+    z, n, zb, nb = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(4):
+        for k in order.permutation(40):
+            w = {i: weight(i) for i in rows_[k][0].tolist()}
+            wb = -zb / ((beta + math.sqrt(nb)) / alpha)
+            margin = sum(w[i] * v for i, v in zip(rows_[k][0].tolist(), rows_[k][1], strict=True)) + wb
+            g0 = 1 / (1 + math.exp(-margin)) - y[k]
+            for i, v in zip(rows_[k][0].tolist(), rows_[k][1], strict=True):
+                g = g0 * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            zb += g0 - (math.sqrt(nb + g0 * g0) - math.sqrt(nb)) / alpha * wb
+            nb += g0 * g0
+    model = qc.train_ftrl(rows_, y, bits=6)
+    assert np.allclose(model.weights, [weight(i) for i in range(64)])
+    # scores of a document: a dot product of its features
+    for c in tv.chunks(pa.array(["one two two", "", "x"])):
+        big = qc.Model(np.random.default_rng(1).normal(size=1 << qc.BITS), 0.3)
+        d, k, v = qc.features(c)
+        for doc, got in enumerate(big.score(c)):
+            pairs = [(a, b) for a, b, e in zip(k.tolist(), v.tolist(), d.tolist(), strict=True) if e == doc]
+            assert math.isclose(got, 1 / (1 + math.exp(-(0.3 + sum(big.weights[a] * b for a, b in pairs)))))
+            assert not pairs or math.isclose(sum(b * b for _, b in pairs), 1)
+
+
+def form(s: str) -> str:
+    if re.fullmatch(r"[0-9]+(\.[a-z]{2,5})?", s):
+        return re.sub("^[0-9]+", "<num>", s)
+    if re.fullmatch(r"[0-9a-f-]{8,}", s) and re.search("[0-9]", s):
+        return "<hex>"
+    return "<mix>" if re.search("[0-9]", s) else s
+
+
+def brute_tree(pages: list[tuple]) -> dict:
+    """(host, path) -> (template, purity) from (host, path, label), level by level over dictionaries."""
+    nodes = defaultdict(lambda: [0, 0, 0])
+    shape = {}
+    for host, path, label in pages:
+        key = (host, tuple(form(s) for s in path.split("/") if s))
+        shape[host, path] = key
+        nodes[key][0] += 1
+        nodes[key][1] += label is not None
+        nodes[key][2] += label or 0
+    template = dict.fromkeys(nodes, "")
+    for level in range(max(len(k[1]) for k in nodes) + 1):
+        groups = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        seg = {k: k[1][level] if level < len(k[1]) else "" for k in nodes}
+        for k, v in nodes.items():
+            g = groups[k[0], template[k]][seg[k]]
+            for j in range(3):
+                g[j] += v[j]
+        after = {}
+        for k in nodes:
+            branches = groups[k[0], template[k]]
+            n, lab, bad = branches[seg[k]]
+            pl, pb = (sum(b[j] for b in branches.values()) for j in (1, 2))
+            children = sum(s != "" for s in branches)
+            p1, p2 = (bad + 1) / (lab + 2), (pb - bad + 1) / (pl - lab + 2)
+            spread = math.sqrt(p1 * (1 - p1) / (lab + 2) + p2 * (1 - p2) / (pl - lab + 2))
+            differs = lab > 0 and pl - lab > 0 and abs(p1 - p2) > uf.Z * spread
+            if seg[k] == "":
+                after[k] = template[k]
+            elif children > uf.FANOUT and n <= uf.FEW:
+                after[k] = template[k] + "/<any>"
+            else:
+                after[k] = template[k] + "/" + (seg[k] if differs or children <= 1 or seg[k].startswith("<") else "<any>")
+        template = after
+    share = lambda up, bad, lab: (bad + uf.WEIGHT * up) / (lab + uf.WEIGHT)
+    sums = defaultdict(lambda: [0, 0])
+    for (host, s), v in nodes.items():
+        domain = ".".join(host.split(".")[-2:])
+        for key in (("all",), ("domain", domain), ("host", host), ("template", host, template[host, s])):
+            sums[key][0] += v[1]
+            sums[key][1] += v[2]
+    top = sums["all",][1] / sums["all",][0] if sums["all",][0] else 0.0
+    purity = {}
+    for host, path, _ in pages:
+        d, h, t = sums["domain", ".".join(host.split(".")[-2:])], sums["host", host], sums["template", host, template[shape[host, path]]]
+        purity[host, path] = (template[shape[host, path]], share(share(share(top, d[1], d[0]), h[1], h[0]), t[1], t[0]))
+    return purity
+
+
+def test_op1_tree_against_dictionaries(spark):
+    r = random.Random(8)
+    words = ["a", "b", "news", "shop", "item", "x1y", "12", "abc123ef9", "deep"]
+    pages = []
+    for _ in range(600):
+        host = r.choice(["one.com", "two.one.com", "other.net"])
+        path = "/" + "/".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 3, 5, 9])))
+        if r.random() < 0.2:
+            path = f"/list/p{'abcdefghijklmnopqrstuvwxyz'[r.randrange(26)]}/{r.choice(words)}"
+        label = 1 if "shop" in path else 0 if "news" in path else None
+        pages.append((host, path, label))
+    pages.append(("long.org", "/" + "/".join(words * 20), 1))
+    df = spark.createDataFrame([(h, p, x) for h, p, x in pages], "host string, path string, label int").select("host", uf.segments(F.col("path")).alias("shape"), "label", "path")
+    tree = uf.template_tree(df.select("host", "shape", "label"))
+    got = {(x["host"], x["path"]): (x["template"], x["purity"]) for x in df.join(tree, ["host", "shape"]).collect()}
+    want = brute_tree(pages)
+    assert got.keys() == want.keys()
+    for k, (t, purity) in want.items():
+        assert got[k][0] == t and math.isclose(got[k][1], purity), k
+
+
 URLS = ["http://Blog.Example.org/es/12", "https://example.org/en/17.html?x=1", "http://example.org/en/2", "http://a.com/fr/3#t", "http://a.com/de/4", "http://a.com/en/5", "ftp://xexample.org/es/", "no scheme", None, "", "http://org/", "http://org", "http://x.net/a/b/c/d/e/f?g", "http://é.net/Ü", "a://b://c/d"]
 
 
@@ -705,3 +881,51 @@ def test_pipeline_stages(spark, tmp_path):
     final = cp.STAGES[-1][1](spark, docs, top)
     assert final.count() == docs.count()
     assert cp.run(spark, top).count() == docs.count()
+
+
+CLASHING = ["h1", "h2", "row", "i", "copies", "rep", "node", "root", "key", "size", "bucket", "part", "_t", "_k", "_rep", "_node", "_d", "_s", "_u", "_copies", "_share", "seg", "template", "d", "s", "worded", "id"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, empty texts, repeated rows, a long text of one word run and one of many, and columns with all sorts of names."""
+    more = [(40, "x" * 300_000, "en", "s0", None), (41, "under the mit license token=abcdefghijkl " * 5_000, "en", None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows() + more, DOCS)
+    return df.withColumns({c: F.lit("own") for c in CLASHING})
+
+
+def test_operators_on_awkward_rows(spark, awkward):
+    n = awkward.count()
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(20)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, text(3, 33)), (1, None), (None, "")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    results = {
+        "op2": nj.near_duplicates(awkward), "op4": mixing.mix_sources(awkward), "op5": tx.toxicity(awkward, tx.fit(awkward, labels)), "op6": ss.secret_scan(awkward, ss.fit(awkward)),
+        "op7": licenses.license_scan(awkward), "op8": qr.quality_rules(awkward, qr.fit(awkward, labels)), "op9": qc.quality_classifier(awkward, qc.fit(awkward, labels)),
+    }
+    for name, out in results.items():
+        got = out.collect()
+        assert len(got) == n, name
+        assert sum(x["doc_id"] is None for x in got) == 3, name
+    assert {x["n_base"] for x in results["op7"].where("doc_id = 41").collect()} == {5000} and {x["n_assign"] for x in results["op6"].where("doc_id = 41").collect()} == {5000}
+    assert dc.decontaminate(awkward, bench).where("doc_id = 3").count() >= 1
+    again = results["op6"].where("doc_id = 3 or doc_id = 20").select("spans", "n_hex").distinct().count()
+    assert again <= 2
+
+
+def test_stages_on_awkward_rows(spark, awkward, tmp_path):
+    import corpus_pipeline as cp
+
+    top = str(tmp_path)
+    spark.createDataFrame([(0, text(4, 34))], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    for docs in (awkward, awkward.limit(0)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, top)
+            got = out.collect()
+            if name != "tokens":
+                assert out.columns == awkward.columns, name
+                assert all(x["h1"] == "own" and x["row"] == "own" for x in got), name
+            assert got or docs is not awkward, name
+    kept = sorted(str(x["doc_id"]) for x in nj.drop_near_duplicates(awkward).collect())
+    assert kept.count("3") == 1 and "20" not in kept and kept.count("None") == 3 and {"21", "22"} <= set(kept)
+    assert not [x for x in dc.drop_contaminated(awkward, spark.read.parquet(f"{top}/benchmark.parquet")).collect() if x["doc_id"] == 4]

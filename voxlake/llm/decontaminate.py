@@ -5,7 +5,7 @@ window and ignores the others, so a changed word inside the window leaves the ha
 unchanged. The hashes of all windows of all documents are looked up among those of the benchmark;
 a hit fixes a diagonal (document, item, offset), along which the words are compared one by one: the
 best segment (match +1, substitution -2) is found exactly. A document is contaminated by an item if
-segments of at least ``MIN_SEGMENT`` matches cover ``MIN_MATCH`` words of the item (or all of a shorter one)
+segments of at least ``MIN_SEGMENT`` matches cover ``MIN_MATCH`` words of the item (of a shorter one its share ``MIN_IDENTITY``)
 at an identity of ``MIN_IDENTITY`` or more. Segments on several diagonals add up, so insertions only cut a match in two.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each of which fits any task; every block is
@@ -18,6 +18,7 @@ benchmark or table gives no hits. Extra columns are ignored by the search and ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +30,10 @@ from . import textvec as tv
 
 #: Fixed masks: 1 is compared, 0 ignored.
 MASKS = ("11111", "1101101", "11000111", "1010101011")
+#: For items of fewer than MIN_MATCH words: one of them fits every segment that counts.
+SHORT_MASKS = ("111", "11011")
 MIN_ITEM, MIN_MATCH, MIN_SEGMENT, MIN_IDENTITY = 5, 12, 5, 0.75
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20  # of benchmark text; its tables take some 10 times as much in a task
 FILTER_BITS = 21
 
 
@@ -65,12 +68,16 @@ class Matcher:
         self.h, self.first = np.concatenate(hashes), np.array(firsts, dtype=np.int64)
         item = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.tables = []
-        for mask in MASKS:
+        short = (np.diff(self.first) < MIN_MATCH)[item] if len(item) else np.zeros(0, dtype=bool)
+        for mask in (*MASKS, *SHORT_MASKS):
             key = masked(self.h, mask)
-            at = np.flatnonzero(item[: len(key)] == item[len(mask) - 1 : len(mask) - 1 + len(key)])
+            inside = item[: len(key)] == item[len(mask) - 1 : len(mask) - 1 + len(key)]
+            at = np.flatnonzero(inside & short[: len(key)] if mask in SHORT_MASKS else inside)
+            if not len(at):
+                continue
             order = np.argsort(key[at], kind="stable")
             at = at[order]
-            key = key[at]
+            key, at = key[at], at.astype(np.int32)
             sieve = np.zeros(1 << FILTER_BITS, dtype=bool)
             sieve[key >> np.uint64(64 - FILTER_BITS)] = True
             self.tables.append((mask, key, at, sieve))
@@ -122,7 +129,8 @@ class Matcher:
                     matched, length = matched + n, length + e - s
                     lo, hi = min(lo, q0 + off + s - a), max(hi, q0 + off + e - a)
         n = int(covered.sum())
-        if n < min(MIN_MATCH, y - x) or y - x < MIN_ITEM:
+        need = MIN_MATCH if y - x >= MIN_MATCH else max(MIN_SEGMENT, math.ceil(MIN_IDENTITY * (y - x)))
+        if n < need or y - x < MIN_ITEM:
             return None
         return n, int(lo), int(hi) - 1, matched / length
 
