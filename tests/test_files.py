@@ -196,3 +196,19 @@ def test_command_line(folder, tmp_path, capsys):
         with open(tmp_path / name, "rb") as f:
             x, a = be.backend_of(name).load(f, None)
         assert np.array_equal(x, volume())
+
+
+def test_batches(spark):
+    from voxlake.operators import batches as bt
+
+    one = lambda n: image(1, n, 2, 2, A.from_spacing([1, 1, 1], [0, 0, 0]), F.transform(F.sequence(F.lit(1), n * 4), lambda x: (x * F.col("id")).cast("double")))
+    df = spark.range(0, 23, 1, 5).select(F.col("id").alias("subject_id"), one(F.lit(2)).alias("t1"))
+    stacked = bt.stack(df, ["t1"], 5)
+    assert sorted((r["batch"], r["n"]) for r in stacked.collect()) == [(0, 5), (1, 5), (2, 5), (3, 5), (4, 3)]
+    back = {r["subject_id"]: (r["batch"], r["place"], r["t1"]) for r in bt.unstack(stacked, ["t1"]).collect()}
+    assert all(back[r["subject_id"]] == (r["subject_id"] // 5, r["subject_id"] % 5, r["t1"]) for r in df.collect())
+    mixed = spark.range(4).select(F.col("id").alias("subject_id"), one((F.col("id") + 1).cast("int")).alias("t1"))
+    with pytest.raises(Exception, match="several shapes"):
+        bt.stack(mixed, ["t1"], 4).collect()
+    with pytest.raises(ValueError):
+        bt.consistent(["t1"], "colour")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rng
 from ..functions.image import AXES, gather, position
+from .batches import ranked
 
 
 def starts(n: Column, patch: int, overlap: int = 0) -> Column:
@@ -156,10 +157,7 @@ def queue(patches: DataFrame, *, per_subject: int, buffer_subjects: int | None =
     """
     buffer_subjects = buffer_subjects or max(math.ceil(max_length / per_subject), 1)
     few = patches.where(F.col("patch_ord") < per_subject)
-    ids = few.select(key).distinct().withColumn("_b", F.floor(F.col(key) / 1024))
-    before = ids.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = before.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    ranks = ids.join(before, "_b").select(key, (F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).alias("_rank"))
+    ranks = ranked(few.select(key).distinct(), key).withColumnRenamed("rank", "_rank")
     rows = few.join(ranks, key).withColumn("buffer", F.floor(F.col("_rank") / buffer_subjects))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("patch_ord").cast("string")))
     return rows.select(key, "patch_ord", "buffer", (F.row_number().over(Window.partitionBy("buffer").orderBy(order, key, "patch_ord")) - 1).cast("long").alias("place"))

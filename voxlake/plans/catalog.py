@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import affine as A, rng
 from ..functions.image import image, let, replace
-from ..operators import annotations as an, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp, statistics as st
+from ..operators import annotations as an, batches as bt, intensity as it, kernels as kn, label as lb, patches as pt, spatial as sp, statistics as st
 from ..sources import backends as be
 from ..sources.generators import zone_plate
 from ..sources.tables import multichannel, subjects, table
-from ..streaming.queue import event_windows
+from ..streaming.queue import event_counts
 from .compose import Compose, OneOf, SomeOf, Transform, invert_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -595,7 +595,12 @@ def stream_queue_epoch(spark, sf_dir):
 
 @query(f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {rsql('sum(value)')} AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
-    w = event_windows(table(spark, sf_dir, "events"))
+    """The events as a stream of files, counted by window in micro-batches."""
+    folder, kind = be.scratch(spark, "windows"), table(spark, sf_dir, "events").schema
+    # as a pattern, for a stream takes a folder or a pattern but no single file
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    event_counts(stream, folder).awaitTermination()
+    w = spark.read.parquet(f"{folder}/counts")
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", real(F.col("total")).alias("total"))
 
 
@@ -701,25 +706,29 @@ def history_trace(spark, sf_dir):
     return h.select(F.col("subject_id").alias("vec_id"), F.array_join(F.transform("history", lambda r: r["name"]), ">").alias("names"), F.size("history").cast("bigint").alias("n"))
 
 
-@query("SELECT cohort, count(*) AS n FROM (SELECT label AS cohort FROM embeddings UNION ALL SELECT label + 10 FROM embeddings) GROUP BY cohort")
+_RANK = "SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings"
+
+
+@query(f"SELECT r // 16 AS batch, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id, {rsql('sum(list_sum(CAST(embedding AS DOUBLE[])))')} AS total FROM ({_RANK}) GROUP BY r // 16")
 def batch_stack(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    return s.unionByName(s.withColumn("cohort", F.col("cohort") + 10)).groupBy("cohort").agg(F.count("*").alias("n"))
+    b = bt.stack(subjects(spark, sf_dir), ["t1", "seg"], 16)
+    total = F.aggregate(F.transform("t1", lambda x: F.aggregate(x["data"], F.lit(0.0), lambda s, v: s + v)), F.lit(0.0), lambda s, v: s + v)
+    return b.select("batch", "n", F.array_min("keys").alias("first_id"), F.array_max("keys").alias("last_id"), real(total).alias("total"))
 
 
-@query("SELECT vec_id, label AS cohort, CAST(64 AS BIGINT) AS n FROM embeddings")
+@query(f"SELECT vec_id, r // 16 AS batch, r % 16 AS place, p, {rsql('CAST(embedding[p + 1] AS DOUBLE)')} AS v FROM ({_RANK}), (SELECT unnest(range(64)) AS p)")
 def batch_unbatch(spark, sf_dir):
-    """Subjects gathered by cohort (a few hundred numbers each) and taken apart again."""
-    parts = subjects(spark, sf_dir).select("cohort", F.struct("subject_id", F.size("t1.data").cast("bigint").alias("n")).alias("e"))
-    stacked = parts.groupBy("cohort", F.pmod(F.xxhash64("e.subject_id"), F.lit(16)).alias("_s")).agg(F.collect_list("e").alias("batch"))
-    return stacked.select("cohort", F.explode("batch").alias("e")).select(F.col("e.subject_id").alias("vec_id"), "cohort", "e.n")
+    """Batches of 16 subjects, taken apart again."""
+    back = bt.unstack(bt.stack(subjects(spark, sf_dir), ["t1", "seg"], 16), ["t1", "seg"])
+    rows = back.select(F.col("subject_id").alias("vec_id"), "batch", F.col("place").cast("bigint").alias("place"), F.posexplode("t1.data").alias("p", "v"))
+    return rows.select("vec_id", "batch", "place", F.col("p").cast("bigint").alias("p"), real(F.col("v")).alias("v"))
 
 
-@query("SELECT vec_id, label % 3 = 0 AS same FROM embeddings")
+@query("SELECT vec_id, true AS shapes, label % 3 = 0 AS spacings, label = 0 AS origins FROM embeddings")
 def subject_consistency_check(spark, sf_dir):
-    """Whether two images of a subject have one spacing (tolerance 1e-6)."""
-    near = [F.abs(x - y) <= 1e-6 * (1 + F.abs(y)) for x, y in zip(A.spacing(F.col("t1.affine")), map(F.lit, (1.0, 1.0, 1.0)), strict=True)]
-    return subjects(spark, sf_dir).select(F.col("subject_id").alias("vec_id"), (near[0] & near[1] & near[2]).alias("same"))
+    """Whether two images of a subject have one shape, spacing and origin."""
+    s = subjects(spark, sf_dir).withColumn("seg", replace(F.col("seg"), affine=A.from_spacing([1, 1, 1], [0, 0, 0])))
+    return s.select(F.col("subject_id").alias("vec_id"), *(bt.consistent(["t1", "seg"], k).alias(f"{k}s") for k in ("shape", "spacing", "origin")))
 
 
 @query("SELECT a.o_orderkey, a.o_totalprice AS t1, c.c_acctbal AS t2 FROM orders a JOIN customer c ON a.o_custkey = c.c_custkey")

@@ -28,3 +28,16 @@ def patch_queue(spark: SparkSession, source: str, schema: str, sink: str, checkp
 def event_windows(events: DataFrame, *, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of an event stream by window and type, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def event_counts(events: DataFrame, folder: str, **params) -> StreamingQuery:
+    """Runs event_windows over all that an event stream has; folder/counts holds the counts after each micro-batch, all windows of them.
+
+    A batch that is run again overwrites the same table, so nothing is counted twice.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    counted = event_windows(events, **params).writeStream.outputMode("complete").foreachBatch(store)
+    return counted.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
