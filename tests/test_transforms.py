@@ -52,7 +52,7 @@ PARAMS = {
     "Swap": {"patch_size": 2, "num_iterations": 4}, "PCA": {"num_components": 2}, "RemapLabels": {"remapping": {1: 7}}, "RemoveLabels": {"labels": [1]}, "Crop": {"cropping": 1}, "Pad": {"padding": (1, 2, 0)},
     "CropOrPad": {"target_shape": (4, 9, None)}, "EnsureShapeMultiple": {"target_multiple": 4}, "Flip": {"axes": (0, 2)}, "Reorient": {"orientation": "PIL"}, "Resize": {"target_shape": (3, 7, 9)},
     "Anisotropy": {"downsampling": 2.0}, "Affine": {"degrees": 10.0, "scales": 1.1}, "ElasticDeformation": {"max_displacement": 0.5}, "Lambda": {"function": lambda x: x + 1}, "Motion": {"num_transforms": 2, "degrees": 2.0, "translation": 0.3},
-    "Noise": {"rician": True}, "BiasField": {"scale": 0.5},
+    "Noise": {"rician": True}, "BiasField": {"scale": 0.5}, "ArrayAdapter": {"function": lambda d: {n: x + 1 for n, x in d.items()}},
 }
 
 

@@ -8,12 +8,16 @@ from ..functions import affine as A
 from ..functions.image import AXES
 
 
-def ranked(ids: DataFrame, key: str, block: int = 1024) -> DataFrame:
-    """key and its rank among all, in two levels (blocks of ids, then inside), not by one global sort; key is a distinct whole number."""
-    blocks = ids.withColumn("_b", F.floor(F.col(key) / block))
+def ranked(ids: DataFrame, key: str, block: int = 1024, seed: int | None = None) -> DataFrame:
+    """key and its rank among all, in two levels (blocks of ids, then inside), not by one global sort; key is a distinct whole number.
+
+    With a seed the order is that of a hash (the first 32 bits of an MD5), and a block a run of its values.
+    """
+    order = F.col(key) if seed is None else F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("subject"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    blocks = ids.withColumn("_o", order).withColumn("_b", F.floor(F.col("_o") / (block if seed is None else 1 << 22)))
     before = blocks.groupBy("_b").agg(F.count("*").alias("_n"))
     before = before.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key)) - 1
     return blocks.join(before, "_b").select(key, (F.col("_before") + inside).alias("rank"))
 
 

@@ -147,17 +147,17 @@ def aggregate_patches(patches: DataFrame, shape: tuple, patch: tuple, mode: str
     return whole.select(*keys, F.posexplode("data").alias("p", "v")).where("v is not null")
 
 
-def queue(patches: DataFrame, *, per_subject: int, buffer_subjects: int | None = None, max_length: int = 300, seed: int = 0, key: str = "subject_id") -> DataFrame:
+def queue(patches: DataFrame, *, per_subject: int, buffer_subjects: int | None = None, max_length: int = 300, shuffle_subjects: bool = False, seed: int = 0, key: str = "subject_id") -> DataFrame:
     """Order of a bounded shuffle buffer: subjects fill it in order, a full buffer is shuffled and drained.
 
-    A buffer is full with max_length patches or more, so it holds ceil(max_length / per_subject) subjects (or buffer_subjects).
+    Subjects come in the order of their keys or, shuffled, of a hash. A buffer is full with max_length patches or more, so it holds ceil(max_length / per_subject) subjects (or buffer_subjects).
 
     key, patch_ord, buffer, place: the first per_subject patches of each row, buffers of so many subjects, hash order inside.
     Buffers are numbered from the subject's rank, found in two levels (blocks of ids, then inside), not by one global sort.
     """
     buffer_subjects = buffer_subjects or max(math.ceil(max_length / per_subject), 1)
     few = patches.where(F.col("patch_ord") < per_subject)
-    ranks = ranked(few.select(key).distinct(), key).withColumnRenamed("rank", "_rank")
+    ranks = ranked(few.select(key).distinct(), key, seed=seed if shuffle_subjects else None).withColumnRenamed("rank", "_rank")
     rows = few.join(ranks, key).withColumn("buffer", F.floor(F.col("_rank") / buffer_subjects))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("patch_ord").cast("string")))
     return rows.select(key, "patch_ord", "buffer", (F.row_number().over(Window.partitionBy("buffer").orderBy(order, key, "patch_ord")) - 1).cast("long").alias("place"))

@@ -563,3 +563,16 @@ def apply_function(s: Subject, p: dict) -> None:
             if out.ndim != 4:
                 raise ValueError(f"the function must return four dimensions for {n!r}")
             v.data = out
+
+
+def apply_foreign(s: Subject, p: dict) -> None:
+    """A transform that knows only arrays: one of all chosen images by name at once, or (``together`` false) one image at a time."""
+    if not p["together"]:
+        for _, v in s.each():
+            v.data = np.asarray(p["function"](v.data))
+        return
+    found = p["function"]({n: v.data for n, v in s.each()})
+    for n, x in found.items():
+        if n not in s.images:
+            raise KeyError(f"the function returned an image {n!r} that the subject does not have")
+        s.images[n].data = np.asarray(x)

@@ -593,6 +593,19 @@ def stream_queue_epoch(spark, sf_dir):
     return q.select(F.col("subject_id").alias("vec_id"), F.col("patch_ord").cast("bigint").alias("patch_ord"), F.col("buffer").cast("bigint").alias("buffer"), "place")
 
 
+_ORDER = "CAST('0x' || substr(md5(concat_ws('|', '6', 'subject', CAST(vec_id AS VARCHAR))), 1, 8) AS BIGINT)"
+
+
+@query(
+    f"WITH g AS ({_GRID}), k AS (SELECT vec_id, row_number() OVER (ORDER BY {_ORDER}, vec_id) - 1 AS r FROM embeddings) "
+    "SELECT vec_id, o AS patch_ord, k.r // 4 AS buffer, row_number() OVER (PARTITION BY k.r // 4 ORDER BY md5(concat_ws('|', '6', CAST(vec_id AS VARCHAR), CAST(o AS VARCHAR))), vec_id, o) - 1 AS place FROM g JOIN k USING (vec_id) WHERE o < 5"
+)
+def stream_queue_shuffled(spark, sf_dir):
+    """Subjects in random order, buffers of 20 patches or more."""
+    q = pt.queue(pt.grid_locations(subjects(spark, sf_dir), "t1", (2, 2, 2), (1, 1, 1)), per_subject=5, max_length=17, shuffle_subjects=True, seed=6)
+    return q.select(F.col("subject_id").alias("vec_id"), F.col("patch_ord").cast("bigint").alias("patch_ord"), F.col("buffer").cast("bigint").alias("buffer"), "place")
+
+
 @query(f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {rsql('sum(value)')} AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
     """The events as a stream of files, counted by window in micro-batches."""
@@ -690,6 +703,7 @@ piped("compose_anisotropy", lambda: Compose([Transform("Anisotropy", {"axes": 0,
 piped("compose_resample", lambda: Compose([Transform("Resample", {"target": 2.0}, include=["t1"])]), ORACLES["spatial_resample_spacing"])
 piped("compose_labels_partial_volume", lambda: Compose([Transform("Affine", {"translation": (0.5, 0, 0), "label_interpolation": "one_hot"}, include=["seg"])]), ORACLES["spatial_label_partial_volume"], whole=True, column="seg")
 piped("compose_lambda", lambda: Compose([Transform("Lambda", {"function": lambda v: v * 2 + 1, "types_to_apply": "scalar"})]), ORACLES["udf_lambda"] if "udf_lambda" in ORACLES else voxel_sql("v * 2 + 1"))
+piped("udf_multi_adapter", lambda: Compose([Transform("ArrayAdapter", {"function": lambda d: {"t1": d["t1"] * d["brain"]}}, include=["t1", "brain"])]), voxel_sql("CASE WHEN v > 0 THEN v ELSE 0 END"))
 _TISSUE = rng.voxel_normal_sql("9|/0", "tissue.noise", "vec_id", "p")
 piped("compose_labels_to_image", lambda: Compose([Transform("LabelsToImage", {"label_key": "brain", "mean": [0.1, 0.9], "std": [0.01, 0.1]})]), f"{WITH}, l AS (SELECT vec_id, min(CAST(v > 0 AS INT)) AS low FROM x GROUP BY vec_id) SELECT vec_id, p, {rsql(f'[0.1, 0.9][CAST(v > 0 AS INT) - low + 1] + [0.01, 0.1][CAST(v > 0 AS INT) - low + 1] * {_TISSUE}')} AS v FROM x JOIN l USING (vec_id)", seed=9, column="image_from_labels")
 piped("compose_transform_operators", lambda: Transform("Clamp", {"out_min": 0.0}) + Transform("Flip", {"axes": 0}, include=["t1"]), gather_sql(64, "(3 - g // 16) * 16 + g % 16").replace("CAST(embedding[", "greatest(0, embedding[").replace("] AS DOUBLE)", "])"))

@@ -125,6 +125,7 @@ REGISTRY: dict[str, Rule] = {
     "Slice": Rule(None, {"index": ":", "spatial": False}, vo.take),
     "To": Rule(None, {"dtype": "float64"}, vo.cast),
     "Lambda": Rule(None, {"function": None, "types_to_apply": None}, vo.apply_function, check=lambda p: _require(callable(p["function"]), "a function is needed")),
+    "ArrayAdapter": Rule(None, {"function": None, "together": True}, vo.apply_foreign, check=lambda p: _require(callable(p["function"]), "a function is needed")),
 }
 # other names of the same transforms
 REGISTRY |= {"RescaleIntensity": REGISTRY["Normalize"], "ZNormalization": REGISTRY["Standardize"]}
