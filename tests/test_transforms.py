@@ -286,3 +286,22 @@ def test_own_transform_and_operators(df):
     assert compose.from_json(Compose([some]).to_json()).parts[0].replacement
     with pytest.raises(ValueError):
         SomeOf([Transform("Transpose")], 2, 3)(df)
+
+
+@pytest.mark.parametrize("order", range(2, 8))
+def test_splines(order):
+    x = np.random.default_rng(order).normal(size=(2, 9, 8, 7))
+    assert np.allclose(kn.sample(x, kn.grid(x.shape[1:]), order), x)  # through the values
+    t = np.linspace(-4, 4, 4001)
+    assert np.isclose(kn.bspline(t, order).sum() * (t[1] - t[0]), 1) and np.allclose(sum(kn.bspline(np.array([0.3]) - k, order) for k in range(-5, 6)), 1)
+    assert np.allclose(kn.sample(np.full((1, 6, 6, 6), 3.0), np.random.default_rng(1).uniform(0, 5, (20, 3)), order), 3)
+    n = 40
+    curve = np.cos(2 * np.pi * (np.arange(n) + 0.5) / n).reshape(1, n, 1, 1)  # even about both ends, as the mirrored border is
+    at = np.column_stack([np.linspace(0.2, n - 1.2, 50), np.zeros(50), np.zeros(50)])
+    assert np.abs(kn.sample(curve, at, order)[0] - np.cos(2 * np.pi * (at[:, 0] + 0.5) / n)).max() < 2e-3
+    assert kn.sample(x, np.array([[-0.2, 1.0, 1.0], [8.2, 1.0, 1.0]]), order).max() == 0
+    s = subject()
+    apply(s, "Affine", degrees=[5.0, 0.0, 0.0], image_interpolation=order)
+    assert np.isfinite(s.images["t1"].data).all()
+    with pytest.raises(ValueError):
+        Transform("Affine", {"degrees": 3.0, "image_interpolation": "ninth"})

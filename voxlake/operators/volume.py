@@ -527,7 +527,8 @@ def spatial(s: Subject, p: dict, back: bool = False) -> None:
         how = p["label_interpolation"] if v.label else p["image_interpolation"]
         first = p["affine_first"] != back
         fill = fill_value(v, p["default_pad_value"], p["default_pad_label"])
-        v.data = kn.warp(x, v.affine, matrix, shape, affine, -control if back and control is not None else control, 1 if how == "linear" else 0, fill, first, v.label and how == "one_hot")
+        by_share = v.label and how == "one_hot"
+        v.data = kn.warp(x, v.affine, matrix, shape, affine, -control if back and control is not None else control, 1 if by_share else kn.order_of(how), fill, first, by_share)
         v.affine = affine
 
 

@@ -688,6 +688,7 @@ piped("compose_affine", lambda: Compose([Transform("Affine", {"degrees": (0, 0,
 _SHIFT = f"(floor(3 * {rng.uniform_sql(2, '/0.translation.0', 'vec_id')}) - 1)"
 piped("compose_affine_random", lambda: Compose([Transform("Affine", {"translation": ({"choice": [-1, 0, 1]}, 0, 0), "image_interpolation": "nearest"}, include=["t1"])]), gather_sql(64, f"greatest(0, least(63, g - 16 * {_SHIFT}))", "0.0", f"g // 16 - {_SHIFT} BETWEEN 0 AND 3"), seed=2)
 piped("compose_affine_fill_minimum", lambda: Compose([Transform("Affine", {"translation": (1, 0, 0), "image_interpolation": "nearest", "default_pad_value": "minimum"}, include=["t1"])]), gather_sql(64, "greatest(g - 16, 0)", "CAST(list_min(embedding) AS DOUBLE)", "g >= 16"))
+piped("compose_affine_cubic", lambda: Compose([Transform("Affine", {"translation": (1, 0, 0), "image_interpolation": "cubic"}, include=["t1"])]), gather_sql(64, "greatest(g - 16, 0)", "0.0", "g >= 16"))
 piped("compose_ghosting", lambda: Compose([Transform("Ghosting", {"num_ghosts": 2, "axes": 0, "intensity": 0.5})]), _dft("i", [0.5, 1.0, 0.5, 1.0]))
 piped("compose_hist_standardize", lambda: Compose([Transform("HistogramStandardization", {"landmarks": _MARKS})]), ORACLES["intensity_hist_standardize"])
 piped("compose_normalize_masked", lambda: Compose([Transform("Normalize", {"percentile_low": 5.0, "percentile_high": 95.0, "mask": "brain"})]), ORACLES["intensity_normalize_masked"])

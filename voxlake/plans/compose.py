@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rng
 from ..functions.image import image_columns
-from ..operators import volume as vo
+from ..operators import kernels, volume as vo
 from ..operators.intensity import QUANTILES
 from ..operators.spatial import PAD_MODES
 from .parameters import draw, draw3, non_negative
@@ -69,6 +69,8 @@ _SPATIAL = {
 
 def _spatial(**own) -> Rule:
     def check(p):
+        kernels.order_of(p["image_interpolation"])
+        _require(p["label_interpolation"] == "one_hot" or kernels.order_of(p["label_interpolation"]) < 2, "labels are taken nearest, linear or by one_hot shares")
         _require(p["center"] in ("image", "origin"), "center is image or origin")
         n = p["num_control_points"]
         _require(min(n if isinstance(n, tuple | list) else [n]) >= 4, "at least 4 control points an axis are needed")
