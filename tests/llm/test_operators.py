@@ -228,6 +228,52 @@ def test_op6_stand_alone_keys_of_labelled_formats():
     assert sum(map(model.accepts, ordinary)) <= 8
 
 
+def test_op6_learns_from_every_value(spark):
+    """More values of a kind, and more ordinary runs, than round 2's sample of 5,000 each."""
+    rng = random.Random(4)
+    some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    keys = {some("0123456789abcdef", rng.choice([20, 24])) for _ in range(5_400)} | {f"k{some('0123456789', 5)}-{some('GHJKMNP', 9)}" for _ in range(900)}
+    runs = {f"{rng.choice(WORDS)}-{rng.choice(WORDS)}/{some('abcdefgh', 4)}" for _ in range(6_000)}
+    runs = {r for r in runs if len(r) >= 12}
+    texts = [f"see token={k} here" for k in sorted(keys)] + sorted(runs)
+    texts += texts[:2_000]  # copies of texts add nothing
+    assert len(keys) > 6_000 and len(runs) > 5_000
+    model = ss.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
+    every = ss.FormatModel({"assign": [k.encode() for k in keys]}, [r.encode() for r in runs])
+    assert list(model.automata) == ["assign"]
+    assert (model.automata["assign"].next, model.automata["assign"].cost) == (every.automata["assign"].next, every.automata["assign"].cost)
+    # the background against counts one by one
+    pairs, firsts, chars = Counter(), Counter(), Counter(b for r in runs for b in r.encode())
+    for r in runs:
+        s = "^" + ss.symbols(r.encode())
+        pairs.update(zip(s, s[1:], strict=False))
+        firsts.update(s[:-1])
+    assert model.ground == {(a, b): math.log((pairs[a, b] + 0.5) / (firsts[a] + 0.5 * 11)) for a in "^0aAzZ+/_.=-" for b in "0aAzZ+/_.=-"}
+    digits = sum(chars[b] for b in b"0123456789")
+    assert model.excess[ord("7")] == math.log((chars[ord("7")] + 1) / (digits + 10) * 10)
+
+
+def test_op6_automaton_counts_every_string():
+    rng = random.Random(6)
+    some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    strings = [some("0a", 12) for _ in range(700)] + ["z-" + some("0Z", rng.randrange(1, 30)) for _ in range(400)] + ["", "Z", "0" * 30_000, "0" * 30_000 + "="]
+    a = ss.Automaton(strings)
+    ways, ends = Counter(), Counter()
+    for s in strings:
+        at = 0
+        for ch in s:
+            ways[at, ch] += 1
+            at = a.next[at][ch]
+        ends[at] += 1
+    for s in a.red:
+        total = ends[s] + sum(ways[s, ch] for ch in "0aAzZ+/_.=-")
+        assert a.cost[s] == {ch: math.log((ways[s, ch] + 0.02) / (total + 0.02 * 12)) for ch in "0aAzZ+/_.=-"}
+    counted = Counter(strings)
+    b = ss.Automaton(pa.array([s + ss.END for s in counted]), np.array(list(counted.values())))
+    assert (b.next, b.cost) == (a.next, a.cost)  # neither order nor copies matter
+    assert ss.Automaton([]).red == [0]
+
+
 def brute_license(t: str | None) -> tuple:
     w = folded(t)
     places = []

@@ -3,15 +3,19 @@
 Grammar inference. The values that the base patterns find are labelled credentials of their
 kind. For every kind a prefix tree of their character classes (with counts of ends)
 is built, and states whose outgoing and ending frequencies are compatible (Hoeffding bound,
-checked down the subtrees, where more than ``EVIDENCE`` values went through) are merged in breadth-first order, as ALERGIA does. The result
+checked down the subtrees, where more than ``EVIDENCE`` values went through on both sides; the comparisons
+at one depth share the level alpha, so that more values do not mean more states by chance) are merged in breadth-first order, as ALERGIA does. The result
 is a deterministic probabilistic automaton. Every candidate of a text (a run of 16 or more
 credential characters) is then scored: log-likelihood a character of its class string under the best
 automaton, with the characters of a class equally likely, against a background model of ordinary runs, and
 its characters' spread in the alphabet that it uses. No candidate is refused before. Candidates above the threshold that no base span touches are added with the kind
 ``format``. Base spans stay as they are.
 
-Training gets at most ``max_rows`` values (default 5,000, the smallest hashes) from all documents, which are read once;
-candidates of every text are scored. The work grows with the length of a text and its matches.
+Training takes every different value of all documents, which are read once: executors count the class strings, and the class bigrams and
+characters of ordinary runs, so that the driver gets a fixed table for the background and, for the automata, the different class
+strings of credentials with their counts. It holds these as one byte a character and two numbers a string; its work grows with
+their length. The only minimum is ``LEAST`` values for a kind to have an automaton.
+Candidates of every text are scored. The work grows with the length of a text and its matches.
 
 Defined results. Null or empty text: zero counts, the digest of the empty string, no spans.
 Without credentials the method adds nothing. Repeated rows give repeated rows; a null doc_id is
@@ -29,6 +33,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
@@ -41,6 +46,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")  # a greedy run of 32 or more is the whole run
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 EVIDENCE = 8
+LEAST = 5  # values of a kind, below which it has no automaton
+CLASSES, END = "0aAzZ+/_.=-", "$"
+LAST, WIDTH = len(CLASSES), len(CLASSES) + 1
 _RUN = np.zeros(256, dtype=bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
 
@@ -61,91 +69,133 @@ def symbols(value: bytes) -> str:
     return "".join("0" if 48 <= b <= 57 else "a" if 97 <= b <= 102 else "A" if 65 <= b <= 70 else "z" if 103 <= b <= 122 else "Z" if 71 <= b <= 90 else chr(b) for b in value)
 
 
+#: The number of a character's class (a class's name is one of its characters), LAST for others.
+_CODE = np.array([CLASSES.find(symbols(bytes([b]))) % WIDTH for b in range(256)], dtype=np.uint8)
+
+
 class Automaton:
-    """A deterministic probabilistic automaton over class strings, inferred by state merging."""
-
-    def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.ends: list[int] = [0]
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[Counter] = [Counter()]
-        self.total: list[int] = [0]
-        for s in strings:
-            at = 0
-            for ch in s:
-                if ch not in self.next[at]:
-                    self.next[at][ch] = len(self.ends)
-                    self.ends.append(0), self.next.append({}), self.count.append(Counter()), self.total.append(0)
-                self.count[at][ch] += 1
-                self.total[at] += 1
-                at = self.next[at][ch]
-            self.ends[at] += 1
-            self.total[at] += 1
-        self.alpha = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_all()
-
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.alpha * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-    def _compatible(self, p: int, q: int, depth: int = 0) -> bool:
-        """Whether both states' frequencies agree, and those below them as far as there is evidence."""
-        stack = [(p, q)]
-        while stack:
-            a, b = stack.pop()
-            if self._differ(self.ends[a], self.total[a], self.ends[b], self.total[b]):
+    """A deterministic probabilistic automaton over class strings, inferred by state merging.
+
+    The prefix tree is not built as objects: what is left of a string lies, as a place in ``buf``, where its way through the merged states
+    ends. Trees are counted from these places down to ``EVIDENCE`` strings, for comparison.
+    """
+
+    def __init__(self, strings: list[str] | pa.Array, copies: np.ndarray | None = None, alpha: float = 0.05):
+        """strings: a list of class strings, or an Arrow array of them that end in END; copies: how often each occurs."""
+        if isinstance(strings, list):
+            strings = pa.array([s + END for s in strings], pa.string())
+        offs, data = tv.buffers(strings)
+        self._buf = _CODE[data[: offs[-1]]].tobytes()
+        copies = np.ones(len(strings), dtype=np.int64) if copies is None else copies
+        self._alpha = alpha
+        self._merge_all(offs[:-1], copies)
+        self.red = list(range(len(self._next)))
+        self.next = [{c: n for c, n in zip(CLASSES, row, strict=False) if n >= 0} for row in self._next.tolist()]
+        totals = self._count.sum(axis=1).tolist()
+        self.cost = [{c: math.log((n + 0.02) / (total + 0.02 * (len(CLASSES) + 1))) for c, n in zip(CLASSES, row, strict=False)} for row, total in zip(self._count.tolist(), totals, strict=True)]
+        del self._buf, self._blue, self._trees
+
+    def _sums(self, group: np.ndarray, groups: int, pos: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        """How many strings of each group go on with each class, or end."""
+        code = np.frombuffer(self._buf, dtype=np.uint8)[pos]
+        return np.bincount(group * WIDTH + code, copies, groups * WIDTH).astype(np.int64).reshape(groups, WIDTH)
+
+    def _read(self, pos: np.ndarray, copies: np.ndarray, state: int) -> None:
+        """Reads strings on from a merged state: counts their ways, and leaves them at the successors that are not merged yet."""
+        at = np.full(len(pos), state, dtype=np.int64)
+        buf = np.frombuffer(self._buf, dtype=np.uint8)
+        left: dict[int, list] = {}
+        while len(pos) > 8:
+            code = buf[pos]
+            self._count += self._sums(at, len(self._count), pos, copies)
+            to, way = self._next[at, code], at * WIDTH + code
+            off = np.flatnonzero((to < 0) & (code < LAST))
+            off = off[np.argsort(way[off], kind="stable")]
+            ways, first = np.unique(way[off], return_index=True)
+            for k, part in zip(ways.tolist(), np.split(off, first[1:]), strict=False):
+                left.setdefault(k, []).append((pos[part] + 1, copies[part]))
+            on = np.flatnonzero(to >= 0)
+            pos, copies, at = pos[on] + 1, copies[on], to[on]
+        table, counted = self._next.ravel().tolist(), Counter()
+        for i, n, s in zip(pos.tolist(), copies.tolist(), at.tolist(), strict=True):
+            while True:
+                k = s * WIDTH + self._buf[i]
+                counted[k] += n
+                s, i = table[k], i + 1
+                if s < 0:
+                    break
+            if k % WIDTH < LAST:
+                left.setdefault(k, []).append((np.array([i]), np.array([n])))
+        for k, n in counted.items():
+            self._count[divmod(k, WIDTH)] += n
+        for k, parts in sorted(left.items()):
+            parts += [self._blue[k]] if k in self._blue else []
+            self._blue[k] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            self._trees.pop(k, None)
+
+    def _tree(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and successors of the prefix tree at an unmerged successor, as far as more than EVIDENCE strings go."""
+        if key not in self._trees:
+            buf = np.frombuffer(self._buf, dtype=np.uint8)
+            pos, copies = self._blue[key]
+            group, counts, nexts, groups, nodes = np.zeros(len(pos), dtype=np.int64), [], [], 1, 1
+            while groups:
+                counts.append(self._sums(group, groups, pos, copies))
+                deep = counts[-1] > EVIDENCE
+                deep[:, LAST] = False
+                number = np.cumsum(deep).reshape(deep.shape) - 1
+                nexts.append(np.where(deep, number + nodes, -1))
+                groups = int(deep.sum())
+                nodes += groups
+                on = np.flatnonzero(deep[group, buf[pos]])
+                group = number[group[on], buf[pos[on]]]
+                pos, copies = pos[on] + 1, copies[on]
+            self._trees[key] = np.concatenate(counts), np.concatenate(nexts)
+        return self._trees[key]
+
+    def _graph(self) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """Counts and successors of the merged states and, after them, of all trees; where each tree's root is."""
+        counts, nexts, roots, n = [self._count], [self._next.copy()], {}, len(self._count)
+        for key in self._blue:
+            count, follow = self._tree(key)
+            roots[key] = nexts[0][divmod(key, WIDTH)] = n
+            counts.append(count)
+            nexts.append(np.where(follow >= 0, follow + n, -1))
+            n += len(count)
+        return np.concatenate(counts), np.concatenate(nexts), roots
+
+    def _compatible(self, count: np.ndarray, follow: np.ndarray, p: int, q: int) -> bool:
+        """Whether the frequencies of both agree, and those below them as far as there is evidence; a depth's comparisons share alpha."""
+        a, b = np.array([p]), np.array([q])
+        while len(a):
+            x, y = count[a], count[b]
+            m, n = x.sum(axis=1, keepdims=True), y.sum(axis=1, keepdims=True)
+            if (np.abs(x / m - y / n) > math.sqrt(0.5 * math.log(2 * len(a) / self._alpha)) * (1 / np.sqrt(m) + 1 / np.sqrt(n))).any():
                 return False
-            for ch in set(self.next[a]) | set(self.next[b]):
-                if self._differ(self.count[a][ch], self.total[a], self.count[b][ch], self.total[b]):
-                    return False
-                if a != b and ch in self.next[a] and ch in self.next[b] and self.total[self.next[b][ch]] > EVIDENCE:
-                    x, y = self.next[a][ch], self.next[b][ch]
-                    if x != y and y > x:
-                        stack.append((x, y))
+            a, b = follow[a], follow[b]
+            both = (a >= 0) & (b >= 0) & (a != b)
+            a, b = a[both], b[both]
         return True
 
-    def _fold(self, p: int, q: int) -> None:
-        """Merges the tree under q into p."""
-        stack = [(p, q)]
-        while stack:
-            a, b = stack.pop()
-            if a == b:
-                continue
-            self.ends[a] += self.ends[b]
-            self.total[a] += self.total[b]
-            for ch, to in list(self.next[b].items()):
-                self.count[a][ch] += self.count[b][ch]
-                if ch in self.next[a]:
-                    stack.append((self.next[a][ch], to))
-                else:
-                    self.next[a][ch] = to
-
-    def _merge_all(self) -> None:
-        red, done = [0], {0}
-        blue = deque((0, ch) for ch in sorted(self.next[0]))
-        waiting = set(blue)
-        while blue:
-            frm, ch = blue.popleft()
-            waiting.discard((frm, ch))
-            q = self.next[frm].get(ch)
-            if q is None or q in done:
-                continue
-            for p in red:
-                if self._compatible(p, q):
-                    self.next[frm][ch] = p
-                    self._fold(p, q)
-                    # the merged state may have got new successors that no red state has yet
-                    new = [(p, c) for c in sorted(self.next[p]) if self.next[p][c] not in done and (p, c) not in waiting]
-                    blue.extend(new)
-                    waiting.update(new)
-                    break
-            else:
-                red.append(q)
-                done.add(q)
-                new = [(q, c) for c in sorted(self.next[q])]
-                blue.extend(new)
-                waiting.update(new)
-        self.red = red
-        kinds = len("0aAzZ+/_.=-")
-        self.cost = [{c: math.log((self.count[s][c] + 0.02) / (self.total[s] + 0.02 * (kinds + 1))) for c in "0aAzZ+/_.=-"} for s in range(len(self.ends))]
+    def _merge_all(self, pos: np.ndarray, copies: np.ndarray) -> None:
+        self._next = np.full((1, WIDTH), -1, dtype=np.int64)
+        self._count = np.zeros((1, WIDTH), dtype=np.int64)
+        self._blue: dict[int, tuple] = {}
+        self._trees: dict[int, tuple] = {}
+        self._read(pos, copies, 0)
+        waiting = deque(self._blue)  # breadth first
+        while waiting:
+            key = waiting.popleft()
+            count, follow, roots = self._graph()
+            to = next((p for p in range(len(self._next)) if self._compatible(count, follow, p, roots[key])), len(self._next))
+            if to == len(self._next):
+                self._next = np.vstack([self._next, np.full((1, WIDTH), -1, dtype=np.int64)])
+                self._count = np.vstack([self._count, np.zeros((1, WIDTH), dtype=np.int64)])
+            self._next[divmod(key, WIDTH)] = to
+            del self._trees[key]
+            known = set(self._blue)
+            self._read(*self._blue.pop(key), to)
+            waiting.extend(k for k in self._blue if k not in known)
 
     def per_char(self, s: str) -> float:
         """Mean log-likelihood of a character; an unknown step restarts at the root at a cost."""
@@ -171,21 +221,37 @@ def _spread(value: bytes) -> float:
     return h / math.log2(most) if most > 1 else 0.0
 
 
+def tally(values: pa.Array) -> np.ndarray:
+    """How often each class follows each other one (or a value's start) in the values and then how often each byte occurs."""
+    offs, data = tv.buffers(values)
+    data = data[offs[0] : offs[-1]]
+    code = _CODE[data].astype(np.int64)
+    before = np.concatenate([[LAST], code])[:-1] if len(code) else code
+    before[(offs[:-1] - offs[0])[np.diff(offs) > 0]] = LAST
+    return np.concatenate([np.bincount(before * WIDTH + code, minlength=WIDTH * WIDTH), np.bincount(data, minlength=256)])
+
+
 class FormatModel:
     """One automaton for each labelled kind and a background model of class bigrams of ordinary runs."""
 
     def __init__(self, values: dict[str, list[bytes]], ordinary: list[bytes], threshold: float = 0.35):
-        self.automata = {k: Automaton(sorted(map(symbols, v))) for k, v in sorted(values.items()) if len(v) >= 5}
-        pairs, firsts, chars = Counter(), Counter(), Counter()
-        for v in ordinary:
-            s = "^" + symbols(v)
-            chars.update(v)
-            pairs.update(zip(s, s[1:], strict=False))
-            firsts.update(s[:-1])
-        self.ground = {(a, b): math.log((pairs[a, b] + 0.5) / (firsts[a] + 0.5 * 11)) for a in "^0aAzZ+/_.=-" for b in "0aAzZ+/_.=-"}
+        automata = {k: Automaton(list(map(symbols, v))) for k, v in sorted(values.items()) if len(v) >= LEAST}
+        self._set(automata, tally(pa.array([v.decode() for v in ordinary], pa.string())), threshold)
+
+    @classmethod
+    def counted(cls, automata: dict[str, Automaton], ordinary: np.ndarray, threshold: float = 0.35) -> FormatModel:
+        """From the tally of all ordinary runs."""
+        model = cls.__new__(cls)
+        model._set(automata, ordinary, threshold)
+        return model
+
+    def _set(self, automata: dict[str, Automaton], ordinary: np.ndarray, threshold: float) -> None:
+        self.automata = automata
+        pairs, chars = ordinary[: WIDTH * WIDTH].reshape(WIDTH, WIDTH).tolist(), ordinary[WIDTH * WIDTH :].tolist()
+        self.ground = {(a, b): math.log((n + 0.5) / (sum(row) + 0.5 * len(CLASSES))) for a, row in zip(CLASSES + "^", pairs, strict=True) for b, n in zip(CLASSES, row, strict=False)}
         # of a character in its class: ordinary runs against equal shares
         classes = Counter()
-        for b, n in chars.items():
+        for b, n in enumerate(chars):
             classes[symbols(bytes([b]))] += n
         self.excess = {b: math.log((chars[b] + 1) / (classes[c] + _SIZES[c]) * _SIZES[c]) for b in np.flatnonzero(_RUN).tolist() for c in [symbols(bytes([b]))]}
         self.threshold = threshold
@@ -224,8 +290,8 @@ def apart(base: list[tuple], runs: list[tuple[int, int]]) -> list[tuple[int, int
     return [(s, e) for s, e in runs if not (k := bisect_left(starts, e)) or ends[k - 1] <= s]
 
 
-def fit(docs: DataFrame, *, max_rows: int = 5_000) -> FormatModel:
-    """Learns the formats from at most max_rows base values of each kind and as many ordinary runs, by smallest hash."""
+def fit(docs: DataFrame) -> FormatModel:
+    """Learns the formats from all different base values of each kind, and the background from all different ordinary runs."""
 
     def gather(batches):
         for batch in batches:
@@ -245,13 +311,24 @@ def fit(docs: DataFrame, *, max_rows: int = 5_000) -> FormatModel:
                         values.append(text[s:e])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([v.decode() for v in values], pa.string())], names=["kind", "value"])
 
+    def tallies(batches):
+        total = sum((tally(batch.column(0)) for batch in batches), np.zeros(WIDTH * WIDTH + 256, dtype=np.int64))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["k", "n"])
+
     found = Store(docs.sparkSession, "secrets").keep(docs.select("text").mapInArrow(gather, "kind string, value string").distinct())
-    picked = [found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(max_rows) for k in (*KINDS, "")]
-    rows = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3]).collect()
-    values: dict[str, list[bytes]] = {}
-    for r in sorted(rows):
-        values.setdefault(r["kind"], []).append(r["value"].encode())
-    return FormatModel({k: values[k] for k in KINDS if k in values}, values.get("", []))
+    ordinary = np.zeros(WIDTH * WIDTH + 256, dtype=np.int64)
+    for r in found.where("kind = ''").select("value").mapInArrow(tallies, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        ordinary[r["k"]] = r["n"]
+    letters = bytes(np.flatnonzero(_RUN).tolist())
+    ways = found.where("kind != ''").groupBy("kind", F.concat(F.translate("value", letters.decode(), symbols(letters)), F.lit(END)).alias("way")).agg(F.count("*").alias("n")).toArrow()
+    automata = {}
+    for k in sorted(KINDS):
+        own = ways.filter(pc.equal(ways["kind"], k))
+        copies = own["n"].to_numpy()
+        if copies.sum() >= LEAST:
+            automata[k] = Automaton(own["way"].cast(pa.large_string()).combine_chunks(), copies)
+    return FormatModel.counted(automata, ordinary)
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
