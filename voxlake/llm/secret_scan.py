@@ -164,9 +164,22 @@ class Automaton:
             n += len(count)
         return np.concatenate(counts), np.concatenate(nexts), roots
 
-    def _compatible(self, count: np.ndarray, follow: np.ndarray, p: int, q: int) -> bool:
+    def _compatible(self, count: np.ndarray, follow: np.ndarray, rows: dict[int, tuple], p: int, q: int) -> bool:
         """Whether the frequencies of both agree, and those below them as far as there is evidence; a depth's comparisons share alpha."""
-        a, b = np.array([p]), np.array([q])
+        bound = math.sqrt(0.5 * math.log(2 / self._alpha))
+        while True:  # as long as there is one pair
+            for k in (p, q):
+                if k not in rows:
+                    rows[k] = count[k].tolist(), int(count[k].sum()), follow[k].tolist()
+            (x, m, c), (y, n, d) = rows[p], rows[q]
+            most = bound * (1 / math.sqrt(m) + 1 / math.sqrt(n))
+            if any(abs(u / m - v / n) > most for u, v in zip(x, y, strict=True)):
+                return False
+            pairs = [(u, v) for u, v in zip(c, d, strict=True) if u >= 0 and v >= 0 and u != v]
+            if len(pairs) != 1:
+                break
+            [(p, q)] = pairs
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
         while len(a):
             x, y = count[a], count[b]
             m, n = x.sum(axis=1, keepdims=True), y.sum(axis=1, keepdims=True)
@@ -187,7 +200,8 @@ class Automaton:
         while waiting:
             key = waiting.popleft()
             count, follow, roots = self._graph()
-            to = next((p for p in range(len(self._next)) if self._compatible(count, follow, p, roots[key])), len(self._next))
+            rows: dict[int, tuple] = {}
+            to = next((p for p in range(len(self._next)) if self._compatible(count, follow, rows, p, roots[key])), len(self._next))
             if to == len(self._next):
                 self._next = np.vstack([self._next, np.full((1, WIDTH), -1, dtype=np.int64)])
                 self._count = np.vstack([self._count, np.zeros((1, WIDTH), dtype=np.int64)])
